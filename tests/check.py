@@ -15,7 +15,7 @@ from tidemark import build_session  # noqa: E402
 
 def main(folder: str, wanted: list[str]) -> int:
     spark = build_session("check", "local[8]", 8, "8g")
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = oracle.connect(folder)
     checks = entry.oracle_sql()
     failed = 0

@@ -25,7 +25,8 @@ def build_session(app_name: str = "tidemark", master: str | None = None,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master is not None:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config(
+            "spark.ui.showConsoleProgress", "false")
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     if driver_memory is not None:
