@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import requests as rq
 from tidemark.operators import links, pageviews, similarity
 from tidemark.plans.views import view, with_views
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, written
 from tidemark.sources import tables
 
 QUERIES = {}
@@ -242,28 +242,21 @@ recommended AS (SELECT user_id, item_id, score, CAST(row_number() OVER (
 LINK_PREFS = f"{EDGES}, link_prefs AS (SELECT DISTINCT page_id AS user_id, link_id AS item_id FROM edges)"
 
 
-def kept(df, label):
-    """Writes a table that several steps read, so that none of them recomputes it."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def link_prefs(spark, folder):
-    return kept(edges(spark, folder).select(
+    return written(edges(spark, folder).select(
         F.col("page_id").alias("user_id"), F.col("link_id").alias("item_id")).distinct(), "links")
 
 
 @checked("item_similarity_tanimoto",
          f"WITH {similar_sql('prefs', 'tanimoto', 1000)} SELECT * FROM similar_items", ("prefs",))
 def item_similarity_tanimoto(spark, folder):
-    return similarity.item_similarity(kept(view(spark, folder, "prefs"), "prefs"), "tanimoto", 1000)
+    return similarity.item_similarity(written(view(spark, folder, "prefs"), "prefs"), "tanimoto", 1000)
 
 
 @checked("item_similarity_loglikelihood",
          f"WITH {similar_sql('prefs', 'loglikelihood', 100)} SELECT * FROM similar_items", ("prefs",))
 def item_similarity_loglikelihood(spark, folder):
-    return similarity.item_similarity(kept(view(spark, folder, "prefs"), "prefs"),
+    return similarity.item_similarity(written(view(spark, folder, "prefs"), "prefs"),
                                       "loglikelihood", 100)
 
 
@@ -271,7 +264,7 @@ def item_similarity_loglikelihood(spark, folder):
 WITH {similar_sql('prefs', 'tanimoto', 100)}, {recommended_sql('prefs', 10)}
 SELECT * FROM recommended""", ("prefs",))
 def recommended_items(spark, folder):
-    prefs = kept(view(spark, folder, "prefs"), "prefs")
+    prefs = written(view(spark, folder, "prefs"), "prefs")
     similar = similarity.item_similarity(prefs, "tanimoto", 100)
     return similarity.recommend_items(prefs, similar, 10)
 
@@ -282,7 +275,7 @@ WITH {similar_sql('prefs', 'tanimoto', 100)},
 SELECT * FROM recommended""", ("prefs",))
 def recommended_items_of_listed_users(spark, folder):
     from tidemark.plans.views import table
-    prefs = kept(view(spark, folder, "prefs"), "prefs")
+    prefs = written(view(spark, folder, "prefs"), "prefs")
     listed = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("user_id"))
     similar = similarity.item_similarity(prefs, "tanimoto", 100)
