@@ -44,31 +44,39 @@ def cut_by_position(df: DataFrame, position: str, width: int = 4096) -> DataFram
     return df.withColumn(SLICE, F.floor(F.col(position) / F.lit(width)).cast("int"))
 
 
+def _same_slice(keys: Sequence[str]) -> Column:
+    on = F.col(SLICE) == F.col("_key_slice")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return on
+
+
 def running_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   totals: Mapping[str, Column]) -> DataFrame:
+                   totals: Mapping[str, Column], largest: bool = False) -> DataFrame:
     """Adds running totals per key, the current row included.
 
     ``sliced`` comes from one of the cutting functions. ``totals`` maps the new
-    columns to the values to add up.
+    columns to the values to add up. With ``largest`` the running maximum is taken
+    instead of the sum.
     """
-    opening = {name: f"_opening_{name}" for name in totals}
-    slice_sums = sliced.groupBy(*keys, SLICE).agg(
-        *[F.sum(value).alias(name) for name, value in totals.items()])
+    fold = F.max if largest else F.sum
+    slice_totals = sliced.groupBy(*keys, SLICE).agg(
+        *[fold(value).alias(name) for name, value in totals.items()])
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    openings = slice_sums.select(
+    openings = slice_totals.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SLICE).alias("_key_slice"),
-        *[F.sum(name).over(before).alias(opening[name]) for name in totals])
+        *[fold(name).over(before).alias(f"_opening_{name}") for name in totals])
     within = (W.partitionBy(*keys, SLICE).orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     local = sliced.select(
-        "*", *[F.sum(value).over(within).alias(name) for name, value in totals.items()])
-    on = F.col(SLICE) == F.col("_key_slice")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    summed = [(F.col(name) + F.coalesce(F.col(opening[name]), F.lit(0))).alias(name)
-              for name in totals]
-    kept = [c for c in sliced.columns if c != SLICE]
-    return local.join(openings, on).select(*kept, *summed)
+        "*", *[fold(value).over(within).alias(name) for name, value in totals.items()])
+    joined = local.join(openings, _same_slice(keys))
+    combined = []
+    for name in totals:
+        here, opening = F.col(name), F.col(f"_opening_{name}")
+        both = F.greatest(here, opening) if largest else here + F.coalesce(opening, F.lit(0))
+        combined.append(both.alias(name))
+    return joined.select(*[c for c in sliced.columns if c != SLICE], *combined)
 
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -89,8 +97,5 @@ def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str,
         F.lead("_first").over(later).alias("_following"))
     within = W.partitionBy(*keys, SLICE).orderBy(position)
     local = sliced.withColumn(name, F.lead(position).over(within))
-    on = F.col(SLICE) == F.col("_key_slice")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    return local.join(following, on).select(
+    return local.join(following, _same_slice(keys)).select(
         *df.columns, F.coalesce(F.col(name), F.col("_following")).alias(name))

@@ -120,6 +120,11 @@ def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.sql(text, **used)
 
 
+def view_of(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """A view over given DataFrames, streaming ones included."""
+    return spark.sql(TEXTS[name], **tables)
+
+
 def with_views(body: str, *names: str) -> str:
     """Check SQL: the body behind the named views as common table expressions."""
     ctes = [f"{n} AS ({TEXTS[n].format(**{t: t for t in TABLES}).strip()})" for n in names]
