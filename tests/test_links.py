@@ -126,6 +126,12 @@ def test_top_similar_items(spark):
         assert sorted((-r.score, r.other_id) for r in top if r.item_id == item) == best
 
 
+def test_similar_items_are_cut_before_the_exchange(spark):
+    df = spark.createDataFrame(preferences(7, 10, 10, 0), "user_id LONG, item_id LONG")
+    plan = similarity.item_similarity(df, "tanimoto", 1000)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2
+
+
 def test_recommendations_are_new_and_ranked(spark):
     prefs = preferences(3, 30, 40, 1)
     df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")
@@ -155,6 +161,7 @@ def test_rank_with_one_dominant_key(spark):
         for place, o in enumerate(sorted(o for k, o in rows if k == key), 1):
             expected[key, o] = place
     assert {(r.k, r.o): r.r for r in found} == expected
+    assert rank_rows(df, [], ["o", "k"], "r").agg(F.max("r")).first()[0] == len(rows)
     spread = cut_by_order(df, ["k"], ["o"], 8).groupBy("_slice").count().collect()
     assert max(r["count"] for r in spread) < 2000
 

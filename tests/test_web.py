@@ -197,6 +197,17 @@ def test_import_query_is_split(spark, monkeypatch):
                      "lowerBound": 1, "upperBound": 100, "numPartitions": 8, "properties": {"user": "u"}}
 
 
+def test_import_queries():
+    sent = tables.import_query("page", ["page_id", "page_title"], ["page_title"], "page_id > 3")
+    assert sent == ("SELECT page_id, CAST(page_title AS CHAR(255) CHARSET utf8) AS page_title "
+                    "FROM page WHERE page_id > 3")
+
+
+def test_moments(spark):
+    df = spark.createDataFrame([("2015-06-09 21:23",), ("soon",)], "t STRING")
+    assert values(df, rq.moment("t")) == [(datetime(2015, 6, 9, 21, 23),), (None,)]
+
+
 def test_protocols_with_missing_flag(spark):
     df = spark.createDataFrame([(1, 1, 10), (1, 0, 5), (1, None, 2), (2, None, 3)], "date INT, https INT, n LONG")
     found = values(traffic.protocol_series(df).orderBy("date"), "date", "https", "http", "combined")

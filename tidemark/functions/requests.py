@@ -104,6 +104,16 @@ def day_of_parts(year, month, day) -> Column:
     return F.make_date(_col(year), _col(month), _col(day))
 
 
+def moment(text: Column | str, pattern: str = "yyyy-MM-dd HH:mm") -> Column:
+    """Timestamp of a written moment; NULL where the text does not fit."""
+    return F.try_to_timestamp(_col(text), F.lit(pattern))
+
+
+def days_before(day: Column | str, days: int = 7) -> Column:
+    """The date so many days earlier."""
+    return F.date_sub(_col(day), days)
+
+
 def utf8_text(raw: Column | str) -> Column:
     """Text of a binary column that holds UTF-8."""
     return F.decode(_col(raw), "UTF-8")

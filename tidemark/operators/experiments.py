@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import log_choose, ratio, t_p_value
@@ -50,16 +49,13 @@ def with_all_amounts(histogram: DataFrame, experiment: str = "experiment",
 
 
 def empirical_rates(histogram: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Donation rate, and each positive amount's share of the donations.
-
-    The window runs over the distinct amounts of a variant, not over records.
-    """
-    variant = W.partitionBy(*keys)
-    zero = F.sum(F.when(F.col("amount") == 0, F.col("n")).otherwise(0)).over(variant)
-    total = F.sum("n").over(variant)
-    rated = histogram.withColumn("p_donate", 1.0 - ratio(zero, total)).withColumn(
-        "share", F.try_divide(ratio(F.col("n"), total), F.col("p_donate")))
-    return rated.where(F.col("amount") > 0).select(*keys, "amount", "p_donate", "share")
+    """Donation rate, and each positive amount's share of the donations."""
+    zeros = F.sum(F.when(F.col("amount") == 0, F.col("n")).otherwise(0))
+    totals = histogram.groupBy(*keys).agg(
+        F.sum("n").alias("_total"), (1.0 - ratio(zeros, F.sum("n"))).alias("p_donate"))
+    share = F.try_divide(ratio(F.col("n"), F.col("_total")), F.col("p_donate"))
+    return histogram.where(F.col("amount") > 0).join(totals, list(keys)).select(
+        *keys, "amount", "p_donate", share.alias("share"))
 
 
 def apply_lift(rates: DataFrame, lift: float) -> DataFrame:

@@ -14,29 +14,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.session import shared_folder
+from tidemark.session import written
 
 SLICE = "_slice"
 
 
+def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              slices: int | None) -> DataFrame:
+    """Range-partitions by (keys, order), balanced whatever the key frequencies.
+
+    ``order`` must be unique within ``keys``.
+    """
+    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(count, *keys, *order)
+
+
 def cut_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  slices: int | None = None) -> DataFrame:
     """Tags each row with its slice of the total order (keys, order).
 
-    Range partitioning balances the slices by sampling, whatever the key
-    frequencies, given that ``order`` is unique within ``keys``. A recomputed
-    range partitioning may cut elsewhere, so the tagged rows are checkpointed to
-    the shared folder: all later uses, also after a lost executor, see the same
-    cut.
+    A recomputed range partitioning may cut elsewhere, so the tagged rows are
+    written to the shared folder: all later uses, also after a lost executor, see
+    the same cut.
     """
-    spark = df.sparkSession
-    shared_folder(spark)
-    count = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        df.repartitionByRange(count, *keys, *order)
-        .withColumn(SLICE, F.spark_partition_id())
-        .checkpoint()
-    )
+    return written(_in_order(df, keys, order, slices).withColumn(SLICE, F.spark_partition_id()),
+                   "slices")
 
 
 def cut_by_position(df: DataFrame, position: str, width: int = 4096) -> DataFrame:
@@ -81,9 +83,25 @@ def running_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               name: str = "rank", slices: int | None = None) -> DataFrame:
-    """Row number per key in a unique order, for groups of any size."""
-    return running_totals(cut_by_order(df, keys, order, slices), keys, order,
-                          {name: F.lit(1).cast("long")})
+    """Row number per key in a unique order, for groups of any size, with one shuffle.
+
+    Sorted range partitions number their rows as they are written. What is left is
+    to shift each key's numbers in each slice by the rows of the key in the slices
+    before: a join with one row per slice and key that occurs in it.
+    """
+    place = "_place"
+    placed = written(
+        _in_order(df, keys, order, slices).sortWithinPartitions(*keys, *order)
+        .withColumn(place, F.monotonically_increasing_id()), "ranked"
+    ).withColumn(SLICE, F.shiftright(place, 33).cast("int"))
+    runs = placed.groupBy(*keys, SLICE).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min(place).alias("_first"))
+    before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    shifts = runs.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SLICE).alias("_key_slice"),
+        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return placed.join(shifts, _same_slice(keys)).select(
+        *df.columns, (F.col(place) + F.col("_shift")).alias(name))
 
 
 def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str,

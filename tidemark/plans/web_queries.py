@@ -159,7 +159,8 @@ def page_url_parts(spark, folder):
 SELECT event_id, CAST(make_timestamp(year, month, day, hour, 0, 0) AS TIMESTAMP) AS hour_start,
   make_date(year, month, day) AS day_date,
   concat(year, '-', month, '-', day) AS day_text,
-  CAST(make_date(year, month, day) - 7 AS DATE) AS week_before
+  CAST(make_date(year, month, day) - 7 AS DATE) AS week_before,
+  strptime(strftime(ts, '%Y-%m-%d %H:%M'), '%Y-%m-%d %H:%M') AS minute_start
 FROM requests""")
 def dates_of_parts(spark, folder):
     day = rq.day_of_parts("year", "month", "day")
@@ -167,7 +168,8 @@ def dates_of_parts(spark, folder):
         "event_id",
         rq.hour_of_parts("year", "month", "day", "hour").cast("timestamp_ntz").alias("hour_start"),
         day.alias("day_date"), F.concat_ws("-", "year", "month", "day").alias("day_text"),
-        F.date_sub(day, 7).alias("week_before"))
+        rq.days_before(day).alias("week_before"),
+        rq.moment(F.date_format("ts", "yyyy-MM-dd HH:mm")).cast("timestamp_ntz").alias("minute_start"))
 
 
 @checked("country_of_address", """

@@ -57,6 +57,36 @@ def read_jdbc_partitioned(spark: SparkSession, url: str, query: str, split_colum
                            numPartitions=partitions, properties=properties)
 
 
+def import_query(table: str, columns: Sequence[str], text: Sequence[str] = (),
+                 where: str | None = None) -> str:
+    """Query that an import sends: columns by name, text columns as UTF-8."""
+    selected = ", ".join(f"CAST({c} AS CHAR(255) CHARSET utf8) AS {c}" if c in text else c
+                         for c in columns)
+    return f"SELECT {selected} FROM {table}" + (f" WHERE {where}" if where else "")
+
+
+def import_pages(spark: SparkSession, url: str, **options) -> DataFrame:
+    """The page table, split by page id."""
+    columns = ["page_id", "page_namespace", "page_title", "page_counter", "page_is_redirect"]
+    return read_jdbc_partitioned(spark, url, import_query("page", columns, ["page_title"]),
+                                 "page_id", **options)
+
+
+def import_page_links(spark: SparkSession, url: str, **options) -> DataFrame:
+    """The table of links between pages, split by the linking page."""
+    columns = ["pl_from", "pl_namespace", "pl_title", "pl_from_namespace"]
+    return read_jdbc_partitioned(spark, url, import_query("pagelinks", columns, ["pl_title"]),
+                                 "pl_from", **options)
+
+
+def import_revisions(spark: SparkSession, url: str, above: int = 10000, below: int = 12000,
+                     **options) -> DataFrame:
+    """Edits of the users between two ids, split by page; see ``links.edited_pages``."""
+    query = import_query("revision", ["rev_user", "rev_page"],
+                         where=f"rev_user > {int(above)} AND rev_user < {int(below)}")
+    return read_jdbc_partitioned(spark, url, query, "rev_page", **options)
+
+
 def publish_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Overwrites the partitions that ``df`` holds and leaves all others alone.
 
