@@ -6,7 +6,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import cohort, models
+from tidemark.operators import cohort, models, ordered
 
 ACTIVITY = ("user_id LONG, month DATE, cla_0 LONG, cla_1 LONG, cla_2 LONG, cla_3 LONG, cla_tot LONG, "
             "cala_0 LONG, crla_0 LONG, v_no_months INT, aeb_no_months INT, talk_counts LONG, friend_count LONG")
@@ -53,7 +53,9 @@ def test_histogram_edges(spark):
     assert [(r.bin, r.n) for r in cohort.histogram(constant, "v").collect()] == [(0, 2)]
 
 
-def test_folds_are_stratified(spark):
+@pytest.mark.parametrize("in_one_task", [ordered.IN_ONE_TASK, 0])
+def test_folds_are_stratified(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ordered, "IN_ONE_TASK", in_one_task)
     df = spark.range(1000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     counts = {(r.label, r.fold): r["count"] for r in
               cohort.stratified_folds(df, "label", "id", 4, seed=3).groupBy("label", "fold").count().collect()}

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers
-from tidemark.operators import draws, sequential
+from tidemark.operators import draws, ordered, sequential
 from tidemark.operators import experiments as ex
 
 RECORD = "impression_id LONG, ts LONG, experiment STRING, variant STRING, amount LONG"
@@ -57,7 +57,10 @@ def test_no_conversions_go_on(spark):
     assert sequential.first_decision(results).count() == 0
 
 
-def test_checkpoints_follow_the_order(spark):
+@pytest.mark.parametrize("in_one_task", [ordered.IN_ONE_TASK, 0])
+def test_checkpoints_follow_the_order(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ordered, "IN_ONE_TASK", in_one_task)
+    monkeypatch.setattr(ordered, "SLICE_WIDTH", 3)
     df = records(spark, n=1030)
     counts = {(r.variant, r.checkpoint): r for r in sequential.checkpoint_counts(df, 100).collect()}
     rows = {v: [r.amount for r in df.where(F.col("variant") == v).orderBy("ts", "impression_id").collect()]
@@ -91,7 +94,10 @@ def test_bayesian_rules_agree_on_a_clear_case(spark):
     assert streak.result == "B" and streak.checkpoint >= 3
 
 
-def test_streaks_restart_after_a_miss(spark):
+@pytest.mark.parametrize("in_one_task", [ordered.IN_ONE_TASK, 0])
+def test_streaks_restart_after_a_miss(spark, monkeypatch, in_one_task):
+    monkeypatch.setattr(ordered, "IN_ONE_TASK", in_one_task)
+    monkeypatch.setattr(ordered, "SLICE_WIDTH", 2)
     hits = [1, 1, 0, 1, 1, 1, 0, 0, 1]
     df = spark.createDataFrame([("x", i, bool(h)) for i, h in enumerate(hits, 1)],
                                "experiment STRING, checkpoint LONG, hit BOOLEAN")

@@ -7,9 +7,10 @@ import random
 import pytest
 
 from tidemark.operators import links, similarity
-from tidemark.operators.ordered import cut_by_order, next_position, rank_rows, running_totals
 from pyspark.sql import functions as F
 
+from tidemark.operators import ordered
+
 PAGE = "page_id LONG, page_title STRING, page_namespace INT, page_is_redirect INT"
 
 
@@ -152,29 +153,37 @@ def test_recommendations_are_new_and_ranked(spark):
     assert {r.user_id for r in found} <= set(range(10))
 
 
-def test_rank_with_one_dominant_key(spark):
+@pytest.fixture(params=[ordered.IN_ONE_TASK, 0], ids=["window", "slices"])
+def both_ways(request, monkeypatch):
+    monkeypatch.setattr(ordered, "IN_ONE_TASK", request.param)
+    monkeypatch.setattr(ordered, "SLICE_WIDTH", 4)
+
+
+def test_rank_with_one_dominant_key(spark, both_ways):
     rows = [("hot", i * 7 % 5000) for i in range(5000)] + [("cold", i) for i in range(20)] + [(None, 3), (None, 1)]
     df = spark.createDataFrame(rows, "k STRING, o LONG")
-    found = rank_rows(df, ["k"], ["o"], "r", slices=8).collect()
     expected = {}
     for key in ("hot", "cold", None):
         for place, o in enumerate(sorted(o for k, o in rows if k == key), 1):
             expected[key, o] = place
-    assert {(r.k, r.o): r.r for r in found} == expected
-    assert rank_rows(df, [], ["o", "k"], "r").agg(F.max("r")).first()[0] == len(rows)
-    spread = cut_by_order(df, ["k"], ["o"], 8).groupBy("_slice").count().collect()
+    assert {(r.k, r.o): r.r for r in ordered.rank_rows(df, ["k"], ["o"], "r").collect()} == expected
+    assert ordered.rank_rows(df, [], ["o", "k"], "r").agg(F.max("r")).first()[0] == len(rows)
+    spread = ordered.cut_by_order(df, ["k"], ["o"], 8).groupBy("_slice").count().collect()
     assert max(r["count"] for r in spread) < 2000
 
 
-def test_running_totals_and_next_position(spark):
-    rows = [("a", p, p % 3) for p in (1, 2, 5, 9, 10, 40)]
+def test_running_totals_and_next_position(spark, both_ways):
+    rows = [("a", p, p % 3) for p in (1, 2, 5, 9, 10, 40)] + [("b", 3, 7)]
     df = spark.createDataFrame(rows, "k STRING, p LONG, v LONG")
-    sums = running_totals(df.withColumn("_slice", F.floor(F.col("p") / 4).cast("int")), ["k"], ["p"],
-                          {"s": F.col("v")})
-    total, expected = 0, {}
-    for _, p, v in rows:
-        total += v
-        expected[p] = total
-    assert {r.p: r.s for r in sums.collect()} == expected
-    following = next_position(df, ["k"], "p", "n", width=4)
-    assert {r.p: r.n for r in following.collect()} == {1: 2, 2: 5, 5: 9, 9: 10, 10: 40, 40: None}
+    totals, tops, expected = {}, {}, {}
+    for k, p, v in rows:
+        totals[k] = totals.get(k, 0) + v
+        tops[k] = max(tops.get(k, 0), v)
+        expected[k, p] = (totals[k], tops[k])
+    for position in ("p", None):
+        sums = ordered.running_totals(df, ["k"], ["p"], {"s": F.col("v")}, position=position)
+        both = ordered.running_totals(sums, ["k"], ["p"], {"t": F.col("v")}, True, position)
+        assert {(r.k, r.p): (r.s, r.t) for r in both.collect()} == expected
+    following = ordered.next_position(df, ["k"], "p", "n")
+    assert {(r.k, r.p): r.n for r in following.collect()} == {
+        ("a", 1): 2, ("a", 2): 5, ("a", 5): 9, ("a", 9): 10, ("a", 10): 40, ("a", 40): None, ("b", 3): None}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
-from tidemark.operators.ordered import cut_by_order, rank_rows, running_totals
+from tidemark.operators.ordered import rank_rows, running_totals
 
 # Feature names of the survival data, with the activity columns they come from.
 HORIZON_FEATURES = {
@@ -154,8 +154,7 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int
                      hashed: bool = True) -> DataFrame:
     """Adds a fold number so that each fold has the same share of every label.
 
-    Rows are dealt out in hash order within a label. A label may hold most of the
-    rows, hence the sliced ranking.
+    Rows are dealt out in hash order within a label, which may hold most of the rows.
     """
     order = F.xxhash64(F.col(key), F.lit(seed)) if hashed else F.col(key)
     dealt = rank_rows(df.withColumn("_order", order), [label], ["_order", key], "_rank")
@@ -172,8 +171,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
     per_score = df.groupBy(F.col(score).alias("_score")).agg(
         F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
-    ranked = running_totals(cut_by_order(per_score, [], ["_score"]), [], ["_score"],
-                            {"_below": F.col("_neg")})
+    ranked = running_totals(per_score, [], ["_score"], {"_below": F.col("_neg")})
     wins = F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0)
     total = ranked.agg(F.sum(wins).alias("wins"), F.sum("_pos").alias("positives"),
                        F.sum("_neg").alias("negatives"))

@@ -1,9 +1,10 @@
-"""Running totals and ranks over groups too large for one task.
+"""Ranks and running totals over groups of any size.
 
-A plain window puts a whole group into one task. Here the rows are cut into
-slices along the sort order first, so that one group may hold any share of the
-data: each slice is summed on its own, and a window over the few slice totals
-gives every slice its opening balance.
+A plain window puts a whole group into one task. That is the cheapest way while
+the largest group is known to be small, so it is used behind a count of the groups.
+Beyond that the rows are cut into slices along the sort order: each slice is summed
+on its own, and a window over the few slice totals gives every slice its opening
+balance. One group may then hold any share of the data.
 """
 
 from __future__ import annotations
@@ -17,6 +18,23 @@ from pyspark.sql import functions as F
 from tidemark.session import written
 
 SLICE = "_slice"
+# Rows of one group that a task may sort.
+IN_ONE_TASK = 4_000_000
+# Positions per slice when a dense number gives the order.
+SLICE_WIDTH = 4096
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group; one pass over the key columns."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    return counts.agg(F.max("_rows")).first()[0] or 0
+
+
+def _fits(df: DataFrame, keys: Sequence[str], bound: int | None) -> bool:
+    """Whether every group may go into one task; without keys all rows would."""
+    if not keys:
+        return False
+    return (largest_group(df, keys) if bound is None else bound) <= IN_ONE_TASK
 
 
 def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -41,9 +59,10 @@ def cut_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    "slices")
 
 
-def cut_by_position(df: DataFrame, position: str, width: int = 4096) -> DataFrame:
-    """Tags each row with its slice of a dense number; needs no checkpoint."""
-    return df.withColumn(SLICE, F.floor(F.col(position) / F.lit(width)).cast("int"))
+def cut_by_position(df: DataFrame, position: str) -> DataFrame:
+    """Tags each row with its slice of a dense number; written, as it is read twice."""
+    place = F.floor(F.col(position) / F.lit(SLICE_WIDTH)).cast("int")
+    return written(df.withColumn(SLICE, place), "slices")
 
 
 def _same_slice(keys: Sequence[str]) -> Column:
@@ -53,21 +72,25 @@ def _same_slice(keys: Sequence[str]) -> Column:
     return on
 
 
-def running_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
-                   totals: Mapping[str, Column], largest: bool = False) -> DataFrame:
-    """Adds running totals per key, the current row included.
+def _per_slice(df: DataFrame, keys: Sequence[str], *columns: Column) -> DataFrame:
+    """Small table of one row per key and slice.
 
-    ``sliced`` comes from one of the cutting functions. ``totals`` maps the new
-    columns to the values to add up. With ``largest`` the running maximum is taken
-    instead of the sum.
+    Written, so that Spark knows its size and broadcasts it if that is small, and
+    does not shuffle the rows it is joined to.
     """
+    return written(df.select(*[F.col(k).alias(f"_key_{k}") for k in keys],
+                             F.col(SLICE).alias("_key_slice"), *columns), "openings")
+
+
+def sliced_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
+                  totals: Mapping[str, Column], largest: bool = False) -> DataFrame:
+    """Running totals from rows that one of the cutting functions has tagged."""
     fold = F.max if largest else F.sum
     slice_totals = sliced.groupBy(*keys, SLICE).agg(
         *[fold(value).alias(name) for name, value in totals.items()])
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    openings = slice_totals.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SLICE).alias("_key_slice"),
-        *[fold(name).over(before).alias(f"_opening_{name}") for name in totals])
+    openings = _per_slice(slice_totals, keys, *[
+        fold(name).over(before).alias(f"_opening_{name}") for name in totals])
     within = (W.partitionBy(*keys, SLICE).orderBy(*order)
               .rowsBetween(W.unboundedPreceding, W.currentRow))
     local = sliced.select(
@@ -81,9 +104,28 @@ def running_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
     return joined.select(*[c for c in sliced.columns if c != SLICE], *combined)
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              name: str = "rank", slices: int | None = None) -> DataFrame:
-    """Row number per key in a unique order, for groups of any size, with one shuffle.
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                   totals: Mapping[str, Column], largest: bool = False,
+                   position: str | None = None, bound: int | None = None) -> DataFrame:
+    """Adds running totals per key in a unique order, the current row included.
+
+    ``totals`` maps the new columns to the values to add up; with ``largest`` the
+    running maximum is taken instead. ``position`` names a dense number that gives
+    the order, if there is one. ``bound`` is the size of the largest group where the
+    caller knows it; else the groups are counted.
+    """
+    if _fits(df, keys, bound):
+        fold = F.max if largest else F.sum
+        window = (W.partitionBy(*keys).orderBy(*order)
+                  .rowsBetween(W.unboundedPreceding, W.currentRow))
+        return df.select("*", *[fold(v).over(window).alias(n) for n, v in totals.items()])
+    sliced = cut_by_position(df, position) if position else cut_by_order(df, keys, order)
+    return sliced_totals(sliced, keys, order, totals, largest)
+
+
+def sliced_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+                 name: str = "rank", slices: int | None = None) -> DataFrame:
+    """Row number per key with one shuffle, whatever the size of a group.
 
     Sorted range partitions number their rows as they are written. What is left is
     to shift each key's numbers in each slice by the rows of the key in the slices
@@ -97,22 +139,31 @@ def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     runs = placed.groupBy(*keys, SLICE).agg(
         F.count(F.lit(1)).alias("_rows"), F.min(place).alias("_first"))
     before = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    shifts = runs.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SLICE).alias("_key_slice"),
-        (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    shifts = _per_slice(runs, keys, (F.coalesce(F.sum("_rows").over(before), F.lit(0))
+                                     - F.col("_first") + 1).alias("_shift"))
     return placed.join(shifts, _same_slice(keys)).select(
         *df.columns, (F.col(place) + F.col("_shift")).alias(name))
 
 
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              name: str = "rank", bound: int | None = None) -> DataFrame:
+    """Row number per key in a unique order; ``bound`` as in :func:`running_totals`."""
+    if _fits(df, keys, bound):
+        window = W.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(name, F.row_number().over(window).cast("long"))
+    return sliced_ranks(df, keys, order, name)
+
+
 def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str,
-                  width: int = 4096) -> DataFrame:
+                  bound: int | None = None) -> DataFrame:
     """Adds the next position present for the same key, NULL for the last one."""
-    sliced = cut_by_position(df, position, width)
+    if _fits(df, keys, bound):
+        window = W.partitionBy(*keys).orderBy(position)
+        return df.withColumn(name, F.lead(position).over(window))
+    sliced = cut_by_position(df, position)
     firsts = sliced.groupBy(*keys, SLICE).agg(F.min(position).alias("_first"))
     later = W.partitionBy(*keys).orderBy(SLICE)
-    following = firsts.select(
-        *[F.col(k).alias(f"_key_{k}") for k in keys], F.col(SLICE).alias("_key_slice"),
-        F.lead("_first").over(later).alias("_following"))
+    following = _per_slice(firsts, keys, F.lead("_first").over(later).alias("_following"))
     within = W.partitionBy(*keys, SLICE).orderBy(position)
     local = sliced.withColumn(name, F.lead(position).over(within))
     return local.join(following, _same_slice(keys)).select(

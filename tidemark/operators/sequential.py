@@ -8,35 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import draws, experiments
-from tidemark.operators.ordered import cut_by_position, next_position, rank_rows, running_totals
+from tidemark.operators.ordered import largest_group, next_position, rank_rows, running_totals
 
 ORDER = ("ts", "impression_id")
 
 
 def numbered_records(df: DataFrame, interval: int, value: str = "amount",
                      order: Sequence[str] = ORDER,
-                     keys: Sequence[str] = experiments.KEYS) -> DataFrame:
+                     keys: Sequence[str] = experiments.KEYS, bound: int | None = None) -> DataFrame:
     """Records with the checkpoint they count for: 1 for the first ``interval``, then 2, ...
 
-    ``order`` must be unique within a variant.
+    ``order`` must be unique within a variant. ``bound`` is the size of the largest
+    variant where it is known.
     """
-    ranked = rank_rows(df.select(*keys, *order, value), keys, order, "_rank")
+    ranked = rank_rows(df.select(*keys, *order, value), keys, order, "_rank", bound)
     return ranked.select(*keys, F.ceil(F.col("_rank") / F.lit(interval)).cast("long").alias("checkpoint"),
                          value)
 
 
 def checkpoint_counts(df: DataFrame, interval: int, value: str = "amount",
                       order: Sequence[str] = ORDER,
-                      keys: Sequence[str] = experiments.KEYS) -> DataFrame:
+                      keys: Sequence[str] = experiments.KEYS, bound: int | None = None) -> DataFrame:
     """Running count, conversions, sum and mean of each variant at each full checkpoint."""
+    bound = largest_group(df, keys) if bound is None else bound
     x = F.col(value).cast("double")
-    steps = numbered_records(df, interval, value, order, keys).groupBy(*keys, "checkpoint").agg(
+    steps = numbered_records(df, interval, value, order, keys, bound).groupBy(*keys, "checkpoint").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((x > 0).cast("long")).alias("_hits"),
         F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares"))
     full = steps.where(F.col("_n") == interval)
-    running = running_totals(cut_by_position(full, "checkpoint"), keys, ["checkpoint"], {
+    running = running_totals(full, keys, ["checkpoint"], {
         "n": F.col("_n"), "successes": F.col("_hits"), "total": F.col("_sum"),
-        "squares": F.col("_squares")})
+        "squares": F.col("_squares")}, position="checkpoint", bound=bound // interval)
     mean = F.col("total") / F.col("n")
     return running.select(
         *keys, "checkpoint", "n", "successes", (F.col("n") - F.col("successes")).alias("failures"),
@@ -52,7 +54,8 @@ def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = O
     checkpoint before the next one.
     """
     keys = list(experiments.KEYS)
-    numbered = numbered_records(df, interval, amount, order, keys)
+    bound = largest_group(df, keys)
+    numbered = numbered_records(df, interval, amount, order, keys, bound)
     steps = numbered.groupBy(*keys, "checkpoint", F.col(amount).alias("amount")).agg(
         F.count(F.lit(1)).alias("_n"))
     last = steps.groupBy(*keys).agg(F.floor(F.sum("_n") / interval).alias("_last"))
@@ -63,9 +66,10 @@ def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = O
     changes = steps.unionByName(starts).groupBy(*keys, "amount", "checkpoint").agg(
         F.sum("_n").alias("_n"))
     series = [*keys, "amount"]
-    running = running_totals(cut_by_position(changes, "checkpoint"), series, ["checkpoint"],
-                             {"n": F.col("_n")})
-    spans = next_position(running, series, "checkpoint", "_next").join(last, keys)
+    longest = bound // interval + 1
+    running = running_totals(changes, series, ["checkpoint"], {"n": F.col("_n")},
+                             position="checkpoint", bound=longest)
+    spans = next_position(running, series, "checkpoint", "_next", longest).join(last, keys)
     until = F.least(F.coalesce(F.col("_next") - 1, F.col("_last")), F.col("_last"))
     return spans.where(F.col("checkpoint") <= F.col("_last")).select(
         *keys, F.explode(F.sequence(F.col("checkpoint"), until)).alias("checkpoint"), "amount", "n")
@@ -95,11 +99,12 @@ def amount_results(df: DataFrame, interval: int, rule: Callable[[DataFrame], Dat
     return rule(draws.compare_amounts(histograms, ["experiment", "checkpoint"], draws=sample, seed=seed))
 
 
-def streak_lengths(df: DataFrame, hit: str, name: str, keys: Sequence[str] = ("experiment",)) -> DataFrame:
+def streak_lengths(df: DataFrame, hit: str, name: str, keys: Sequence[str] = ("experiment",),
+                   bound: int | None = None) -> DataFrame:
     """Adds the number of hits in a row up to each checkpoint; checkpoints count from 1."""
     miss_at = F.when(F.col(hit), F.lit(0)).otherwise(F.col("checkpoint"))
-    last_miss = running_totals(cut_by_position(df, "checkpoint"), keys, ["checkpoint"],
-                               {"_miss": miss_at}, largest=True)
+    last_miss = running_totals(df, keys, ["checkpoint"], {"_miss": miss_at}, largest=True,
+                               position="checkpoint", bound=bound)
     return last_miss.withColumn(name, F.col("checkpoint") - F.col("_miss")).drop("_miss")
 
 
@@ -112,14 +117,16 @@ def streak_results(df: DataFrame, interval: int, conf: float, consecutives: int
     many checkpoints in a row. ``result`` is 'A', 'B', 'unknown' past the longest
     run, else 'continue'.
     """
-    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order))
+    bound = largest_group(df, experiments.KEYS)
+    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order, bound=bound))
     paired = experiments.pair_variants(counts, ["experiment", "checkpoint"])
     keys = ["experiment", "checkpoint"]
     judged = draws.compare(paired, draws.rate_draws, keys, sample, seed).withColumn(
         "_better", F.col("p_a_better") > conf).withColumn(
         "_worse", (1.0 - F.col("p_a_better")) > conf)
-    streaks = streak_lengths(streak_lengths(judged, "_better", "better_streak"), "_worse",
-                             "worse_streak")
+    streaks = judged
+    for hit, name in (("_better", "better_streak"), ("_worse", "worse_streak")):
+        streaks = streak_lengths(streaks, hit, name, bound=bound // interval)
     return streaks.withColumn("result", experiments.stop_result(
         F.col("better_streak") >= consecutives, F.col("worse_streak") >= consecutives, max_run))
 
