@@ -86,7 +86,7 @@ SELECT o_custkey AS user_id, last_day(CAST(o_orderdate AS DATE)) AS month,
   MAX(12 * (year(o_orderdate) - 1992) + month(o_orderdate)) AS v_no_months,
   MAX(12 * (year(o_orderdate) - 1992) + month(o_orderdate)) - o_custkey % 7 AS aeb_no_months,
   COUNT(CASE WHEN o_totalprice > 250000 THEN 1 END) AS talk_counts,
-  COUNT(DISTINCT o_orderpriority) AS friend_count
+  MAX(o_orderkey % 9) AS friend_count
 FROM {orders} GROUP BY o_custkey, last_day(CAST(o_orderdate AS DATE))
 """
 
