@@ -94,6 +94,19 @@ def readers_only(df: DataFrame) -> DataFrame:
     return drop_spiders(drop_crawlers(flagged_pageviews(drop_script_paths(df))))
 
 
+def geo_rows(df: DataFrame, keep: Sequence[str] = (), country: Column | None = None,
+             access: Column | None = None) -> DataFrame:
+    """One row per page view with its project, language, title, access method and country."""
+    return readers_only(df).select(
+        *keep,
+        rq.project("uri_host").alias("project"),
+        rq.variant("uri_host").alias("variant"),
+        rq.page_title("uri_path").alias("page_title"),
+        (rq.access_method("uri_host", "user_agent") if access is None else access).alias("access_method"),
+        (F.col("country") if country is None else country).alias("country"),
+    )
+
+
 def geo_pageviews_daily(df: DataFrame, scale: int = fixed.SAMPLE_ONE_IN,
                         country: Column | None = None,
                         dates: Sequence[str] = ("year", "month", "day")) -> DataFrame:
@@ -101,14 +114,7 @@ def geo_pageviews_daily(df: DataFrame, scale: int = fixed.SAMPLE_ONE_IN,
 
     ``scale`` undoes the sampling of the scan.
     """
-    counted = readers_only(df).select(
-        *dates,
-        rq.project("uri_host").alias("project"),
-        rq.variant("uri_host").alias("variant"),
-        rq.page_title("uri_path").alias("page_title"),
-        (F.col("country") if country is None else country).alias("country"),
-    )
-    return counted.groupBy(*DAILY_KEYS, *dates).agg(
+    return geo_rows(df, dates, country).groupBy(*DAILY_KEYS, *dates).agg(
         (F.lit(scale).cast("long") * F.count(F.lit(1))).alias("n"))
 
 
@@ -116,17 +122,7 @@ def geo_pageviews_hourly(df: DataFrame, scale: int = 1, country: Column | None =
                          access: Column | None = None,
                          dates: Sequence[str] = ("year", "month", "day", "hour")) -> DataFrame:
     """Page views per hour, split by access method as well."""
-    if access is None:
-        access = rq.access_method("uri_host", "user_agent")
-    counted = readers_only(df).select(
-        *dates,
-        rq.project("uri_host").alias("project"),
-        rq.variant("uri_host").alias("variant"),
-        rq.page_title("uri_path").alias("page_title"),
-        access.alias("access_method"),
-        (F.col("country") if country is None else country).alias("country"),
-    )
-    return counted.groupBy(*HOURLY_KEYS, *dates).agg(
+    return geo_rows(df, dates, country, access).groupBy(*HOURLY_KEYS, *dates).agg(
         (F.lit(scale).cast("long") * F.count(F.lit(1))).alias("n"))
 
 

@@ -250,6 +250,17 @@ def _searched(spark, folder, grid, scaled=False):
     return data, models.grid_search(data, cohort.FEATURES, model, settings, 2, scaled)
 
 
+SCALED = ["cla_0", "cla_1", "cla_tot", "v_no_months"]
+
+
+@checked("standardized_activity", "SELECT user_id, month, " + ", ".join(
+    f"{sql_tidy(f'({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()')} AS {c}" for c in SCALED)
+    + " FROM activity")
+def standardized_activity(spark, folder):
+    rows = view(spark, folder, "activity").select("user_id", "month", *SCALED)
+    return tidied(models.standardized(rows, SCALED), *SCALED)
+
+
 @checked("svm_grid_scores")
 def svm_grid_scores(spark, folder):
     return models.grid_scores(*_searched(spark, folder, lambda d: models.svm_grid(d.count() // 2)))

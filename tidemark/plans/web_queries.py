@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import requests as rq
 from tidemark.functions.numbers import tidy
 from tidemark.operators import pageviews, traffic, trends
+from tidemark.plans import jobs
 from tidemark.plans.views import table, view, with_views
 from tidemark.session import scratch_path
 from tidemark.sources import requests as request_log
@@ -190,6 +191,17 @@ def geo_pageviews_daily(spark, folder):
     return daily_series(spark, folder)
 
 
+@checked("mobile_web_pageviews", f"""
+WITH {HOST_PARTS}, rows AS (SELECT event_id, project, variant, page_title,
+  CASE WHEN user_agent LIKE '%WikipediaApp%' THEN 'mobile app'
+       WHEN uri_host LIKE '%.m.%' THEN 'mobile web' ELSE 'desktop' END AS access_method, country
+  FROM named WHERE {READERS})
+SELECT * FROM rows WHERE access_method = 'mobile web' ORDER BY event_id LIMIT 10""")
+def mobile_web_pageviews(spark, folder):
+    rows = pageviews.geo_rows(view(spark, folder, "requests"), ["event_id"])
+    return trends.first_rows(rows.where("access_method = 'mobile web'"), ["event_id"], 10)
+
+
 @checked("geo_pageviews_hourly", f"""
 WITH {HOST_PARTS}
 SELECT project, variant, page_title, country, year, month, day, hour,
@@ -413,6 +425,22 @@ def most_trending_pages(spark, folder):
     return trends.top_scored(scores, 100, "trend", pageviews.DAILY_KEYS)
 
 
+@checked("published_trends", f"""
+WITH {HOST_PARTS}, {DAILY},
+ordered AS (SELECT *, row_number() OVER (PARTITION BY project, variant, page_title, country
+  ORDER BY year, month, day) - 1 AS x FROM daily
+  WHERE project = 'wikipedia' AND make_date(year, month, day) <= DATE '2024-01-20'),
+scored AS (SELECT project, variant, page_title, country, avg(n) AS popularity,
+  CASE WHEN count(*) = 1 THEN 0 ELSE regr_slope(n, x) END AS trend FROM ordered GROUP BY ALL)
+SELECT project, variant, page_title, country, {sql_tidy('popularity')} AS popularity,
+  {sql_tidy('trend')} AS trend, 2024 AS year, 1 AS month, 20 AS day FROM scored""")
+def published_trends(spark, folder):
+    daily, scores = scratch_path(spark, "daily"), scratch_path(spark, "trends")
+    tables.publish_partitions(daily_series(spark, folder), daily, ["year", "month", "day"])
+    jobs.publish_trends(spark, daily, scores, date(2024, 1, 20), since_year=2015)
+    return tidied(spark.read.parquet(scores), "popularity", "trend")
+
+
 @checked("burst_score", f"""
 WITH {SCORED}, recent AS (SELECT project, variant, page_title, country, count(*) AS days,
   CAST(max(n) FILTER (age = 1) AS DOUBLE) AS last, CAST(sum(n) AS DOUBLE) AS total
