@@ -210,8 +210,10 @@ def test_moments(spark):
 
 def test_protocols_with_missing_flag(spark):
     df = spark.createDataFrame([(1, 1, 10), (1, 0, 5), (1, None, 2), (2, None, 3)], "date INT, https INT, n LONG")
-    found = values(traffic.protocol_series(df).orderBy("date"), "date", "https", "http", "combined")
-    assert found == [(1, 10, 7, 17), (2, None, 3, 3)]
+    for kind in ("int", "double", "string"):
+        series = traffic.protocol_series(df.withColumn("https", F.col("https").cast(kind)))
+        found = values(series.orderBy("date"), "date", "https", "http", "combined")
+        assert found == [(1, 10, 7, 17), (2, None, 3, 3)]
 
 
 def test_status_is_text(spark):

@@ -56,7 +56,7 @@ def protocol_series(df: DataFrame, date: str = "date", n: str = "n") -> DataFram
     A missing protocol flag counts as not encrypted. A side without rows in an
     hour is NULL.
     """
-    encrypted = F.col("https").cast("string").eqNullSafe(F.lit("1"))
+    encrypted = F.col("https").try_cast("double").eqNullSafe(F.lit(1.0))
     return df.groupBy(date).agg(
         F.sum(F.when(encrypted, F.col(n))).alias("https"),
         F.sum(F.when(~encrypted, F.col(n))).alias("http"),
