@@ -99,6 +99,11 @@ def hour_of_parts(year, month, day, hour) -> Column:
     return F.make_timestamp(_col(year), _col(month), _col(day), _col(hour), zero, zero)
 
 
+def wall_clock(moment_given) -> Column:
+    """A Python datetime as a timestamp without zone, the same in every session."""
+    return F.lit(moment_given.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def day_of_parts(year, month, day) -> Column:
     """Date of three partition numbers."""
     return F.make_date(_col(year), _col(month), _col(day))

@@ -37,7 +37,7 @@ def with_hour(df: DataFrame, name: str = "date") -> DataFrame:
 def successful(df: DataFrame, status: str = fixed.OK_STATUS, after=None) -> DataFrame:
     """Keeps one status, compared as text, and optionally hours after a moment."""
     df = df.where(F.col("http_status").cast("string") == status)
-    return df if after is None else df.where(F.col("date") > F.lit(after).cast("timestamp"))
+    return df if after is None else df.where(F.col("date") > F.lit(str(after)).cast("timestamp"))
 
 
 def slice_traffic(df: DataFrame, agent: str | None = None, host: str | None = None,

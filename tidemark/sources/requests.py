@@ -43,11 +43,12 @@ def in_period(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
     The year and day bounds use partition columns only, so files outside them are
     not listed, whether or not the hour is a partition column too.
     """
-    hour = rq.hour_of_parts("year", "month", "day", "hour")
+    zero = F.lit(0)
+    hour = F.make_timestamp_ntz(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), zero, zero)
     return df.where(
         F.col("year").between(start.year, end.year)
         & rq.day_of_parts("year", "month", "day").between(F.lit(start.date()), F.lit(end.date()))
-        & (hour >= F.lit(start).cast("timestamp")) & (hour < F.lit(end).cast("timestamp")))
+        & (hour >= rq.wall_clock(start)) & (hour < rq.wall_clock(end)))
 
 
 def read_requests(spark: SparkSession, path: str, start: datetime, end: datetime,
@@ -79,7 +80,7 @@ def missing_partitions(observed: DataFrame, first: datetime, last: datetime,
     columns = list(GRAINS[grain])
     step = F.expr(f"INTERVAL 1 {grain.upper()}")
     expected = observed.sparkSession.range(1).select(F.explode(F.sequence(
-        F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp"), step)).alias("slot"))
+        rq.wall_clock(first), rq.wall_clock(last), step)).alias("slot"))
     expected = expected.select(*[getattr(F, part)("slot").alias(part) for part in columns])
     if sources is not None:
         expected = expected.select("*", F.explode(

@@ -25,8 +25,8 @@ def stream_pageviews(stream: DataFrame, grain: str = "1 hour", delay: str = "1 d
                      access: Column | None = None) -> DataFrame:
     """Page views per hour or day of event time, each window emitted once it is closed.
 
-    A window closes when the latest event is ``delay`` past its end; later rows of
-    it are dropped. Partial sums are taken before the shuffle and kept in the state
+    Windows follow UTC, so the session has to as well. A window closes when the
+    latest event is ``delay`` past its end; later rows of it are dropped. Partial sums are taken before the shuffle and kept in the state
     store per key and open window.
     """
     keys = HOURLY_KEYS if grain == "1 hour" else DAILY_KEYS
