@@ -335,6 +335,32 @@ def dirichlet_mean(spark, folder):
     return tidied(draws.dirichlet_mean(dense, ex.KEYS), "mean_amount")
 
 
+@checked("zero_inflated_fit", f"""
+WITH {STATS.format(v='revenue')},
+grid AS (SELECT experiment, variant, n, positive AS k, log_mean AS m, log_ssd AS ssd, 0.1 + i * (1.4 / 1999) AS sigma
+  FROM stats, range(0, 2000) r(i)),
+terms AS (SELECT *, k / (sigma * sigma) + 0.01 AS prec FROM grid),
+weighed AS (SELECT *, (k * m / (sigma * sigma) + 0.001) / prec AS center,
+  -k * ln(sigma) - ssd / (2 * sigma * sigma) - 0.5 * ln(prec)
+  - 0.5 * k * 0.01 / (k + 0.01 * sigma * sigma) * pow(m - 0.1, 2) AS lw FROM terms),
+scaled AS (SELECT *, exp(lw - max(lw) OVER (PARTITION BY experiment, variant)) AS w FROM weighed),
+fitted AS (SELECT experiment, variant, (max(n) - max(k) + 1.0) / (max(n) + 2.0) AS p, max(n) AS n,
+  sum(w * center) / sum(w) AS mu, sum(w * (1 / prec + center * center)) / sum(w) AS mu2,
+  sum(w * sigma) / sum(w) AS sigma, sum(w * sigma * sigma) / sum(w) AS sigma2 FROM scaled GROUP BY ALL)
+SELECT experiment, variant, round(p, 6) AS p_zero, round(sqrt(p * (1 - p) / (n + 3)), 6) AS p_zero_sd,
+  round(mu, 5) AS mu, round(sqrt(mu2 - mu * mu), 5) AS mu_sd, round(sigma, 5) AS sigma,
+  round(sqrt(sigma2 - sigma * sigma), 5) AS sigma_sd FROM fitted""")
+def zero_inflated_fit(spark, folder):
+    stats = ex.sufficient_statistics(impressions(spark, folder), "revenue")
+    fit = draws.zero_inflated_lognormal(stats, list(ex.KEYS)).select(
+        *ex.KEYS, "p_zero", "p_zero_sd", "mu", "mu_sd", "sigma", "sigma_sd")
+    for column in ("p_zero", "p_zero_sd"):
+        fit = fit.withColumn(column, F.round(column, 6))
+    for column in ("mu", "mu_sd", "sigma", "sigma_sd"):
+        fit = fit.withColumn(column, F.round(column, 5))
+    return fit
+
+
 # Draws: random by nature, seeded, checked by rows here and by statistics in the tests.
 
 @checked("normal_comparison")
@@ -364,12 +390,6 @@ def hurdle_comparison(spark, folder):
     return draws.compare(paired_posterior(spark, folder, "revenue", True), draws.hurdle_mean_draws)
 
 
-@checked("zero_inflated_fit")
-def zero_inflated_fit(spark, folder):
-    stats = ex.sufficient_statistics(impressions(spark, folder), "revenue")
-    return draws.zero_inflated_lognormal(stats, list(ex.KEYS))
-
-
 @checked("rate_intervals")
 def rate_intervals(spark, folder):
     return draws.rate_interval(ex.conversion_counts(impressions(spark, folder)), list(ex.KEYS))
