@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, simhash
+from tidemark.llm import chat, exact_dedup, mixing, pieces, simhash, token_counts
 from tidemark.plans.views import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -56,6 +57,13 @@ FROM measured GROUP BY conv_id
 """
 
 
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    counted = token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op4_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "source", "text")
@@ -106,6 +114,20 @@ FROM summed
 """
 
 
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the pieces of every document, and of the text decoded from them."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return _piece_digests(pieces.decoded(pieces.encoded(docs, model), model))
+
+
+def _piece_digests(coded: DataFrame) -> DataFrame:
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                        F.sha2(listed, 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The row that stays, and the group's size, for every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -129,7 +151,9 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
+    "op5_sentencepiece": op5_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
