@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, pieces, simhash, token_counts
+from tidemark.llm import chat, exact_dedup, mixing, pieces, simhash, token_counts, toxicity
 from tidemark.plans.views import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -128,6 +128,14 @@ def _piece_digests(coded: DataFrame) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and decision for every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.toxicity(docs, table(spark, folder, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"),
+                         "score", "predicted")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The row that stays, and the group's size, for every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -154,6 +162,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
