@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 NO_RANK = np.iinfo(np.int64).max
 # Encoded cuts that a worker keeps, and characters that it cuts at a time.
-KEPT_CUTS, STRIDE = 400_000, 400_000
+KEPT_CUTS, STRIDE = 300_000, 400_000
 
 
 def load_pieces(path: str) -> dict:
@@ -262,8 +262,16 @@ class Coder:
         return first is not None and self.pieces[first].startswith(MARK)
 
 
+def _as_lists(packed: list[bytes]) -> pa.Array:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets),
+                                    pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def coder_functions(spark: SparkSession, path: str):
-    """Column functions encode (text to ids) and decode (ids to text)."""
+    """Column functions encode (text to ids), decode (ids to text) and both in one pass
+    (text to ids and the text decoded from them)."""
     shared = spark.sparkContext.broadcast(load_pieces(path))
 
     def coder() -> Coder:
@@ -274,27 +282,38 @@ def coder_functions(spark: SparkSession, path: str):
 
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        packed = coder().encode_all([t or "" for t in texts.to_pylist()])
-        offsets = np.zeros(len(packed) + 1, np.int32)
-        np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-        values = pa.array(np.frombuffer(b"".join(packed), "<i4"))
-        return pa.ListArray.from_arrays(pa.array(offsets), values)
+        return _as_lists(coder().encode_all([t or "" for t in texts.to_pylist()]))
 
     @F.arrow_udf("string")
     def decode(ids: pa.Array) -> pa.Array:
         with_pieces = coder()
         return pa.array([with_pieces.decode(i.as_py() or []) for i in ids], pa.string())
 
-    return encode, decode
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(texts: pa.Array) -> pa.Array:
+        with_pieces = coder()
+        packed = with_pieces.encode_all([t or "" for t in texts.to_pylist()])
+        read = [with_pieces.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
+        return pa.StructArray.from_arrays([_as_lists(packed), pa.array(read, pa.string())],
+                                          ["ids", "decoded"])
+
+    return encode, decode, both
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Adds ids: the pieces of each whole text."""
-    encode, _ = coder_functions(docs.sparkSession, path)
+    encode, _, _ = coder_functions(docs.sparkSession, path)
     return docs.drop("ids").withColumn("ids", encode(F.col(text)))
 
 
 def decoded(rows: DataFrame, path: str) -> DataFrame:
     """Adds decoded: the text of ids."""
-    _, decode = coder_functions(rows.sparkSession, path)
+    _, decode, _ = coder_functions(rows.sparkSession, path)
     return rows.drop("decoded").withColumn("decoded", decode(F.col("ids")))
+
+
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """Adds ids and decoded, reading each text once."""
+    _, _, both = coder_functions(docs.sparkSession, path)
+    coded = docs.drop("ids", "decoded", "_coded").withColumn("_coded", both(F.col(text)))
+    return coded.select("*", "_coded.ids", "_coded.decoded").drop("_coded")

@@ -118,7 +118,7 @@ def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the pieces of every document, and of the text decoded from them."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return _piece_digests(pieces.decoded(pieces.encoded(docs, model), model))
+    return _piece_digests(pieces.round_trip(docs, model))
 
 
 def _piece_digests(coded: DataFrame) -> DataFrame:
