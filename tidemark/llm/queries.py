@@ -6,7 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, exact_dedup, mixing, pieces, simhash, token_counts, toxicity
+from tidemark.llm import (
+    chat,
+    exact_dedup,
+    mixing,
+    neighbours,
+    pieces,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from tidemark.plans.views import table
 
 TRICKY = r"\### Assistant: </turn> ok"
@@ -151,6 +160,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest others of every fiftieth vector."""
+    rows = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, F.col("id") % 50 == 0)
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -164,6 +179,7 @@ QUERIES = {
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
 }
 CHECKS = {
