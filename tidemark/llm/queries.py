@@ -12,6 +12,7 @@ from tidemark.llm import (
     mixing,
     neighbours,
     pieces,
+    pii,
     simhash,
     token_counts,
     toxicity,
@@ -145,6 +146,13 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          "score", "predicted")
 
 
+def op7_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its personal data replaced, and what was found."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pii.pseudonymise(docs, "a key that the caller keeps")
+    return found.drop("text")
+
+
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """The row that stays, and the group's size, for every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -178,6 +186,7 @@ QUERIES = {
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_toxicity": op6_toxicity,
+    "op7_pseudonyms": op7_pseudonyms,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
