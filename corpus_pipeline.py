@@ -1,26 +1,68 @@
-"""Cleans and mixes a corpus: stages over the documents, each one operator."""
+"""Cleans and mixes a corpus: five stages over the documents, each one operator.
+
+Every stage is written as Parquet and read again as the next one's documents, in the shared
+folder, so a lost executor costs no more than a part of one stage. All but the last return
+the columns of documents.
+
+Defined cases are those of the operators: null and empty texts pass the first stage and are
+copies of each other in the second; an empty table gives an empty one in every stage.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, mixing, pieces, simhash, toxicity
 from tidemark.session import scratch_path
 
 
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that are not predicted toxic; labels of the corpus teach what is."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.without_toxic(docs, labels)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text."""
     return exact_dedup.without_duplicates(docs)
 
 
-STAGES = [("exact dedup", exact_stage)]
+def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.without_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's share of the mix takes it."""
+    return mixing.mixture(docs)
+
+
+def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text, and whether they decode to it."""
+    coded = pieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", "lang", "source", "ids",
+                        F.size("ids").cast("long").alias("n_tokens"),
+                        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trips"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_dedup_stage),
+    ("SimHash near-dedup", simhash_stage),
+    ("mixing sources to target weights", mixing_stage),
+    ("SentencePiece encoding and decoding", sentencepiece_stage),
+]
+# No SQL can express the first and the last stage; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; every stage is written and read again."""
+    """The last stage's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, name.replace(" ", "-"))
+        path = scratch_path(spark, name.lower().replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

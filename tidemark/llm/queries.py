@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     chat,
     exact_dedup,
+    line_dedup,
     mixing,
     neighbours,
     pieces,
@@ -67,6 +68,14 @@ FROM measured GROUP BY conv_id
 """
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is cut of every document, and a digest of what stays."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.line_dedup(docs).select(
+        "doc_id", "removed_lines", "removed_words",
+        F.sha2(F.coalesce("deduped", F.lit("")), 256).alias("deduped_sha256"))
+
+
 def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes and tokens of every document."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -182,6 +191,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op5_sentencepiece": op5_sentencepiece,
