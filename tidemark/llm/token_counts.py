@@ -78,6 +78,7 @@ class Transducer:
     After each prefix exactly one token can be the last of the prefix's encoding: the one
     whose own start leaves a last token that it does not merge with. A state holds, for the
     longest suffix that begins a token, the last token and the count at every place inside.
+    Every token of the vocabulary has to encode to itself, as trained ones do.
     """
 
     def __init__(self, merges: list) -> None:
