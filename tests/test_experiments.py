@@ -57,9 +57,29 @@ def test_no_conversions_go_on(spark):
     assert sequential.first_decision(results).count() == 0
 
 
-@pytest.mark.parametrize("in_one_task", [ordered.IN_ONE_TASK, 0])
-def test_checkpoints_follow_the_order(spark, monkeypatch, in_one_task):
-    monkeypatch.setattr(ordered, "IN_ONE_TASK", in_one_task)
+def test_large_values_do_not_cancel(spark):
+    rows = [(i, i, "x", "AB"[i % 2], 10_000_000 + i // 2 % 2) for i in range(4000)]
+    counts = sequential.checkpoint_counts(spark.createDataFrame(rows, RECORD), 100).collect()
+    assert len(counts) == 40
+    assert all(r.ssd == pytest.approx(r.n / 4, rel=1e-9) for r in counts)
+    sizes = ex.sample_size(ex.amount_histogram(spark.createDataFrame(rows, RECORD)), 0.05)
+    assert all(r.effect_size == pytest.approx(-0.05 * 10_000_000.5 / 0.5, rel=1e-9) for r in sizes.collect())
+
+
+def test_last_records_can_count(spark):
+    df = records(spark, n=130)
+    assert sequential.checkpoint_counts(df, 100).where("variant = 'A'").count() == 1
+    last = sequential.checkpoint_counts(df, 100, partial=True).where("variant = 'A'").orderBy("checkpoint").collect()[-1]
+    assert last.n == df.where("variant = 'A'").count()
+
+
+def test_streams_differ_by_every_part():
+    first = {int(draws.generator(0, *key).integers(1 << 62)) for key in
+             [("a", "b"), ("ab", ""), ("a|b",), ("", "ab"), *((n,) for n in range(2000))]}
+    assert len(first) == 2004
+
+
+def test_checkpoints_follow_the_order(spark, monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_WIDTH", 3)
     df = records(spark, n=1030)
     counts = {(r.variant, r.checkpoint): r for r in sequential.checkpoint_counts(df, 100).collect()}
@@ -94,9 +114,7 @@ def test_bayesian_rules_agree_on_a_clear_case(spark):
     assert streak.result == "B" and streak.checkpoint >= 3
 
 
-@pytest.mark.parametrize("in_one_task", [ordered.IN_ONE_TASK, 0])
-def test_streaks_restart_after_a_miss(spark, monkeypatch, in_one_task):
-    monkeypatch.setattr(ordered, "IN_ONE_TASK", in_one_task)
+def test_streaks_restart_after_a_miss(spark, monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_WIDTH", 2)
     hits = [1, 1, 0, 1, 1, 1, 0, 0, 1]
     df = spark.createDataFrame([("x", i, bool(h)) for i, h in enumerate(hits, 1)],

@@ -86,35 +86,40 @@ def brute_force(prefs, measure):
     return scores
 
 
-@pytest.mark.parametrize("tiling", [
-    dict(),
-    dict(pair_limit=3, items_per_block=7, users_per_segment=2),
-    dict(pair_limit=0, items_per_block=1000, users_per_segment=1000),
-])
+@pytest.mark.parametrize("chunk", [512, 7, 1])
 @pytest.mark.parametrize("measure", ["tanimoto", "loglikelihood"])
-def test_similarity_equals_brute_force(spark, tiling, measure):
+def test_similarity_equals_brute_force(spark, chunk, measure):
     prefs = preferences(5, 40, 60, 4)
     df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")
     found = {(r.item_id, r.other_id): r.score
-             for r in similarity.item_similarity(df, measure, None, **tiling).collect()}
+             for r in similarity.item_similarity(df, measure, None, chunk).collect()}
     expected = brute_force(prefs, measure)
     assert found.keys() == expected.keys()
     assert all(abs(found[p] - expected[p]) < 2e-6 for p in expected)
     assert all(0 <= s <= 1 and found[b, a] == s for (a, b), s in found.items())
 
 
-def test_dense_and_sparse_tiles_agree(spark, monkeypatch):
-    prefs = preferences(9, 20, 50, 6)
-    df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG").selectExpr(
-        "user_id", "item_id", "1L AS degree")
-    rows = df.toPandas()
-    rows["block_a"] = rows["block_b"] = 0
-    rows["upper"] = False
-    sparse = similarity._count_tile(rows)
-    monkeypatch.setattr(similarity, "EXPANSION_LIMIT", -1)
-    dense = similarity._count_tile(rows)
-    order = ["item_a", "item_b"]
-    assert sparse.sort_values(order).values.tolist() == dense.sort_values(order).values.tolist()
+def test_a_user_of_many_items(spark):
+    prefs = [(0, i) for i in range(1300)] + [(1, i) for i in range(0, 1300, 2)]
+    df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")
+    pairs = similarity.shared_users(df)
+    assert pairs.count() == pairs.select("item_a", "item_b").distinct().count() == 1300 * 1299 // 2
+    assert pairs.where("shared = 2").count() == 650 * 649 // 2
+
+
+def test_near_scores_keep_their_order(spark):
+    """Likelihood scores that all read 1.0 are still ranked."""
+    prefs = [(u, i) for u in range(4000) for i in (0, 1 + u % 2)] + [(u, 3) for u in range(1990)]
+    prefs += [(u, 4) for u in range(1980)] + [(u, 5) for u in range(0, 4000, 2)] + [(u, 6) for u in range(0, 3998, 2)]
+    df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG").distinct()
+    best = similarity.item_similarity(df, "loglikelihood", 2).where("item_id = 1").collect()
+    assert [r.other_id for r in best if r.other_id in (5, 6)] and {r.other_id for r in best} <= {2, 5, 6}
+
+
+def test_more_than_the_group_limit(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS g", "id AS v")
+    top = links.top_n_per_group(df, ["g"], ["v"], 1200)
+    assert top.count() == 2400 and top.agg(F.max("v")).first()[0] == 2399
 
 
 def test_top_similar_items(spark):
@@ -124,7 +129,7 @@ def test_top_similar_items(spark):
     scores = brute_force(prefs, "tanimoto")
     for item in {a for a, _ in scores}:
         best = sorted(((-s, b) for (a, b), s in scores.items() if a == item))[:3]
-        assert sorted((-r.score, r.other_id) for r in top if r.item_id == item) == best
+        assert sorted((-round(r.score, 6), r.other_id) for r in top if r.item_id == item) == best
 
 
 def test_similar_items_are_cut_before_the_exchange(spark):
@@ -148,18 +153,17 @@ def test_recommendations_are_new_and_ranked(spark):
         for i in own:
             for other, score in sims.get(i, {}).items():
                 sums[other] = sums.get(other, 0) + score
-        best = sorted((-round(s, 6), i) for i, s in sums.items() if i not in own)[:4]
+        best = sorted((-round(s, 12), i) for i, s in sums.items() if i not in own)[:4]
         assert sorted((-r.score, r.item_id) for r in found if r.user_id == user) == best
     assert {r.user_id for r in found} <= set(range(10))
 
 
-@pytest.fixture(params=[ordered.IN_ONE_TASK, 0], ids=["window", "slices"])
-def both_ways(request, monkeypatch):
-    monkeypatch.setattr(ordered, "IN_ONE_TASK", request.param)
+@pytest.fixture
+def narrow_slices(monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_WIDTH", 4)
 
 
-def test_rank_with_one_dominant_key(spark, both_ways):
+def test_rank_with_one_dominant_key(spark, narrow_slices):
     rows = [("hot", i * 7 % 5000) for i in range(5000)] + [("cold", i) for i in range(20)] + [(None, 3), (None, 1)]
     df = spark.createDataFrame(rows, "k STRING, o LONG")
     expected = {}
@@ -172,7 +176,7 @@ def test_rank_with_one_dominant_key(spark, both_ways):
     assert max(r["count"] for r in spread) < 2000
 
 
-def test_running_totals_and_next_position(spark, both_ways):
+def test_running_totals_and_next_position(spark, narrow_slices):
     rows = [("a", p, p % 3) for p in (1, 2, 5, 9, 10, 40)] + [("b", 3, 7)]
     df = spark.createDataFrame(rows, "k STRING, p LONG, v LONG")
     totals, tops, expected = {}, {}, {}

@@ -15,7 +15,7 @@ for name in ("welch_t", "inverse_binomial_pmf", "beta_lift", "amount_comparison"
     assert entry.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
 from tidemark.operators import similarity
 prefs = spark.createDataFrame([(u, i) for u in range(4) for i in range(9)], "user_id LONG, item_id LONG")
-assert similarity.shared_users(prefs, pair_limit=1).count() == 36
+assert similarity.shared_users(prefs, chunk=1).count() == 36
 print("done")
 """
 

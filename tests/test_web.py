@@ -182,6 +182,25 @@ def test_samples(spark):
     assert keyed.exceptAll(request_log.sample_bucket(df, 64, "id")).count() == 0
 
 
+@pytest.mark.parametrize("sep", ["\t", ","])
+def test_every_text_comes_back(spark, tmp_path, sep):
+    texts = [" blanks ", "a\tb", "two\nlines", "\r\n", '"quoted"', "back\\slash", "\\N", "\\", "\\\\n", "",
+             None, "\0", "\\e", "\\s,", "#x", "é"]
+    rows = [(i, t, i / 3) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "n LONG, t STRING, d DOUBLE")
+    tables.write_delimited(df, str(tmp_path / "text"), sep)
+    back = tables.read_delimited(spark, str(tmp_path / "text"), df.schema, sep)
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_an_empty_rerun_empties_its_slot(spark, tmp_path):
+    df = spark.createDataFrame([(1, 2024, 1, 1), (2, 2024, 1, 2)], "n LONG, year INT, month INT, day INT")
+    path = str(tmp_path / "table")
+    tables.publish_partitions(df, path, ["year", "month", "day"])
+    tables.publish_partition(df.where("false"), path, year=2024, month=1, day=2)
+    assert [r.n for r in spark.read.parquet(path).collect()] == [1]
+
+
 def test_import_query_is_split(spark, monkeypatch):
     asked = {}
 
@@ -198,9 +217,14 @@ def test_import_query_is_split(spark, monkeypatch):
 
 
 def test_import_queries():
-    sent = tables.import_query("page", ["page_id", "page_title"], ["page_title"], "page_id > 3")
-    assert sent == ("SELECT page_id, CAST(page_title AS CHAR(255) CHARSET utf8) AS page_title "
-                    "FROM page WHERE page_id > 3")
+    sent = tables.import_query("page", ["page_id", "page_title"], "page_id > 3")
+    assert sent == "SELECT page_id, page_title FROM page WHERE page_id > 3"
+
+
+def test_binary_text_is_decoded(spark):
+    df = spark.sql("SELECT 1 AS page_id, encode('Café', 'UTF-8') AS page_title")
+    assert tables.as_text(df, ["page_title"]).collect() == [(1, "Café")]
+    assert tables.as_text(df.select("page_id"), []).collect() == [(1,)]
 
 
 def test_moments(spark):

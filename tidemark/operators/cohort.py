@@ -67,11 +67,19 @@ def survival_dataset(activity: DataFrame, horizon: date, start: date, end: date)
 def random_rows(df: DataFrame, n: int, seed: int, key: str | None = None) -> DataFrame:
     """n random rows; with a key, the same rows on every run."""
     order = F.rand(seed) if key is None else F.xxhash64(F.col(key), F.lit(seed))
-    return df.orderBy(order).limit(n)
-
-
-def career_profile(activity: DataFrame, more_than: int = 5, extended: bool = False,
-                   limit: int | None = None) -> DataFrame:
+    placed = df.withColumn("_place", order)
+    if key is None:
+        return placed.orderBy("_place").limit(n).drop("_place")
+    # Only rows below a bound that leaves about twice as many as wanted are ordered; if
+    # chance leaves too few, all are.
+    rows = df.count()
+    bound = int(min(1.0, (2 * n + 100) / max(1, rows)) * float(1 << 64)) - (1 << 63)
+    below = placed.where(F.col("_place") < bound) if bound < (1 << 63) - 1 else placed
+    chosen = below if below.count() >= min(n, rows) else placed
+    return chosen.orderBy("_place").limit(n).drop("_place")
+
+
+def career_profile(activity: DataFrame, more_than: int = 5, extended: bool = False) -> DataFrame:
     """Mean and population deviation of the monthly counts of long-active users."""
     names = {"edits_0": "cla_0", "edits_1": "cla_1"}
     if extended:
@@ -90,8 +98,6 @@ def career_profile(activity: DataFrame, more_than: int = 5, extended: bool = Fal
         ]
     profile = (activity.groupBy("user_id").agg(*columns, F.count(F.lit(1)).alias("_months"))
                .where(F.col("_months") > more_than).drop("_months"))
-    if limit is not None:
-        profile = profile.orderBy("user_id").limit(limit)
     return profile.na.fill(0)
 
 

@@ -8,7 +8,7 @@ change with the partitioning or when a task is run again.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -25,8 +25,11 @@ COMPARED = ("mean_a double, mean_b double, p_a_better double, cost_a double, cos
 
 
 def generator(seed: int, *key) -> np.random.Generator:
-    """Random stream of one key."""
-    return np.random.default_rng([seed, zlib.crc32("|".join(map(str, key)).encode())])
+    """Random stream of one key: 128 bits of a digest of its parts, each with its length."""
+    parts = [str(part).encode() for part in key]
+    named = b"".join(len(part).to_bytes(8, "big") + part for part in parts)
+    digest = hashlib.blake2b(named, digest_size=16).digest()
+    return np.random.default_rng([seed, int.from_bytes(digest, "big")])
 
 
 def compared(a: np.ndarray, b: np.ndarray, conf: float = 90.0) -> tuple[float, ...]:

@@ -160,11 +160,16 @@ def sample_size(histogram: DataFrame, mde: float, alpha: float = 0.05, power: fl
     Two-sample test in its normal form, 2 ((z1 + z2) / d)^2 with the standardized
     effect d.
     """
-    moments = histogram.groupBy(*keys).agg(
-        F.sum("n").alias("_n"), F.sum(F.col("amount") * F.col("n")).cast("double").alias("_sum"),
-        F.sum(F.col("amount") * F.col("amount") * F.col("n")).cast("double").alias("_squares"))
-    mean = F.try_divide(F.col("_sum"), F.col("_n"))
-    deviation = F.sqrt(F.try_divide(F.col("_squares"), F.col("_n")) - mean * mean)
+    means = histogram.groupBy(*keys).agg(
+        F.sum("n").alias("_n"),
+        F.try_divide(F.sum(F.col("amount") * F.col("n")).cast("double"), F.sum("n")).alias("_mean"))
+    # Squares of deviations from the mean, so that large amounts do not cancel.
+    away = F.col("amount") - F.col("_mean")
+    moments = histogram.join(means, list(keys)).groupBy(*keys).agg(
+        F.first("_n").alias("_n"), F.first("_mean").alias("_mean"),
+        F.sum(away * away * F.col("n")).alias("_squares"))
+    mean = F.col("_mean")
+    deviation = F.sqrt(F.try_divide(F.col("_squares"), F.col("_n")))
     z = NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)
     effect = F.try_divide(mean - mean * (1.0 + mde), deviation)
     return moments.select(*keys, effect.alias("effect_size"),

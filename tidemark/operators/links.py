@@ -49,9 +49,14 @@ def top_n_per_group(df: DataFrame, group: Sequence[str], order, n: int,
                     rank: str = "rank") -> DataFrame:
     """First n rows per group in a unique order.
 
-    Spark cuts each group to n rows before the exchange (a window group limit), so
-    one group may hold any share of the rows.
+    Up to the limit of the session's window group limit Spark cuts each group to n rows
+    before the exchange; for a larger n the rows are ranked in slices. Either way one
+    group may hold any share of the rows.
     """
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > limit:
+        ranked = rank_rows(df, group, order, "_place").where(F.col("_place") <= n)
+        return ranked.withColumn(rank, F.col("_place").cast("int")).drop("_place")
     window = W.partitionBy(*group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 

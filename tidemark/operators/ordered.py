@@ -1,10 +1,9 @@
 """Ranks and running totals over groups of any size.
 
-A plain window puts a whole group into one task. That is the cheapest way while
-the largest group is known to be small, so it is used behind a count of the groups.
-Beyond that the rows are cut into slices along the sort order: each slice is summed
-on its own, and a window over the few slice totals gives every slice its opening
-balance. One group may then hold any share of the data.
+A plain window puts a whole group into one task. Here the rows are cut into slices
+along the sort order, at every size: each slice is summed on its own, and a window over
+the few slice totals gives every slice its opening balance. One group may then hold any
+share of the data.
 """
 
 from __future__ import annotations
@@ -18,33 +17,19 @@ from pyspark.sql import functions as F
 from tidemark.session import written
 
 SLICE = "_slice"
-# Rows of one group that a task may sort.
-IN_ONE_TASK = 4_000_000
 # Positions per slice when a dense number gives the order.
 SLICE_WIDTH = 4096
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one pass over the key columns."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    return counts.agg(F.max("_rows")).first()[0] or 0
-
-
-def _fits(df: DataFrame, keys: Sequence[str], bound: int | None) -> bool:
-    """Whether every group may go into one task; without keys all rows would."""
-    if not keys:
-        return False
-    return (largest_group(df, keys) if bound is None else bound) <= IN_ONE_TASK
-
-
 def _in_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
               slices: int | None) -> DataFrame:
     """Range-partitions by (keys, order), balanced whatever the key frequencies.
 
     ``order`` must be unique within ``keys``.
     """
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(count, *keys, *order)
+    if slices is None:
+        return df.repartitionByRange(*keys, *order)
+    return df.repartitionByRange(slices, *keys, *order)
 
 
 def cut_by_order(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -106,26 +91,20 @@ def sliced_totals(sliced: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                    totals: Mapping[str, Column], largest: bool = False,
-                   position: str | None = None, bound: int | None = None) -> DataFrame:
+                   position: str | None = None) -> DataFrame:
     """Adds running totals per key in a unique order, the current row included.
 
     ``totals`` maps the new columns to the values to add up; with ``largest`` the
     running maximum is taken instead. ``position`` names a dense number that gives
-    the order, if there is one. ``bound`` is the size of the largest group where the
-    caller knows it; else the groups are counted.
+    the order, if there is one.
     """
-    if _fits(df, keys, bound):
-        fold = F.max if largest else F.sum
-        window = (W.partitionBy(*keys).orderBy(*order)
-                  .rowsBetween(W.unboundedPreceding, W.currentRow))
-        return df.select("*", *[fold(v).over(window).alias(n) for n, v in totals.items()])
     sliced = cut_by_position(df, position) if position else cut_by_order(df, keys, order)
     return sliced_totals(sliced, keys, order, totals, largest)
 
 
-def sliced_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                 name: str = "rank", slices: int | None = None) -> DataFrame:
-    """Row number per key with one shuffle, whatever the size of a group.
+def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
+              name: str = "rank", slices: int | None = None) -> DataFrame:
+    """Row number per key in a unique order, with one shuffle, whatever the size of a group.
 
     Sorted range partitions number their rows as they are written. What is left is
     to shift each key's numbers in each slice by the rows of the key in the slices
@@ -145,21 +124,8 @@ def sliced_ranks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
         *df.columns, (F.col(place) + F.col("_shift")).alias(name))
 
 
-def rank_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-              name: str = "rank", bound: int | None = None) -> DataFrame:
-    """Row number per key in a unique order; ``bound`` as in :func:`running_totals`."""
-    if _fits(df, keys, bound):
-        window = W.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-    return sliced_ranks(df, keys, order, name)
-
-
-def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str,
-                  bound: int | None = None) -> DataFrame:
+def next_position(df: DataFrame, keys: Sequence[str], position: str, name: str) -> DataFrame:
     """Adds the next position present for the same key, NULL for the last one."""
-    if _fits(df, keys, bound):
-        window = W.partitionBy(*keys).orderBy(position)
-        return df.withColumn(name, F.lead(position).over(window))
     sliced = cut_by_position(df, position)
     firsts = sliced.groupBy(*keys, SLICE).agg(F.min(position).alias("_first"))
     later = W.partitionBy(*keys).orderBy(SLICE)

@@ -8,42 +8,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import draws, experiments
-from tidemark.operators.ordered import largest_group, next_position, rank_rows, running_totals
+from tidemark.operators.ordered import next_position, rank_rows, running_totals
+from tidemark.session import written
 
 ORDER = ("ts", "impression_id")
 
 
 def numbered_records(df: DataFrame, interval: int, value: str = "amount",
                      order: Sequence[str] = ORDER,
-                     keys: Sequence[str] = experiments.KEYS, bound: int | None = None) -> DataFrame:
+                     keys: Sequence[str] = experiments.KEYS) -> DataFrame:
     """Records with the checkpoint they count for: 1 for the first ``interval``, then 2, ...
 
-    ``order`` must be unique within a variant. ``bound`` is the size of the largest
-    variant where it is known.
+    ``order`` must be unique within a variant.
     """
-    ranked = rank_rows(df.select(*keys, *order, value), keys, order, "_rank", bound)
+    ranked = rank_rows(df.select(*keys, *order, value), keys, order, "_rank")
     return ranked.select(*keys, F.ceil(F.col("_rank") / F.lit(interval)).cast("long").alias("checkpoint"),
                          value)
 
 
 def checkpoint_counts(df: DataFrame, interval: int, value: str = "amount",
                       order: Sequence[str] = ORDER,
-                      keys: Sequence[str] = experiments.KEYS, bound: int | None = None) -> DataFrame:
-    """Running count, conversions, sum and mean of each variant at each full checkpoint."""
-    bound = largest_group(df, keys) if bound is None else bound
+                      keys: Sequence[str] = experiments.KEYS, partial: bool = False) -> DataFrame:
+    """Running count, conversions, sum and mean of each variant at each full checkpoint.
+
+    With ``partial`` the records behind the last full checkpoint make one more. Squares
+    are of deviations: those within a step from its own mean, those of the step means
+    from the mean of the variant's first step. So nothing cancels, however large the
+    values are against their spread.
+    """
     x = F.col(value).cast("double")
-    steps = numbered_records(df, interval, value, order, keys, bound).groupBy(*keys, "checkpoint").agg(
+    steps = written(numbered_records(df, interval, value, order, keys).groupBy(
+        *keys, "checkpoint").agg(
         F.count(F.lit(1)).alias("_n"), F.sum((x > 0).cast("long")).alias("_hits"),
-        F.sum(x).alias("_sum"), F.sum(x * x).alias("_squares"))
-    full = steps.where(F.col("_n") == interval)
-    running = running_totals(full, keys, ["checkpoint"], {
+        F.sum(x).alias("_sum"), F.avg(x).alias("_mean"),
+        (F.var_pop(x) * F.count(x)).alias("_within")), "steps")
+    pivots = steps.groupBy(*keys).agg(F.min_by("_mean", "checkpoint").alias("_pivot"))
+    full = steps if partial else steps.where(F.col("_n") == interval)
+    away = F.col("_mean") - F.col("_pivot")
+    running = running_totals(full.join(pivots, list(keys)), keys, ["checkpoint"], {
         "n": F.col("_n"), "successes": F.col("_hits"), "total": F.col("_sum"),
-        "squares": F.col("_squares")}, position="checkpoint", bound=bound // interval)
+        "_away": F.col("_n") * away, "squares": F.col("_within") + F.col("_n") * away * away,
+    }, position="checkpoint")
     mean = F.col("total") / F.col("n")
     return running.select(
         *keys, "checkpoint", "n", "successes", (F.col("n") - F.col("successes")).alias("failures"),
         "total", mean.alias("mean"),
-        F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0)).alias("ssd"))
+        F.greatest(F.col("squares") - F.col("_away") * F.col("_away") / F.col("n"),
+                   F.lit(0.0)).alias("ssd"))
 
 
 def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = ORDER,
@@ -54,8 +65,7 @@ def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = O
     checkpoint before the next one.
     """
     keys = list(experiments.KEYS)
-    bound = largest_group(df, keys)
-    numbered = numbered_records(df, interval, amount, order, keys, bound)
+    numbered = numbered_records(df, interval, amount, order, keys)
     steps = numbered.groupBy(*keys, "checkpoint", F.col(amount).alias("amount")).agg(
         F.count(F.lit(1)).alias("_n"))
     last = steps.groupBy(*keys).agg(F.floor(F.sum("_n") / interval).alias("_last"))
@@ -66,15 +76,29 @@ def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = O
     changes = steps.unionByName(starts).groupBy(*keys, "amount", "checkpoint").agg(
         F.sum("_n").alias("_n"))
     series = [*keys, "amount"]
-    longest = bound // interval + 1
     running = running_totals(changes, series, ["checkpoint"], {"n": F.col("_n")},
-                             position="checkpoint", bound=longest)
-    spans = next_position(running, series, "checkpoint", "_next", longest).join(last, keys)
+                             position="checkpoint")
+    spans = next_position(running, series, "checkpoint", "_next").join(last, keys)
     until = F.least(F.coalesce(F.col("_next") - 1, F.col("_last")), F.col("_last"))
     return spans.where(F.col("checkpoint") <= F.col("_last")).select(
         *keys, F.explode(F.sequence(F.col("checkpoint"), until)).alias("checkpoint"), "amount", "n")
 
 
+def until_longest(paired: DataFrame, max_run: float | None) -> DataFrame:
+    """Checkpoints up to the first at which a variant has more than ``max_run`` records.
+
+    That one always decides, so none behind it is looked at. Before it both variants have
+    at most ``max_run`` records, and the first beyond has the fewest of those beyond.
+    """
+    if max_run is None:
+        return paired
+    reach = F.greatest("a_n", "b_n")
+    last = paired.groupBy("experiment").agg(
+        F.min(F.when(reach > max_run, F.col("checkpoint"))).alias("_last"))
+    return paired.join(last, "experiment").where(
+        F.col("_last").isNull() | (F.col("checkpoint") <= F.col("_last"))).drop("_last")
+
+
 def first_decision(results: DataFrame, keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """First checkpoint whose result is not 'continue', per experiment."""
     decided = results.where(F.col("result") != "continue")
@@ -88,23 +112,27 @@ def ttest_results(df: DataFrame, interval: int, alpha: float = 0.05, max_run: fl
                   value: str = "amount", order: Sequence[str] = ORDER) -> DataFrame:
     """Result of the t-test rule at every checkpoint."""
     counts = checkpoint_counts(df, interval, value, order)
-    paired = experiments.pair_variants(counts, ["experiment", "checkpoint"])
+    paired = until_longest(experiments.pair_variants(counts, ["experiment", "checkpoint"]), max_run)
     return experiments.stop_ttest(experiments.welch_t(paired), alpha, max_run)
 
 
 def amount_results(df: DataFrame, interval: int, rule: Callable[[DataFrame], DataFrame],
-                   order: Sequence[str] = ORDER, sample: int = draws.DRAWS, seed: int = 0) -> DataFrame:
-    """Result of a rule on the Dirichlet comparison at every checkpoint of both variants."""
+                   order: Sequence[str] = ORDER, sample: int = draws.DRAWS, seed: int = 0,
+                   max_run: float | None = None) -> DataFrame:
+    """Result of a rule on the Dirichlet comparison at every checkpoint of both variants, up
+    to the first beyond ``max_run`` records, where every rule decides: no draws behind it."""
     histograms = checkpoint_histograms(df, interval, order)
+    if max_run is not None:
+        histograms = histograms.where(F.col("checkpoint") <= int(max_run // interval) + 1)
     return rule(draws.compare_amounts(histograms, ["experiment", "checkpoint"], draws=sample, seed=seed))
 
 
-def streak_lengths(df: DataFrame, hit: str, name: str, keys: Sequence[str] = ("experiment",),
-                   bound: int | None = None) -> DataFrame:
+def streak_lengths(df: DataFrame, hit: str, name: str,
+                   keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """Adds the number of hits in a row up to each checkpoint; checkpoints count from 1."""
     miss_at = F.when(F.col(hit), F.lit(0)).otherwise(F.col("checkpoint"))
     last_miss = running_totals(df, keys, ["checkpoint"], {"_miss": miss_at}, largest=True,
-                               position="checkpoint", bound=bound)
+                               position="checkpoint")
     return last_miss.withColumn(name, F.col("checkpoint") - F.col("_miss")).drop("_miss")
 
 
@@ -117,16 +145,15 @@ def streak_results(df: DataFrame, interval: int, conf: float, consecutives: int
     many checkpoints in a row. ``result`` is 'A', 'B', 'unknown' past the longest
     run, else 'continue'.
     """
-    bound = largest_group(df, experiments.KEYS)
-    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order, bound=bound))
-    paired = experiments.pair_variants(counts, ["experiment", "checkpoint"])
+    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order))
+    paired = until_longest(experiments.pair_variants(counts, ["experiment", "checkpoint"]), max_run)
     keys = ["experiment", "checkpoint"]
     judged = draws.compare(paired, draws.rate_draws, keys, sample, seed).withColumn(
         "_better", F.col("p_a_better") > conf).withColumn(
         "_worse", (1.0 - F.col("p_a_better")) > conf)
     streaks = judged
     for hit, name in (("_better", "better_streak"), ("_worse", "worse_streak")):
-        streaks = streak_lengths(streaks, hit, name, bound=bound // interval)
+        streaks = streak_lengths(streaks, hit, name)
     return streaks.withColumn("result", experiments.stop_result(
         F.col("better_streak") >= consecutives, F.col("worse_streak") >= consecutives, max_run))
 

@@ -79,10 +79,9 @@ def random_survival_rows(spark, folder):
 WITH profile AS (SELECT user_id, avg(cla_0) AS a0, stddev_pop(cla_0) AS s0, avg(cla_1) AS a1,
   stddev_pop(cla_1) AS s1 FROM activity GROUP BY user_id HAVING count(*) > 5)
 SELECT user_id, {sql_tidy('a0')} AS avg_monthly_edits_0, {sql_tidy('s0')} AS var_monthly_edits_0,
-  {sql_tidy('a1')} AS avg_monthly_edits_1, {sql_tidy('s1')} AS var_monthly_edits_1 FROM profile
-ORDER BY user_id LIMIT 50000""")
+  {sql_tidy('a1')} AS avg_monthly_edits_1, {sql_tidy('s1')} AS var_monthly_edits_1 FROM profile""")
 def career_profile(spark, folder):
-    return tidied(cohort.career_profile(view(spark, folder, "activity"), limit=50000),
+    return tidied(cohort.career_profile(view(spark, folder, "activity")),
                   "avg_monthly_edits_0", "var_monthly_edits_0", "avg_monthly_edits_1",
                   "var_monthly_edits_1")
 

@@ -270,7 +270,9 @@ paired AS (SELECT experiment, checkpoint, max(n) FILTER (variant = 'A') AS a_n,
 DECIDED = f"""
 {CHECKPOINTS}, {PAIRED}, {WELCH},
 results AS (SELECT *, CASE WHEN p < 0.05 AND a_mean > b_mean THEN 'A' WHEN p < 0.05 THEN 'B'
-  WHEN greatest(a_n, b_n) > 1000 THEN 'unknown' ELSE 'continue' END AS result FROM valued)
+  WHEN greatest(a_n, b_n) > 1000 THEN 'unknown' ELSE 'continue' END AS result FROM valued
+  QUALIFY checkpoint <= coalesce(min(checkpoint) FILTER (greatest(a_n, b_n) > 1000) OVER (
+    PARTITION BY experiment), checkpoint))
 """
 
 
@@ -372,7 +374,7 @@ def normal_comparison(spark, folder):
 @checked("normal_draws")
 def normal_draws(spark, folder):
     stats = ex.normal_posterior(ex.sufficient_statistics(impressions(spark, folder), "value"))
-    return draws.posterior_draws(stats, list(ex.KEYS), 1000)
+    return draws.posterior_draws(stats, list(ex.KEYS))
 
 
 @checked("drawn_posterior_summary")
@@ -420,13 +422,13 @@ def amount_comparison(spark, folder):
 @checked("credibility_decisions")
 def credibility_decisions(spark, folder):
     return sequential.first_decision(sequential.amount_results(
-        impressions(spark, folder), INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000)))
+        impressions(spark, folder), INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000))
 
 
 @checked("expected_cost_decisions")
 def expected_cost_decisions(spark, folder):
     return sequential.first_decision(sequential.amount_results(
-        impressions(spark, folder), INTERVAL, lambda df: draws.stop_expected_cost(df, 0.0002, 1000)))
+        impressions(spark, folder), INTERVAL, lambda df: draws.stop_expected_cost(df, 0.0002, 1000), max_run=1000))
 
 
 @checked("streak_decisions")

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import requests as rq
 from tidemark.operators import links, pageviews, similarity
-from tidemark.plans.views import view, with_views
+from tidemark.plans.views import table, view, with_views
+from tidemark.plans.web_queries import tidied
 from tidemark.session import scratch_path, written
 from tidemark.sources import tables
 
@@ -206,6 +207,7 @@ def similar_sql(prefs, measure, limit):
         "tanimoto": "CAST(shared AS DOUBLE) / (da + db - shared)",
         "loglikelihood": "1 - 1 / (1 + greatest(2 * (cells - margins + xn), 0))",
     }[measure]
+    strength = {"tanimoto": score, "loglikelihood": "greatest(2 * (cells - margins + xn), 0)"}[measure]
 
     def xlx(v):
         return f"(CASE WHEN {v} > 0 THEN {v} * ln(CAST({v} AS DOUBLE)) ELSE 0 END)"
@@ -217,24 +219,24 @@ def similar_sql(prefs, measure, limit):
 degrees AS (SELECT item_id, count(*) AS d FROM {prefs} GROUP BY item_id),
 shared AS (SELECT a.item_id AS item_a, b.item_id AS item_b, count(*) AS shared
   FROM {prefs} a JOIN {prefs} b ON a.user_id = b.user_id AND a.item_id <> b.item_id GROUP BY ALL),
-tabled AS (SELECT item_a, item_b, shared, x.d AS da, y.d AS db,
+tabled AS (SELECT item_a, item_b, shared, least(x.d, y.d) AS da, greatest(x.d, y.d) AS db,
   (SELECT count(DISTINCT user_id) FROM {prefs}) AS users
   FROM shared JOIN degrees x ON x.item_id = item_a JOIN degrees y ON y.item_id = item_b),
 parts AS (SELECT *, {cells} AS cells, {margins} AS margins, {xlx('users')} AS xn FROM tabled),
-scored AS (SELECT item_a AS item_id, item_b AS other_id, round({score}, 6) AS score FROM parts),
-similar_items AS (SELECT item_id, other_id, score FROM scored
-  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, other_id) <= {limit})
+scored AS (SELECT item_a AS item_id, item_b AS other_id, {score} AS raw, {strength} AS strength FROM parts),
+similar_items AS (SELECT item_id, other_id, raw, round(raw, 6) AS score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY strength DESC, other_id) <= {limit})
 """
 
 
 def recommended_sql(prefs, k, listed="true"):
     return f"""
-sums AS (SELECT p.user_id, s.other_id AS item_id, round(sum(s.score), 6) AS score
+sums AS (SELECT p.user_id, s.other_id AS item_id, round(sum(s.raw), 12) AS raw
   FROM {prefs} p JOIN similar_items s ON s.item_id = p.item_id WHERE {listed} GROUP BY ALL),
 fresh AS (SELECT * FROM sums WHERE NOT EXISTS (SELECT 1 FROM {prefs} o
   WHERE o.user_id = sums.user_id AND o.item_id = sums.item_id)),
-recommended AS (SELECT user_id, item_id, score, CAST(row_number() OVER (
-    PARTITION BY user_id ORDER BY score DESC, item_id) AS INT) AS rank FROM fresh
+recommended AS (SELECT user_id, item_id, round(raw, 6) AS score, CAST(row_number() OVER (
+    PARTITION BY user_id ORDER BY raw DESC, item_id) AS INT) AS rank FROM fresh
   QUALIFY rank <= {k})
 """
 
@@ -248,16 +250,28 @@ def link_prefs(spark, folder):
 
 
 @checked("item_similarity_tanimoto",
-         f"WITH {similar_sql('prefs', 'tanimoto', 1000)} SELECT * FROM similar_items", ("prefs",))
+         f"WITH {similar_sql('prefs', 'tanimoto', 1000)} SELECT item_id, other_id, score FROM similar_items",
+         ("prefs",))
 def item_similarity_tanimoto(spark, folder):
-    return similarity.item_similarity(written(view(spark, folder, "prefs"), "prefs"), "tanimoto", 1000)
+    return tidied(similarity.item_similarity(
+        written(view(spark, folder, "prefs"), "prefs"), "tanimoto", 1000), "score")
+
+
+@checked("many_similar_items",
+         f"WITH {similar_sql('prefs', 'tanimoto', 1500)} SELECT item_id, other_id, score FROM similar_items",
+         ("prefs",))
+def many_similar_items(spark, folder):
+    """More per item than Spark's own group limit takes."""
+    return tidied(similarity.item_similarity(
+        written(view(spark, folder, "prefs"), "prefs"), "tanimoto", 1500, chunk=64), "score")
 
 
 @checked("item_similarity_loglikelihood",
-         f"WITH {similar_sql('prefs', 'loglikelihood', 100)} SELECT * FROM similar_items", ("prefs",))
+         f"WITH {similar_sql('prefs', 'loglikelihood', 100)} SELECT item_id, other_id, score FROM similar_items",
+         ("prefs",))
 def item_similarity_loglikelihood(spark, folder):
-    return similarity.item_similarity(written(view(spark, folder, "prefs"), "prefs"),
-                                      "loglikelihood", 100)
+    return tidied(similarity.item_similarity(
+        written(view(spark, folder, "prefs"), "prefs"), "loglikelihood", 100), "score")
 
 
 @checked("recommended_items", f"""
@@ -266,7 +280,7 @@ SELECT * FROM recommended""", ("prefs",))
 def recommended_items(spark, folder):
     prefs = written(view(spark, folder, "prefs"), "prefs")
     similar = similarity.item_similarity(prefs, "tanimoto", 100)
-    return similarity.recommend_items(prefs, similar, 10)
+    return tidied(similarity.recommend_items(prefs, similar, 10), "score")
 
 
 @checked("recommended_items_of_listed_users", f"""
@@ -274,12 +288,11 @@ WITH {similar_sql('prefs', 'tanimoto', 100)},
 {recommended_sql('prefs', 10, "p.user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")}
 SELECT * FROM recommended""", ("prefs",))
 def recommended_items_of_listed_users(spark, folder):
-    from tidemark.plans.views import table
     prefs = written(view(spark, folder, "prefs"), "prefs")
     listed = table(spark, folder, "customer").where("c_mktsegment = 'BUILDING'").select(
         F.col("c_custkey").alias("user_id"))
     similar = similarity.item_similarity(prefs, "tanimoto", 100)
-    return similarity.recommend_items(prefs, similar, 10, listed)
+    return tidied(similarity.recommend_items(prefs, similar, 10, listed), "score")
 
 
 @checked("non_linked_recommendations", f"""
@@ -288,7 +301,8 @@ SELECT * FROM recommended""", ("links", "page_dim"))
 def non_linked_recommendations(spark, folder):
     prefs = link_prefs(spark, folder)
     similar = similarity.item_similarity(prefs, "loglikelihood", 100)
-    return similarity.recommend_items(prefs, similar, 50, links.distinct_ids(prefs, "user_id"))
+    return tidied(similarity.recommend_items(prefs, similar, 50, links.distinct_ids(prefs, "user_id")),
+                  "score")
 
 
 @checked("similar_pages_by_title", f"""
@@ -299,7 +313,8 @@ def similar_pages_by_title(spark, folder):
     path = scratch_path(spark, "similar")
     tables.write_delimited(
         similarity.item_similarity(link_prefs(spark, folder), "tanimoto", 1000), path)
-    return links.with_titles(tables.read_similarity(spark, path), view(spark, folder, "page_dim"))
+    return tidied(links.with_titles(tables.read_similarity(spark, path), view(spark, folder, "page_dim")),
+                  "score")
 
 
 @checked("titles_of_pages", """

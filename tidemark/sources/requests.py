@@ -40,8 +40,9 @@ REQUEST_SCHEMA = T.StructType([
 def in_period(df: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Rows whose partition hour lies in [start, end).
 
-    The year and day bounds use partition columns only, so files outside them are
-    not listed, whether or not the hour is a partition column too.
+    The year and day bounds use partition columns only, so files outside them are not
+    read, whether or not the hour is a partition column too. (A path is listed as a
+    whole; a catalog table lists the partitions of the period only.)
     """
     zero = F.lit(0)
     hour = F.make_timestamp_ntz(F.col("year"), F.col("month"), F.col("day"), F.col("hour"), zero, zero)
@@ -74,10 +75,13 @@ def missing_partitions(observed: DataFrame, first: datetime, last: datetime,
                        source_column: str = "webrequest_source") -> DataFrame:
     """Expected slots (inclusive period) without any row.
 
-    ``observed`` may be the whole table: only its partition columns are read, and
-    they are reduced to distinct slots before the anti join.
+    ``observed`` may be the whole table: only its partition columns are read, for the
+    days of the period, and they are reduced to distinct slots before the anti join.
     """
     columns = list(GRAINS[grain])
+    day = F.make_date("year", "month", "day")
+    observed = observed.where(F.col("year").between(first.year, last.year)
+                              & (day >= F.lit(first.date())) & (day <= F.lit(last.date())))
     step = F.expr(f"INTERVAL 1 {grain.upper()}")
     expected = observed.sparkSession.range(1).select(F.explode(F.sequence(
         rq.wall_clock(first), rq.wall_clock(last), step)).alias("slot"))

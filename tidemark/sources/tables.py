@@ -5,28 +5,58 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions import requests as rq
+
 SIMILARITY_SCHEMA = "page_id BIGINT, link_id BIGINT, score DOUBLE"
 EDGE_SCHEMA = "page_id BIGINT, link_id BIGINT"
-# Missing values are written as \\N, so that empty text stays apart from them.
+# Missing values are written as \N. What could be taken for something else inside a text is
+# written as a backslash and a letter, the empty text too, so that every text comes back.
 MISSING = "\\N"
+ESCAPES = (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
+EMPTY, SEPARATOR = "\\e", "\\s"
 CLICK_SCHEMA = "prev_id BIGINT, curr_id BIGINT, n BIGINT, prev_title STRING, curr_title STRING"
 
 
+def _format(sep: str, header: bool) -> dict:
+    return {"sep": sep, "header": header, "nullValue": MISSING, "emptyValue": "", "quote": "",
+            "escape": "\0", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _texts(schema: T.StructType) -> list[str]:
+    return [f.name for f in schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def _escaped(name: str, sep: str) -> Column:
+    out = F.replace(F.col(name), F.lit("\\"), F.lit("\\\\"))
+    for plain, written in (*ESCAPES, (sep, SEPARATOR)):
+        out = F.replace(out, F.lit(plain), F.lit(written))
+    return F.when(F.col(name) == "", EMPTY).otherwise(out)
+
+
+def _unescaped(name: str, sep: str) -> Column:
+    def single(part: Column) -> Column:
+        for plain, written in (*ESCAPES, (sep, SEPARATOR), ("", EMPTY)):
+            part = F.replace(part, F.lit(written), F.lit(plain))
+        return part
+
+    return F.array_join(F.transform(F.split(F.col(name), r"\\\\", -1), single), "\\")
+
+
 def read_delimited(spark: SparkSession, path: str, schema: str | T.StructType,
                    sep: str = "\t", header: bool = False) -> DataFrame:
     """Text rows with one separator, under an explicit schema."""
-    return (spark.read.schema(schema).option("sep", sep).option("header", header)
-            .option("nullValue", MISSING).csv(path))
+    df = spark.read.schema(schema).options(**_format(sep, header)).csv(path)
+    return df.withColumns({c: _unescaped(c, sep).alias(c) for c in _texts(df.schema)})
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", header: bool = False) -> None:
-    """Writes a directory of text parts, one per task."""
-    (df.write.mode("overwrite").option("sep", sep).option("header", header)
-     .option("nullValue", MISSING).csv(path))
+    """Writes a directory of text parts, one per task; see the escapes above."""
+    texts = {c: _escaped(c, sep) for c in _texts(df.schema)}
+    df.withColumns(texts).write.mode("overwrite").options(**_format(sep, header)).csv(path)
 
 
 def read_similarity(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -57,26 +87,29 @@ def read_jdbc_partitioned(spark: SparkSession, url: str, query: str, split_colum
                            numPartitions=partitions, properties=properties)
 
 
-def import_query(table: str, columns: Sequence[str], text: Sequence[str] = (),
-                 where: str | None = None) -> str:
-    """Query that an import sends: columns by name, text columns as UTF-8."""
-    selected = ", ".join(f"CAST({c} AS CHAR(255) CHARSET utf8) AS {c}" if c in text else c
-                         for c in columns)
-    return f"SELECT {selected} FROM {table}" + (f" WHERE {where}" if where else "")
+def import_query(table: str, columns: Sequence[str], where: str | None = None) -> str:
+    """Query that an import sends: columns by name."""
+    return f"SELECT {', '.join(columns)} FROM {table}" + (f" WHERE {where}" if where else "")
+
+
+def as_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns that arrive as bytes as the UTF-8 text they hold, uncut; others as they are."""
+    binary = {f.name for f in df.schema.fields if isinstance(f.dataType, T.BinaryType)}
+    return df.withColumns({c: rq.utf8_text(c) for c in columns if c in binary})
 
 
 def import_pages(spark: SparkSession, url: str, **options) -> DataFrame:
     """The page table, split by page id."""
     columns = ["page_id", "page_namespace", "page_title", "page_counter", "page_is_redirect"]
-    return read_jdbc_partitioned(spark, url, import_query("page", columns, ["page_title"]),
-                                 "page_id", **options)
+    return as_text(read_jdbc_partitioned(spark, url, import_query("page", columns), "page_id",
+                                         **options), ["page_title"])
 
 
 def import_page_links(spark: SparkSession, url: str, **options) -> DataFrame:
     """The table of links between pages, split by the linking page."""
     columns = ["pl_from", "pl_namespace", "pl_title", "pl_from_namespace"]
-    return read_jdbc_partitioned(spark, url, import_query("pagelinks", columns, ["pl_title"]),
-                                 "pl_from", **options)
+    return as_text(read_jdbc_partitioned(spark, url, import_query("pagelinks", columns), "pl_from",
+                                         **options), ["pl_title"])
 
 
 def import_revisions(spark: SparkSession, url: str, above: int = 10000, below: int = 12000,
@@ -90,7 +123,8 @@ def import_revisions(spark: SparkSession, url: str, above: int = 10000, below: i
 def publish_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Overwrites the partitions that ``df`` holds and leaves all others alone.
 
-    A rerun replaces its own partitions. Rebalancing keeps the number of files
+    A rerun replaces its own partitions, but cannot empty one for which it has no rows:
+    a job that owns its slot uses :func:`publish_partition`. Rebalancing keeps the number of files
     small and splits a partition that is much larger than the rest.
     """
     (df.hint("rebalance", *[F.col(c) for c in columns]).write.mode("overwrite")
@@ -99,10 +133,12 @@ def publish_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None
 
 
 def publish_partition(df: DataFrame, path: str, **slot: int) -> None:
-    """Publishes one partition, e.g. ``year=2024, month=1, day=9``."""
-    fixed = df.drop(*slot).select("*", *[F.lit(v).alias(k) for k, v in slot.items()])
-    (fixed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*slot).parquet(path))
+    """Publishes one partition, e.g. ``year=2024, month=1, day=9``.
+
+    The named slot is overwritten itself, so a rerun without rows empties it.
+    """
+    folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in slot.items())])
+    df.drop(*slot).hint("rebalance").write.mode("overwrite").parquet(folder)
 
 
 def keep_recent(df: DataFrame, as_of: date, keep_days: int = 7) -> DataFrame:
@@ -116,12 +152,13 @@ def drop_expired(spark: SparkSession, table: str, as_of: date, keep_days: int =
 
     Works on partition names only. Returns the number of dropped partitions.
     """
-    dropped = 0
-    for row in spark.sql(f"SHOW PARTITIONS {table}").collect():
+    expired = []
+    for row in spark.sql(f"SHOW PARTITIONS {table}").toLocalIterator():
         spec = dict(part.split("=", 1) for part in row[0].split("/"))
         day = date(int(spec["year"]), int(spec["month"]), int(spec["day"]))
         if (as_of - day).days >= keep_days:
             named = ", ".join(f"{k} = '{v}'" for k, v in spec.items())
-            spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({named})")
-            dropped += 1
-    return dropped
+            expired.append(f"PARTITION ({named})")
+    for start in range(0, len(expired), 200):
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(expired[start:start + 200])}")
+    return len(expired)
