@@ -251,3 +251,8 @@ def test_sample_size_formula(spark):
                           0.05).first()
     assert size.effect_size == pytest.approx(-0.01 / 0.4)
     assert size.sample_size == pytest.approx(2 * ((1.959964 + 1.644854) / 0.025) ** 2, rel=1e-5)
+
+
+def test_log_gamma_is_accurate():
+    values = np.concatenate([np.arange(1, 40), [0.5, 15.999, 16.001, 1e3, 1e6, 1e9]])
+    assert numbers.log_gamma(values) == pytest.approx([math.lgamma(v) for v in values], rel=1e-13, abs=1e-12)

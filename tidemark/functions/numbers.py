@@ -28,15 +28,27 @@ def x_log_x(value: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(0.0)
 
 
-def _log_gamma(values: np.ndarray) -> np.ndarray:
-    return np.fromiter((math.lgamma(v) for v in values), dtype=float, count=len(values))
+def log_gamma(values: np.ndarray) -> np.ndarray:
+    """Stirling's series; small arguments are first moved up by the recurrence."""
+    x = np.asarray(values, float)
+    low = x < 16
+    y = np.where(low, x + 16, x)
+    series = 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    out = (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    moved = sum(np.log(np.where(low, x + k, 1.0)) for k in range(16))
+    return out - moved
 
 
 @F.pandas_udf(DoubleType())
 def log_choose(n: pd.Series, k: pd.Series) -> pd.Series:
     """Natural logarithm of n choose k."""
     n, k = n.to_numpy(float), k.to_numpy(float)
-    return pd.Series(_log_gamma(n + 1) - _log_gamma(k + 1) - _log_gamma(n - k + 1))
+    return pd.Series(log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1))
+
+
+def log_beta(a: Column, b: Column) -> Column:
+    """Natural logarithm of the beta function."""
+    return -F.log(b) - log_choose(a + b - 1, a - 1)
 
 
 def beta_fraction(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -70,7 +82,7 @@ def regularized_beta(a, b, x) -> np.ndarray:
     inside = (x > 0) & (x < 1)
     xs = np.where(inside, x, 0.5)
     front = np.exp(
-        _log_gamma(a + b) - _log_gamma(a) - _log_gamma(b)
+        log_gamma(a + b) - log_gamma(a) - log_gamma(b)
         + a * np.log(xs) + b * np.log1p(-xs)
     )
     direct = xs < (a + 1.0) / (a + b + 2.0)
