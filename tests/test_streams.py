@@ -61,3 +61,17 @@ def test_monitor_equals_batch_at_each_step(spark, tmp_path):
     first = next((r for r in results if r != "continue"), None)
     decided = monitor.decisions(spark, out).collect()
     assert [r.result for r in decided] == ([] if first is None else [first])
+
+
+def test_open_slots_complete_the_stream(spark, tmp_path):
+    from tidemark.plans.views import view
+    rows = view(spark, "/root/testdata/sf0.001", "requests")
+    path = str(tmp_path / "table")
+    pageviews.publish_open_slots(rows.where("day <= 5"), path, "1 day")
+    first = spark.read.parquet(path).count()
+    pageviews.publish_open_slots(rows, path, "1 day")
+    everything = str(tmp_path / "all")
+    pageviews.publish_open_slots(rows, everything, "1 day")
+    both = [sorted(tuple(r) for r in spark.read.parquet(p).select(
+        "project", "page_title", "country", "day", "n").collect()) for p in (path, everything)]
+    assert 0 < first < len(both[0]) and both[0] == both[1]

@@ -168,21 +168,21 @@ def stratified_folds(df: DataFrame, label: str, key: str, folds: int, seed: int
         "_rank", "_order")
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Exact area under the ROC curve, tied scores counted half.
+def roc_auc(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact area under the ROC curve, of each key if there are any; ties count half.
 
     Rows are summed per score, and the running total over scores is sliced, so
     neither a frequent score nor many scores end in one task.
     """
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
-    per_score = df.groupBy(F.col(score).alias("_score")).agg(
+    per_score = df.groupBy(*keys, F.col(score).alias("_score")).agg(
         F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
-    ranked = running_totals(per_score, [], ["_score"], {"_below": F.col("_neg")})
+    ranked = running_totals(per_score, keys, ["_score"], {"_below": F.col("_neg")})
     wins = F.col("_pos") * (F.col("_below") - F.col("_neg") / 2.0)
-    total = ranked.agg(F.sum(wins).alias("wins"), F.sum("_pos").alias("positives"),
+    total = ranked.groupBy(*keys).agg(F.sum(wins).alias("wins"), F.sum("_pos").alias("positives"),
                        F.sum("_neg").alias("negatives"))
-    area = F.try_divide(F.col("wins"), F.col("positives") * F.col("negatives"))
-    return total.select("positives", "negatives", area.alias("roc_auc"))
+    area = F.try_divide(F.col("wins"), F.col("positives").cast("double") * F.col("negatives"))
+    return total.select(*keys, "positives", "negatives", area.alias("roc_auc"))
 
 
 def confusion_report(predictions: DataFrame, label: str = "label", prediction: str = "prediction",

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.cohort import confusion_report, roc_auc
+from tidemark.session import written
 
 
 def feature_stages(columns: Sequence[str], scaled: bool = False) -> list:
@@ -49,7 +50,7 @@ def prepared(df: DataFrame, columns: Sequence[str], label: str = "survive",
 
 def svm_grid(rows: int, costs: Sequence[float] = (0.01, 0.1, 1, 5, 10)):
     """Linear SVM over a grid of error costs; a cost C is a penalty of 1 / (C rows)."""
-    model = LinearSVC(labelCol="label", maxIter=30, tol=1e-4)
+    model = LinearSVC(labelCol="label", tol=1e-4)
     penalties = [1.0 / (c * max(rows, 1)) for c in costs]
     return model, ParamGridBuilder().addGrid(model.regParam, penalties).build()
 
@@ -62,8 +63,10 @@ def logistic_grid(rows: int, costs: Sequence[float] = (0.1, 1, 5, 100)):
 
 
 def forest_grid(trees: Sequence[int] = (40,), seed: int = 0):
-    """Random forest that tries log2 of the features at each split."""
-    model = RandomForestClassifier(labelCol="label", featureSubsetStrategy="log2", seed=seed)
+    """Random forest that tries log2 of the features at each split; trees grow as deep as
+    Spark lets them, until their leaves are pure."""
+    model = RandomForestClassifier(labelCol="label", featureSubsetStrategy="log2", seed=seed,
+                                   maxDepth=30, maxBins=128)
     return model, ParamGridBuilder().addGrid(model.numTrees, list(trees)).build()
 
 
@@ -128,6 +131,15 @@ def nested_report(df: DataFrame, columns: Sequence[str], model: Estimator, grid,
     return parts
 
 
+def roc_by_fold(predictions: DataFrame) -> DataFrame:
+    """Area under the ROC curve of each fold, with their mean and population deviation."""
+    areas = written(roc_auc(predictions, "label", "score", ["fold"]), "areas")
+    overall = areas.agg(F.avg("roc_auc"), F.stddev_pop("roc_auc")).first()
+    return areas.select("fold", "positives", "negatives", "roc_auc",
+                        F.lit(overall[0]).cast("double").alias("mean_auc"),
+                        F.lit(overall[1]).cast("double").alias("auc_deviation"))
+
+
 def holdout_report(model, test: DataFrame) -> DataFrame:
     """Area under the ROC curve and F1 of class 1 on held-out rows."""
     predictions = scored(model, test).select(F.lit(0).alias("fold"), "label", "prediction", "score")

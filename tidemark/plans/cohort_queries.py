@@ -175,6 +175,43 @@ def roc_auc(spark, folder):
     return tidied(cohort.roc_auc(label_scores(spark, folder), "quality", "score"), "roc_auc")
 
 
+@checked("roc_auc_by_fold", f"""
+WITH {SCORES},
+ranked AS (SELECT fold, quality, rank() OVER (PARTITION BY fold ORDER BY score)
+  + (count(*) OVER (PARTITION BY fold, score) - 1) / 2.0 AS r FROM scores),
+sums AS (SELECT fold, CAST(sum(quality) AS BIGINT) AS positives, CAST(count(*) - sum(quality) AS BIGINT) AS negatives,
+  sum(r) FILTER (quality = 1) AS rank_sum FROM ranked GROUP BY fold),
+areas AS (SELECT fold, positives, negatives, (rank_sum - positives * (positives + 1) / 2.0)
+  / (CAST(positives AS DOUBLE) * negatives) AS area FROM sums)
+SELECT fold, positives, negatives, round(area, 6) AS roc_auc, round(avg(area) OVER (), 6) AS mean_auc,
+  round(stddev_pop(area) OVER (), 6) AS auc_deviation FROM areas""", ())
+def roc_auc_by_fold(spark, folder):
+    rows = label_scores(spark, folder).withColumn("label", F.col("quality"))
+    return tidied(models.roc_by_fold(rows), "roc_auc", "mean_auc", "auc_deviation")
+
+
+@checked("nearest_clusters", """
+SELECT count(*) AS users, TRUE AS all_in_the_nearest FROM (
+  SELECT user_id FROM activity GROUP BY user_id HAVING count(*) > 5) u""")
+def nearest_clusters(spark, folder):
+    """Every user is in the cluster whose mean is nearest, to a small slack for the last step."""
+    profile = cohort.career_profile(view(spark, folder, "activity"))
+    columns = [c for c in profile.columns if c != "user_id"]
+    found = written(models.k_means(profile, columns, 4).select("user_id", "cluster", *columns), "clusters")
+    centers = found.groupBy("cluster").agg(*[F.avg(c).alias(f"_{c}") for c in columns])
+    gathered = centers.agg(F.collect_list(F.struct("cluster", *[f"_{c}" for c in columns])).alias("_centers"))
+    placed = found.withColumn("_one", F.lit(1)).join(gathered.withColumn("_one", F.lit(1)), "_one")
+
+    def distance(center):
+        return F.sqrt(sum(F.pow(F.col(c) - center[f"_{c}"], F.lit(2)) for c in columns))
+
+    nearest = F.array_min(F.transform("_centers", distance))
+    own = F.aggregate(F.filter("_centers", lambda m: m["cluster"] == F.col("cluster")), F.lit(0.0),
+                      lambda total, m: total + distance(m))
+    return placed.agg(F.count(F.lit(1)).alias("users"),
+                      F.bool_and(own <= nearest * 1.25 + 0.1).alias("all_in_the_nearest"))
+
+
 REPORT = f"""
 {SCORES}, said AS (SELECT fold, quality AS actual, CASE WHEN score > 30 THEN 1 ELSE 0 END AS said FROM scores),
 report AS (SELECT fold, c AS class,
@@ -240,7 +277,12 @@ def folded(spark, folder):
     rows = cohort.survival_dataset(view(spark, folder, "activity"), HORIZON, date(1998, 7, 31),
                                    date(1998, 12, 31))
     folds = cohort.stratified_folds(rows, "survive", "user_id", 2)
-    return written(models.prepared(folds, cohort.FEATURES), "folds")
+    return written(models.prepared(folds, cohort.FEATURES, keep=("fold", "user_id")), "folds")
+
+
+def refolded(train):
+    """Inner folds, stratified as the outer ones are."""
+    return cohort.stratified_folds(train.drop("fold"), "label", "user_id", 2, seed=1)
 
 
 def _searched(spark, folder, grid, scaled=False):
@@ -275,7 +317,7 @@ def logistic_grid_scores(spark, folder):
 def forest_holdout_report(spark, folder):
     data = folded(spark, folder)
     model, settings = models.forest_grid()
-    train = data.where("fold = 0").withColumn("fold", F.pmod(F.xxhash64(*cohort.FEATURES), F.lit(2)).cast("int"))
+    train = refolded(data.where("fold = 0"))
     search = models.grid_search(train, cohort.FEATURES, model, settings)
     return models.holdout_report(search.bestModel, data.where("fold = 1"))
 
@@ -300,11 +342,8 @@ def nested_fold_predictions(spark, folder):
     data = folded(spark, folder)
     model, settings = models.logistic_grid(data.count() // 4)
 
-    def refold(train):
-        return train.withColumn("fold", F.pmod(F.xxhash64(*cohort.FEATURES), F.lit(2)).cast("int"))
-
     return cohort.report_summary(cohort.confusion_report(models.nested_report(
-        data, cohort.FEATURES, model, settings, 2, True, refold)))
+        data, cohort.FEATURES, model, settings, 2, True, refolded)))
 
 
 @checked("career_components")

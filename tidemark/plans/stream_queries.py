@@ -36,30 +36,28 @@ def published(spark, folder, grain, scale, delay):
     path = scratch_path(spark, "published")
     query = pageviews.publish_stream(counts, path, scratch_path(spark, "state"), grain)
     query.awaitTermination()
+    stored = view_of(spark, "requests", events=table(spark, folder, "events"))
+    pageviews.publish_open_slots(stored, path, grain, scale=scale)
     parts = pageviews.PARTS[grain]
     keys = HOURLY_KEYS if grain == "1 hour" else DAILY_KEYS
     return spark.read.parquet(path).select(*keys, *parts, "n")
 
 
 @checked("streamed_daily_pageviews", f"""
-WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS}),
-closed AS (SELECT * FROM readers WHERE date_trunc('day', ts) + INTERVAL 1 DAY
-  <= (SELECT max(ts) FROM readers) - INTERVAL 1 DAY)
+WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS})
 SELECT project, variant, page_title, country, year, month, day, CAST(64 * count(*) AS BIGINT) AS n
-FROM closed GROUP BY ALL""")
+FROM readers GROUP BY ALL""")
 def streamed_daily_pageviews(spark, folder):
     return published(spark, folder, "1 day", 64, "1 day")
 
 
 @checked("streamed_hourly_pageviews", f"""
-WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS}),
-closed AS (SELECT * FROM readers WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR
-  <= (SELECT max(ts) FROM readers) - INTERVAL 6 HOUR)
+WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS})
 SELECT project, variant, page_title, country, year, month, day, hour,
   CASE WHEN user_agent LIKE '%WikipediaApp%' THEN 'mobile app'
        WHEN uri_host LIKE '%.m.%' THEN 'mobile web' ELSE 'desktop' END AS access_method,
   count(*) AS n
-FROM closed GROUP BY ALL""")
+FROM readers GROUP BY ALL""")
 def streamed_hourly_pageviews(spark, folder):
     return published(spark, folder, "1 hour", 1, "6 hours")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -26,8 +27,8 @@ def stream_pageviews(stream: DataFrame, grain: str = "1 hour", delay: str = "1 d
     """Page views per hour or day of event time, each window emitted once it is closed.
 
     Windows follow UTC, so the session has to as well. A window closes when the
-    latest event is ``delay`` past its end; later rows of it are dropped. Partial sums are taken before the shuffle and kept in the state
-    store per key and open window.
+    latest event is ``delay`` past its end; later rows of it are dropped. Partial sums
+    are taken before the shuffle and kept in the state store per key and open window.
     """
     keys = HOURLY_KEYS if grain == "1 hour" else DAILY_KEYS
     columns = {
@@ -45,6 +46,28 @@ def stream_pageviews(stream: DataFrame, grain: str = "1 hour", delay: str = "1 d
     return counted.select(*keys, *[parts[p].alias(p) for p in PARTS[grain]], "n")
 
 
+def publish_open_slots(requests: DataFrame, path: str, grain: str = "1 hour", ts: str = "ts",
+                       **counting) -> None:
+    """Publishes what the stream still holds open, counted anew from the stored requests.
+
+    The stream publishes a slot once it is closed, so at the end of a replay, or whenever
+    readers want the current slots, its last ones are missing. They are the slots behind
+    the last published one; the stream replaces them when it closes them.
+    """
+    columns = list(PARTS[grain])
+    hour = F.col("hour") if "hour" in columns else F.lit(0)
+    slot = F.make_timestamp(F.col("year"), F.col("month"), F.col("day"), hour, F.lit(0), F.lit(0))
+    spark = requests.sparkSession
+    try:
+        last = spark.read.parquet(path).select(slot.alias("slot")).agg(F.max("slot")).first()[0]
+    except AnalysisException:  # nothing is published yet
+        last = None
+    timed = with_event_time(requests, ts)
+    if last is not None:
+        timed = timed.where(F.col(ts) >= F.lit(last) + F.expr(f"INTERVAL {grain.upper()}"))
+    publish_partitions(stream_pageviews(timed, grain, ts=ts, **counting), path, columns)
+
+
 def publish_stream(counts: DataFrame, path: str, checkpoint: str, grain: str = "1 hour",
                    after: Callable[[DataFrame, int], None] | None = None,
                    **trigger) -> StreamingQuery:
