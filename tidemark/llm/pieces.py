@@ -17,17 +17,21 @@ from __future__ import annotations
 import codecs
 import heapq
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 NO_RANK = np.iinfo(np.int64).max
 # Encoded cuts that a worker keeps, and characters that it cuts at a time.
-KEPT_CUTS, STRIDE = 300_000, 400_000
+KEPT_CUTS, STRIDE = 150_000, 400_000
+# Rows that a worker codes at a time.
+ROWS = 256
 
 
 def load_pieces(path: str) -> dict:
@@ -270,8 +274,8 @@ def _as_lists(packed: list[bytes]) -> pa.Array:
 
 
 def coder_functions(spark: SparkSession, path: str):
-    """Column functions encode (text to ids), decode (ids to text) and both in one pass
-    (text to ids and the text decoded from them)."""
+    """Column functions encode (text to ids) and decode (ids to text), and the function that
+    gives a worker its coder."""
     shared = spark.sparkContext.broadcast(load_pieces(path))
 
     def coder() -> Coder:
@@ -289,15 +293,7 @@ def coder_functions(spark: SparkSession, path: str):
         with_pieces = coder()
         return pa.array([with_pieces.decode(i.as_py() or []) for i in ids], pa.string())
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
-    def both(texts: pa.Array) -> pa.Array:
-        with_pieces = coder()
-        packed = with_pieces.encode_all([t or "" for t in texts.to_pylist()])
-        read = [with_pieces.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
-        return pa.StructArray.from_arrays([_as_lists(packed), pa.array(read, pa.string())],
-                                          ["ids", "decoded"])
-
-    return encode, decode, both
+    return encode, decode, coder
 
 
 def encoded(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -313,7 +309,21 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Adds ids and decoded, reading each text once."""
-    _, _, both = coder_functions(docs.sparkSession, path)
-    coded = docs.drop("ids", "decoded", "_coded").withColumn("_coded", both(F.col(text)))
-    return coded.select("*", "_coded.ids", "_coded.decoded").drop("_coded")
+    """Adds ids and decoded, reading each text once and a few rows at a time."""
+    _, _, coder = coder_functions(docs.sparkSession, path)
+    base = docs.drop("ids", "decoded")
+    at = base.columns.index(text)
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with_pieces = coder()
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                packed = with_pieces.encode_all([t or "" for t in part.column(at).to_pylist()])
+                read = [with_pieces.decode(np.frombuffer(p, "<i4").tolist()) for p in packed]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, _as_lists(packed), pa.array(read, pa.string())],
+                    [*part.schema.names, "ids", "decoded"])
+
+    added = T.StructType().add("ids", T.ArrayType(T.IntegerType())).add("decoded", T.StringType())
+    return base.mapInArrow(code, T.StructType([*base.schema.fields, *added.fields]))

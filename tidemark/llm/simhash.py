@@ -70,7 +70,7 @@ def fingerprint_of(text: str | None) -> int:
 def _fingerprints(at: int):
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint_of(t) for t in batch.column(at).to_pylist()]
+            found = [fingerprint_of(t.as_py()) for t in batch.column(at)]
             columns = [c for i, c in enumerate(batch.columns) if i != at]
             names = [n for i, n in enumerate(batch.schema.names) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.int64())],
