@@ -1,7 +1,7 @@
 """Toxicity by compression distance: which of two dictionaries makes a window shorter.
 
 Two zstandard dictionaries are built from labelled rows: one holds ordinary text, the other
-the same text behind passages that set toxic rows apart (words whose beginnings, or which
+the same text before passages that set toxic rows apart (words whose beginnings, or which
 themselves, stand in far more toxic rows than chance gives). Every window of a text is
 compressed with both. The bytes saved by the toxic dictionary are its margin, and how
 toxic a given set of margins is was calibrated on rows that the dictionaries have not seen.
@@ -37,7 +37,7 @@ FIT_ROWS = 2500
 # Content beyond 16 KB is out of reach for windows this short.
 ORDINARY_BYTES, TOXIC_BYTES = 11_000, 4_500
 LONGEST = 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 LEAD = b"\n~ a window of text, to be measured with both ~\n"
 TAIL = b"\n12345678\n"
 WORD = re.compile(rf"\w{{1,{LONGEST}}}")
@@ -53,7 +53,7 @@ def words_of(text: str | None) -> list[str]:
 def _compressor(content: bytes) -> zstandard.ZstdCompressor:
     options = zstandard.ZstdCompressionParameters(
         window_log=16, hash_log=16, chain_log=16, search_log=9, min_match=3, target_length=64,
-        strategy=zstandard.STRATEGY_LAZY, write_checksum=False, write_content_size=False,
+        strategy=zstandard.STRATEGY_BTOPT, write_checksum=False, write_content_size=False,
         write_dict_id=False)
     return zstandard.ZstdCompressor(compression_params=options, dict_data=(
         zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
@@ -110,7 +110,7 @@ class Scorer:
     def __init__(self, model: dict) -> None:
         self.model = model
         self.ordinary = _compressor(model["ordinary"] + LEAD)
-        self.toxic = _compressor(model["toxic"] + model["ordinary"] + LEAD)
+        self.toxic = _compressor(model["ordinary"] + model["toxic"] + LEAD)
         self.kept: dict[str, int] = {}
 
     def margin(self, word: str) -> int:
@@ -209,8 +209,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, fit_rows: int, key: str
         below = F.when(F.col("_toxic") == label, F.lit(min(1.0, fit_rows / n))).otherwise(below)
     place = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = usable.filter(place < below).limit(3 * fit_rows)
+    # At most 3 fit_rows rows on either side: repeated ids cannot make them more.
     rows = docs.select(key, F.col(text).alias("_text")).join(F.broadcast(drawn), key).orderBy(
-        F.xxhash64(F.col(key).cast("string")), "_toxic", "_text").collect()
+        F.xxhash64(F.col(key).cast("string")), "_toxic", "_text").limit(3 * fit_rows).collect()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return [(r["_text"] or "", r["_toxic"]) for r in rows], share
 
