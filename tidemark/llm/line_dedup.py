@@ -198,7 +198,9 @@ def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
     def goes(n: Column) -> Column:
         return F.exists("_runs", lambda run: (run["first"] <= n) & (n <= run["last"]))
 
-    joined = base.join(gathered, (here["id"].eqNullSafe(F.col("_run_doc.id")))
+    # Sorted and merged at every size: a broadcast while the runs are few would only change
+    # the plan once they are not.
+    joined = base.join(gathered.hint("merge"), (here["id"].eqNullSafe(F.col("_run_doc.id")))
                        & (here["print"] == F.col("_run_doc.print")), "left")
     kept = F.filter(lines, lambda _, n: ~goes(n))
     cut = F.filter(lines, lambda _, n: goes(n))
