@@ -123,8 +123,8 @@ def _units(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def _packed(units: np.ndarray) -> pa.Array:
-    """Vectors as binary, a row each."""
-    data, width = np.ascontiguousarray(units, "<f8").tobytes(), 8 * units.shape[1]
+    """Vectors as binary, a row each; single precision is enough to find candidates."""
+    data, width = np.ascontiguousarray(units, "<f4").tobytes(), 4 * units.shape[1]
     return pa.array([data[i:i + width] for i in range(0, len(data), width)], pa.binary())
 
 
@@ -162,7 +162,7 @@ def _open(forest: Forest, visit: float):
 
 def _stack(column: pa.ChunkedArray) -> np.ndarray:
     values = column.to_pylist()
-    return np.frombuffer(b"".join(values), "<f8").reshape(len(values), -1)
+    return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1)
 
 
 def _nearest(count: int, block: int = 4096):
@@ -175,7 +175,8 @@ def _nearest(count: int, block: int = 4096):
             vids, units = vids[order], units[order]
             for start in range(0, queries.num_rows, block):
                 part = queries.slice(start, block)
-                cosines = _stack(part["unit"]) @ units.T
+                # Rounded, so that equal ones are ties, which go to the smaller id.
+                cosines = np.round(_stack(part["unit"]) @ units.T, 6).astype(np.float64)
                 best = np.argsort(-cosines, axis=1, kind="stable")[:, :count]
                 found[0].append(np.repeat(part["qid"].to_numpy(), best.shape[1]))
                 found[1].append(vids[best].ravel())
