@@ -2,6 +2,8 @@
 
 from datetime import date, datetime
 
+import pytest
+
 from tidemark.plans import jobs
 from tidemark.sources import tables
 from tidemark.sources.requests import REQUEST_SCHEMA
@@ -47,3 +49,15 @@ def test_daily_sample_is_scaled(spark, tmp_path):
     write_log(spark, log)
     jobs.publish_daily_pageviews(spark, log, daily, date(2024, 1, 1), one_in=2, key="ip")
     assert {r.n % 2 for r in spark.read.parquet(daily).collect()} <= {0}
+
+
+def test_jobs_wait_for_input_and_drop_old_slots(spark, tmp_path):
+    log, daily, hourly = (str(tmp_path / n) for n in ("log", "daily", "hourly"))
+    write_log(spark, log)
+    with pytest.raises(jobs.IncompleteInput, match="lacks the hour"):
+        jobs.daily_job(spark, log, daily, date(2024, 1, 1), one_in=1)
+    assert not (tmp_path / "daily").exists()
+    ranges = spark.createDataFrame([(16777216, 33554431, "One")], "first_ip LONG, last_ip LONG, country STRING")
+    jobs.hourly_job(spark, log, hourly, datetime(2024, 1, 1, 5), ranges, one_in=1)
+    jobs.hourly_job(spark, log, hourly, datetime(2024, 1, 2, 0), ranges, keep_days=1, one_in=1)
+    assert {r.day for r in spark.read.parquet(hourly).collect()} == {2}

@@ -11,8 +11,37 @@ from tidemark.functions import fixed_values as fixed
 from tidemark.functions import requests as rq
 from tidemark.operators import pageviews, trends
 from tidemark.operators.traffic import map_field
-from tidemark.sources.requests import read_requests, sample_bucket
-from tidemark.sources.tables import publish_partition
+from tidemark.sources.requests import missing_partitions, read_requests, sample_bucket
+from tidemark.sources.tables import drop_expired_slots, publish_partition
+
+
+class IncompleteInput(RuntimeError):
+    """Hours of the log that a job needs are not there yet."""
+
+
+def require_hours(spark: SparkSession, log: str, start: datetime, hours: int) -> None:
+    """Raises if the log lacks any of the hours, before anything is published."""
+    end = start + timedelta(hours=hours - 1)
+    lacking = missing_partitions(spark.read.parquet(log), start, end).orderBy(
+        "year", "month", "day", "hour").first()
+    if lacking is not None:
+        raise IncompleteInput(f"{log} lacks the hour {tuple(lacking)}")
+
+
+def daily_job(spark: SparkSession, log: str, table: str, day: date, keep_days: int = 60,
+              **options) -> None:
+    """One run of the daily job: complete input, publication, retention."""
+    require_hours(spark, log, datetime.combine(day, time()), 24)
+    publish_daily_pageviews(spark, log, table, day, **options)
+    drop_expired_slots(spark, table, day, keep_days)
+
+
+def hourly_job(spark: SparkSession, log: str, table: str, hour: datetime, ranges: DataFrame,
+               keep_days: int = 7, **options) -> None:
+    """One run of the hourly job: complete input, publication, retention."""
+    require_hours(spark, log, hour, 1)
+    publish_hourly_pageviews(spark, log, table, hour, ranges, **options)
+    drop_expired_slots(spark, table, hour.date(), keep_days)
 
 
 def _sampled(log: DataFrame, one_in: int, key: str | None, seed: int | None) -> DataFrame:

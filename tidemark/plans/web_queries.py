@@ -300,6 +300,19 @@ def published_daily_pageviews(spark, folder):
     return spark.read.parquet(path)
 
 
+@checked("kept_daily_pageviews", f"""
+WITH {HOST_PARTS}, {DAILY} SELECT * FROM daily
+WHERE make_date(year, month, day) > DATE '2024-01-20' - 7 AND make_date(year, month, day) <> DATE '2024-01-18'""")
+def kept_daily_pageviews(spark, folder):
+    """Publication, a rerun that finds nothing for a day, and retention of a week."""
+    path = scratch_path(spark, "kept")
+    daily = daily_series(spark, folder)
+    tables.publish_partitions(daily, path, ["year", "month", "day"])
+    tables.publish_partition(daily.where("false").drop("year", "month", "day"), path, year=2024, month=1, day=18)
+    tables.drop_expired_slots(spark, path, date(2024, 1, 20), 7)
+    return spark.read.parquet(path)
+
+
 @checked("delimited_round_trip", f"WITH {HOST_PARTS}, {DAILY} SELECT * FROM daily")
 def delimited_round_trip(spark, folder):
     path = scratch_path(spark, "delimited")

@@ -162,3 +162,21 @@ def drop_expired(spark: SparkSession, table: str, as_of: date, keep_days: int =
     for start in range(0, len(expired), 200):
         spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(expired[start:start + 200])}")
     return len(expired)
+
+
+def drop_expired_slots(spark: SparkSession, path: str, as_of: date, keep_days: int = 7) -> int:
+    """Removes the days of a published table (written by path) that are older than the limit.
+
+    Only partition names are read. Returns the number of removed days.
+    """
+    day = F.make_date("year", "month", "day")
+    expired = spark.read.parquet(path).select("year", "month", "day").distinct().where(
+        day <= F.date_sub(F.lit(as_of), keep_days))
+    context = spark.sparkContext
+    removed = 0
+    for row in expired.toLocalIterator():
+        folder = context._jvm.org.apache.hadoop.fs.Path(
+            f"{path.rstrip('/')}/year={row.year}/month={row.month}/day={row.day}")
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        removed += bool(files.delete(folder, True))
+    return removed
