@@ -3,6 +3,7 @@
 import math
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,3 +121,13 @@ def test_components_are_centered(spark, learnable):
     means = projected.agg(F.avg("pc1"), F.avg("pc2"), F.corr("pc1", "pc2")).first()
     assert all(abs(m) < 1e-6 for m in means)
     assert sum(variance) == pytest.approx(1.0)
+
+
+def test_percentiles_of_repeated_values(spark):
+    rows = [("a", float(v)) for v in (5, 1, 1, 1, 9, 2)] + [("b", 7.0), ("c", None)]
+    df = spark.createDataFrame(rows, "k STRING, v DOUBLE")
+    found = {r.k: r for r in cohort.sample_summary(df, ["k"], "v", (0, 30, 50, 100)).collect()}
+    values = [v for k, v in rows if k == "a"]
+    for p in (0, 30, 50, 100):
+        assert found["a"][f"p{p}"] == pytest.approx(np.percentile(values, p))
+        assert found["b"][f"p{p}"] == 7.0 and found["c"][f"p{p}"] is None

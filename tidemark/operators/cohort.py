@@ -224,7 +224,29 @@ def report_summary(report: DataFrame) -> DataFrame:
 
 def sample_summary(df: DataFrame, keys: Sequence[str], value: str,
                    percentiles: Sequence[float] = (5, 50, 95)) -> DataFrame:
-    """Mean, population deviation and interpolated percentiles of a column."""
-    return df.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"),
-        *[F.percentile(value, p / 100.0).alias(f"p{p:g}".replace(".", "_")) for p in percentiles])
+    """Mean, population deviation and interpolated percentiles of a column, by one or more keys.
+
+    Percentiles come from running totals of value counts, which are sliced: neither many
+    rows nor many values of a key end in one task.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    until = running_totals(counts, keys, ["_v"], {"_until": F.col("_n")})
+    sizes = until.groupBy(*keys).agg(F.max("_until").alias("_rows"))
+    placed = until.join(sizes, list(keys))
+
+    def at(place: Column) -> Column:
+        """The value at a place counted from 0 in ascending order."""
+        inside = (place >= F.col("_until") - F.col("_n")) & (place < F.col("_until"))
+        return F.max(F.when(inside, F.col("_v").cast("double")))
+
+    named = {f"p{p:g}".replace(".", "_"): (F.col("_rows") - 1) * (p / 100.0) for p in percentiles}
+    ends = [column for name, place in named.items() for column in (
+        at(F.floor(place)).alias(f"_low_{name}"), at(F.ceil(place)).alias(f"_high_{name}"),
+        F.max(place - F.floor(place)).alias(f"_part_{name}"))]
+    found = placed.groupBy(*keys).agg(*ends)
+    means = df.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("deviation"))
+    joined = means.join(found, list(keys), "left")
+    return joined.select(*keys, "mean", "deviation", *[
+        (F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * F.col(f"_part_{n}")).alias(n)
+        for n in named])
