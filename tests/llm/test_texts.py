@@ -230,6 +230,27 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other != amex
 
 
+def test_pseudonyms_beside_signs_and_letters(spark):
+    rows = {"(joe@mail.com)": "emails", "-joe@mail.com": "emails", "/joe@mail.com": "emails",
+            "(10.0.0.1)": "addresses", "http://10.0.0.1/x": "addresses", "-10.0.0.1-": "addresses",
+            "10.0.0.1:80x": "addresses", "(1999-02-03)": "dates", "/1999-02-03/": "dates",
+            "2024-01-02T10:00:00Z": "dates", "x.2024-01-02-7": "dates",
+            "(4111111111111111)": "cards", "No.4111111111111111x": "cards",
+            "/4111-1111-1111-1111/": "cards", "(123-45-6789)": "social", "+123-45-6789a": "social",
+            "(555-123-4567)": "phones", "555 123 4567": "phones", "+1 555 123 4567": "phones",
+            "1-555-123-4567x89": "phones", "tel:(555) 123 4567,": "phones"}
+    stay = ["1.2.3.4.5", "v1.2.3.4", "11999-02-03", "0.4111111111111111", "1123-45-6789", "1555 123 4567"]
+    docs = spark.createDataFrame([(t,) for t in [*rows, *stay]], "text string")
+    out = {r.text: r for r in pii.pseudonymise(docs, "k").collect()}
+    for text, kind in rows.items():
+        found = {k for k in pii.KINDS for _ in range(out[text][f"n_{k}"])}
+        assert (found, sum(out[text][f"n_{k}"] for k in pii.KINDS)) == ({kind}, 1), text
+        assert out[text].pseudonymised != text
+    assert all(out[text].pseudonymised == text for text in stay)
+    assert out["2024-01-02T10:00:00Z"].pseudonymised.endswith("T10:00:00Z")
+    assert out["(joe@mail.com)"].pseudonymised.endswith("@mail.com)")
+
+
 def test_permutations_are_permutations(spark):
     for low, high in ((10, 10), (17, 30), (4, 25)):
         every = spark.range(low * high).select(pii.permuted(F.col("id"), low, high, "k", "t"))

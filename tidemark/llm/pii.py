@@ -8,7 +8,9 @@ with the key the step can be undone. Separators and everything around stay as th
 Formats: payment cards (13 to 19 digits that pass the Luhn check; the pseudonym passes it
 as well), telephone numbers of ten digits, social-security numbers, IPv4 addresses, and
 calendar dates written year first. The letters before an e-mail address's @ are no number:
-they are replaced by twelve letters of a keyed digest, its domain stays.
+they are replaced by twelve letters of a keyed digest, its domain stays. Finds may stand in
+parentheses, URLs, timestamps, lists and beside letters; a further digit beside one makes it
+another number.
 
 Defined cases: a null text stays null and has no finds; an empty text stays empty. What has
 the form but is not valid (a failed check digit, a 30th of February) stays. Rows are
@@ -25,13 +27,20 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,4}"
-PHONE = r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
-SOCIAL = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
-ADDRESS = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
-DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+PHONE = r"(?:\+1[ .-]?)?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}|(?:\+1[ .-])?[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}"
+SOCIAL = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
+OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+ADDRESS = rf"{OCTET}(?:\.{OCTET}){{3}}"
+DATE = "(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-BEFORE, AFTER = r"(?<![A-Za-z0-9@.+(/-])", r"(?![A-Za-z0-9@]|[.-][0-9])"
-ANY = f"{BEFORE}(?:{'|'.join((EMAIL, PHONE, SOCIAL, ADDRESS, DATE, CARD))}){AFTER}"
+# Each format has its own bounds: a digit beside a find belongs to it, other neighbours do not
+# matter. Dotted numbers of five parts and versions (v1.2.3.4) are no addresses, and the digits
+# after a decimal point no card.
+ALONE, ENDS = "(?<![0-9])", "(?![0-9])"
+OTHERS = "|".join((
+    f"(?<![A-Za-z0-9]){EMAIL}", f"{ALONE}(?:{PHONE}){ENDS}", f"{ALONE}{SOCIAL}{ENDS}",
+    rf"(?<![0-9]|[0-9]\.|(?<![A-Za-z])[vV]){ADDRESS}(?![0-9]|\.[0-9])", f"{ALONE}{DATE}{ENDS}"))
+ANY = rf"{OTHERS}|(?<![0-9]|[0-9]\.){CARD}{ENDS}"
 KINDS = ("cards", "phones", "social", "addresses", "dates", "emails")
 ADDED = ("pseudonymised", *(f"n_{kind}" for kind in KINDS))
 
