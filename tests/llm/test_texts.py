@@ -251,6 +251,26 @@ def test_pseudonyms_beside_signs_and_letters(spark):
     assert out["(joe@mail.com)"].pseudonymised.endswith("@mail.com)")
 
 
+def test_cards_beside_further_digits(spark):
+    card = "4111 1111 1111 1111"
+    rows = [f"{card} 05/27", "4111111111111111 123 x", f"{card} 123", f"05/27 {card}", f"12-27 {card} 9",
+            f"{card} 378282246310005", f"{card} 2024-01-02", f"{card} 123-45-6789", f"{card} 10.0.0.1",
+            f"{card} 212-555-0100", f"{card} 55joe@mail.com", f"{card}-05-27", " 7" * 9000 + f" {card}"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "n int, text string")
+    out = {r.n: r for r in pii.pseudonymise(docs, "k").collect()}
+    moved = pii.pseudonymise(docs.limit(0).union(spark.createDataFrame([(0, card)], docs.schema)),
+                             "k").first().pseudonymised
+    plain = moved.replace(" ", "")
+    assert luhn(plain)
+    assert out[0].pseudonymised == f"{moved} 05/27" and out[1].pseudonymised == f"{plain} 123 x"
+    assert out[2].pseudonymised == f"{moved} 123" and out[3].pseudonymised == f"05/27 {moved}"
+    assert out[4].pseudonymised == f"12-27 {moved} 9" and out[5].n_cards == 2
+    assert [out[n][f"n_{k}"] for n, k in ((6, "dates"), (7, "social"), (8, "addresses"), (9, "phones"),
+                                          (10, "emails"))] == [1] * 5
+    assert all(out[n].n_cards == 1 and out[n].pseudonymised.startswith(moved) for n in range(6, 12))
+    assert "1111 1111" not in out[12].pseudonymised and out[12].n_cards > 0
+
+
 def test_permutations_are_permutations(spark):
     for low, high in ((10, 10), (17, 30), (4, 25)):
         every = spark.range(low * high).select(pii.permuted(F.col("id"), low, high, "k", "t"))

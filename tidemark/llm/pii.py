@@ -5,8 +5,9 @@ format are permuted within it, by eight keyed rounds over the two halves of thei
 the same value has the same pseudonym in every document, two values never share one, and
 with the key the step can be undone. Separators and everything around stay as they are.
 
-Formats: payment cards (13 to 19 digits that pass the Luhn check; the pseudonym passes it
-as well), telephone numbers of ten digits, social-security numbers, IPv4 addresses, and
+Formats: payment cards (13 to 19 digits, joined or in groups, that pass the Luhn check; the
+pseudonym passes it as well; a card may begin and end at any group of a longer row of digits,
+the longest from the left is taken, and the digits around it stay), telephone numbers of ten digits, social-security numbers, IPv4 addresses, and
 calendar dates written year first. The letters before an e-mail address's @ are no number:
 they are replaced by twelve letters of a keyed digest, its domain stays. Finds may stand in
 parentheses, URLs, timestamps, lists and beside letters; a further digit beside one makes it
@@ -32,7 +33,7 @@ SOCIAL = r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}"
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 ADDRESS = rf"{OCTET}(?:\.{OCTET}){{3}}"
 DATE = "(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])"
-CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
+GROUP = "[0-9]{1,19}(?![0-9])"
 # Each format has its own bounds: a digit beside a find belongs to it, other neighbours do not
 # matter. Dotted numbers of five parts and versions (v1.2.3.4) are no addresses, and the digits
 # after a decimal point no card.
@@ -40,8 +41,14 @@ ALONE, ENDS = "(?<![0-9])", "(?![0-9])"
 OTHERS = "|".join((
     f"(?<![A-Za-z0-9]){EMAIL}", f"{ALONE}(?:{PHONE}){ENDS}", f"{ALONE}{SOCIAL}{ENDS}",
     rf"(?<![0-9]|[0-9]\.|(?<![A-Za-z])[vV]){ADDRESS}(?![0-9]|\.[0-9])", f"{ALONE}{DATE}{ENDS}"))
-ANY = rf"{OTHERS}|(?<![0-9]|[0-9]\.){CARD}{ENDS}"
+# Of joined digits each group is a find of its own that sees up to 19 groups from its own on, as
+# far as no other format begins; which of them make a card is told by the check digit.
+# Groups that have too few digits after them are finds only as parts of a run.
+AHEAD = f"{GROUP}(?:[ -](?!{OTHERS}){GROUP}){{0,18}}"
+ANY = (rf"{OTHERS}|(?<![0-9]|[0-9]\.)(?:(?=[0-9](?:[ -]?[0-9]){{12}})|(?<=[0-9][ -]))"
+       rf"(?=({AHEAD})){GROUP}")
 KINDS = ("cards", "phones", "social", "addresses", "dates", "emails")
+INNER = ("_found", "_sized", "_cards", "_finds", "_pieces")
 ADDED = ("pseudonymised", *(f"n_{kind}" for kind in KINDS))
 
 
@@ -104,6 +111,24 @@ def luhn_valid(digits: Column) -> Column:
     return _luhn_sum(digits, False) % 10 == 0
 
 
+def _card_groups(ahead: Column) -> Column:
+    """How many of the groups ahead make the longest valid card, null for none."""
+    groups = F.split(ahead, "[ -]")
+
+    def card(count: Column) -> Column:
+        digits = F.array_join(F.slice(groups, F.lit(1), count), "")
+        return F.length(digits).between(13, 19) & luhn_valid(digits)
+
+    return F.when(F.length(_digits(ahead)) > 12, F.array_max(
+        F.filter(F.sequence(F.lit(1), F.size(groups)), card)))
+
+
+def _first(ahead: Column, count: Column) -> Column:
+    """The first groups of those ahead, with what stands between them."""
+    size = F.length(F.array_join(F.slice(F.split(ahead, "[ -]"), F.lit(1), count), " "))
+    return F.substring(ahead, F.lit(1), size)
+
+
 def _card(found: Column, key: str) -> Column:
     """All digits but the last are permuted, by length; the last is the check digit."""
     digits = _digits(found)
@@ -168,7 +193,7 @@ def _email(found: Column, key: str) -> Column:
 
 
 def kind_of(found: Column) -> Column:
-    """The format that a find is valid in, null for none."""
+    """The format other than a card that a find is valid in, null for none."""
     parts = F.split(found, r"\.")
     day = _day(found)
     return (F.when(found.rlike(_whole(EMAIL)), "emails")
@@ -178,8 +203,7 @@ def kind_of(found: Column) -> Column:
             .when(found.rlike(_whole(ADDRESS)), F.when(
                 F.forall(parts, lambda p: (p.cast("int") < 256) & ~p.rlike("^0[0-9]")),
                 "addresses"))
-            .when(found.rlike(_whole(DATE)), F.when((day >= 0) & (day < DAYS), "dates"))
-            .when(luhn_valid(_digits(found)), "cards"))
+            .when(found.rlike(_whole(DATE)), F.when((day >= 0) & (day < DAYS), "dates")))
 
 
 def pseudonym(find: Column, key: str) -> Column:
@@ -200,14 +224,42 @@ def _count(kind: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Adds pseudonymised (the text with pseudonyms) and a count of finds by kind."""
-    base = docs.drop(*ADDED, "_finds", "_pieces")
-    finds = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ANY), F.lit(0)),
-                        lambda m: F.struct(kind_of(m).alias("kind"), m.alias("text")))
-    cut = base.withColumn("_finds", finds).withColumn(
+    base = docs.drop(*ADDED, *INNER)
+    full = F.coalesce(text, F.lit(""))
+    found = F.arrays_zip(F.regexp_extract_all(full, F.lit(ANY), F.lit(0)).alias("text"),
+                         F.regexp_extract_all(full, F.lit(ANY), F.lit(1)).alias("ahead"))
+    sized = F.transform("_found", lambda f, n: F.struct(
+        n.alias("at"), f["text"].alias("text"), f["ahead"].alias("ahead"),
+        F.when(f["ahead"] != "", _card_groups(f["ahead"])).alias("groups")))
+
+    def take(state: Column, f: Column) -> Column:
+        """Cards from the left, none begun inside another."""
+        last = f["at"] + f["groups"] - 1
+        new = f["groups"].isNotNull() & (f["at"] > state["last"])
+        return F.struct(
+            F.when(new, last).otherwise(state["last"]).alias("last"),
+            F.when(new, F.concat(state["cards"], F.array(F.struct(
+                f["at"].alias("first"), last.alias("last"))))).otherwise(state["cards"]).alias("cards"))
+
+    none = F.struct(F.lit(-1).alias("last"),
+                    F.array().cast("array<struct<first: int, last: int>>").alias("cards"))
+    cards = F.aggregate("_sized", none, take, lambda state: state["cards"])
+
+    def told(f: Column) -> Column:
+        begins = F.exists("_cards", lambda c: c["first"] == f["at"])
+        inside = F.exists("_cards", lambda c: (c["first"] < f["at"]) & (f["at"] <= c["last"]))
+        kind = F.when(begins, "cards").when(f["ahead"] == "", kind_of(f["text"]))
+        return F.struct(kind.alias("kind"), inside.alias("inside"), F.when(
+            begins, _first(f["ahead"], f["groups"])).otherwise(f["text"]).alias("text"))
+
+    cut = base.withColumn("_found", found).withColumn("_sized", sized).withColumn(
+        "_cards", cards).withColumn("_finds", F.transform("_sized", told)).withColumn(
         "_pieces", F.split(F.col(text), ANY, -1))
-    replaced = F.transform("_finds", lambda f: pseudonym(f, key))
-    joined = F.array_join(F.zip_with("_pieces", replaced, lambda piece, moved: F.concat(
-        piece, F.coalesce(moved, F.lit("")))), "")
+    # A card's later groups went with its first one, and so did what stands before them.
+    replaced = F.transform("_finds", lambda f: F.struct(
+        f["inside"].alias("inside"), pseudonym(f, key).alias("moved")))
+    joined = F.array_join(F.zip_with("_pieces", replaced, lambda piece, f: F.when(
+        f["inside"], "").otherwise(F.concat(piece, F.coalesce(f["moved"], F.lit(""))))), "")
     counts = [_count(kind).alias(f"n_{kind}") for kind in KINDS]
     whole = F.when(F.size("_finds") == 0, F.col(text)).otherwise(joined)
     return cut.select(*base.columns, whole.alias("pseudonymised"), *counts)
