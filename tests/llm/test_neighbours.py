@@ -68,3 +68,16 @@ def test_recall(spark, folder):
         found[r.query_id].add(r.vec_id)
     hits = [len(found[q] & {i for i, _ in exact(rows, q, 5)}) for q in rows if q % 50 == 0]
     assert sum(hits) / (5 * len(hits)) >= 0.9
+
+
+def test_recall_in_a_tight_group(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=64)
+    tight = middle / np.linalg.norm(middle) + 0.001 * rng.normal(size=(400, 64)) / 8
+    rows = {i: [float(x) for x in v] for i, v in enumerate([*tight, *rng.normal(size=(100, 64))])}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    found = defaultdict(set)
+    for r in neighbours.nearest(df, F.col("id") % 40 == 0, visit=8.0).collect():
+        found[r.query_id].add(r.vec_id)
+    hits = [len(found[q] & {i for i, _ in exact(rows, q, 5)}) for q in rows if q % 40 == 0]
+    assert sum(hits) / (5 * len(hits)) == 1.0

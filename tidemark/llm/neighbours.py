@@ -4,8 +4,9 @@ Trees are fitted on the driver from a bounded sample: each node parts its sample
 median along the line between two of its vectors. Every vector is indexed in every tree.
 A query walks all trees through one priority queue, ordered by the distance to the planes
 crossed, until the leaves it has opened hold a given share of the rows (``visit``); the
-opened leaves are joined with the indexed vectors leaf by leaf, and what is nearest there
-is ranked again exactly, in double precision, on the original vectors.
+opened leaves are joined with the indexed vectors leaf by leaf, and what is nearest there,
+with all that single precision cannot tell from it, is ranked again exactly, in double
+precision, on the original vectors. A tight group of vectors is therefore ranked whole.
 
 Equal vectors are folded before, each with the few smallest ids that any result can name,
 so a vector that many rows share is one row. Leaves are sampled evenly, so they hold about
@@ -165,22 +166,33 @@ def _stack(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<f4").reshape(len(values), -1)
 
 
-def _nearest(count: int, block: int = 4096):
-    """Joins one leaf's vectors with the queries that opened it: the nearest of each."""
+def rounding(width: int) -> float:
+    """What two single-precision cosines of this width can differ by in excess of the exact ones.
+
+    Each is off by the rounding of both vectors and of ``width`` sums at most.
+    """
+    return 2 * (width + 4) * float(np.finfo(np.float32).eps)
+
+
+def _nearest(count: int, error: float, block: int = 1024):
+    """Joins one leaf's vectors with the queries that opened it: the nearest of each.
+
+    These are the first ``count`` and whatever single precision cannot tell from them.
+    """
     def join(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list = [[], [], []]
         if rows.num_rows and queries.num_rows:
             vids, units = rows["vid"].to_numpy(), _stack(rows["unit"])
-            order = np.argsort(vids, kind="stable")
-            vids, units = vids[order], units[order]
             for start in range(0, queries.num_rows, block):
                 part = queries.slice(start, block)
-                # Rounded, so that equal ones are ties, which go to the smaller id.
-                cosines = np.round(_stack(part["unit"]) @ units.T, 6).astype(np.float64)
-                best = np.argsort(-cosines, axis=1, kind="stable")[:, :count]
-                found[0].append(np.repeat(part["qid"].to_numpy(), best.shape[1]))
-                found[1].append(vids[best].ravel())
-                found[2].append(np.take_along_axis(cosines, best, axis=1).ravel())
+                cosines = (_stack(part["unit"]) @ units.T).astype(np.float64)
+                # All within the error of the last place: none of the nearest is left out.
+                last = -np.partition(-cosines, min(count, len(vids)) - 1, axis=1)[
+                    :, min(count, len(vids)) - 1]
+                at, which = np.nonzero(cosines >= (last - error)[:, None])
+                found[0].append(part["qid"].to_numpy()[at])
+                found[1].append(vids[which])
+                found[2].append(cosines[at, which])
         columns = [np.concatenate(f) if f else np.zeros(0, t)
                    for f, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table(dict(zip(("qid", "vid", "near"), columns, strict=True)))
@@ -237,12 +249,17 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
         _index(forest), "tree int, leaf int, vid long, unit binary")
     opened = asked.select("qid", "vector").distinct().mapInArrow(
         _open(forest, visit), "tree int, leaf int, qid long, unit binary")
+    error = rounding(sample.shape[1])
     found = indexed.groupBy("tree", "leaf").cogroup(opened.groupBy("tree", "leaf")).applyInArrow(
-        _nearest(k + 1), "qid long, vid long, near double")
-    # More than k + 1, so that rounding in the leaves cannot push out one of the nearest.
+        _nearest(k + 1, error), "qid long, vid long, near double")
+    # Rounding in the leaves must not push out one of the nearest: all within its error of the
+    # last place are ranked again.
     order = W.partitionBy("qid").orderBy(F.desc("near"), "vid")
-    best = found.groupBy("qid", "vid").agg(F.max("near").alias("near")).withColumn(
-        "_n", F.row_number().over(order)).filter(F.col("_n") <= 2 * k + 2).select("qid", "vid")
+    near = written(found.groupBy("qid", "vid").agg(F.max("near").alias("near")), "candidates")
+    last = near.withColumn("_n", F.row_number().over(order)).filter(
+        F.col("_n") <= k + 1).groupBy("qid").agg(F.min("near").alias("_last"))
+    best = near.join(last, "qid").filter(F.col("near") >= F.col("_last") - error).select(
+        "qid", "vid")
     by_vector = asked.select("qid", F.col("vector").alias("_query")).distinct()
     scored = best.join(by_vector, "qid").join(folded, "vid").select(
         "qid", F.explode("ids").alias("vec_id"),
