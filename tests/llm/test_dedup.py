@@ -178,6 +178,20 @@ def test_no_long_passage_stays_twice(spark):
         assert held == (min(1, wanted) if 30 * len(passage) >= 50 else wanted)
 
 
+def test_repeated_and_swapped_passages_are_cut(spark):
+    p, q, own = prose(31, 6), prose(32, 6), [prose(40 + n, 2) for n in range(12)]
+    texts = [own[0] + p + own[1], own[2] + p + own[3] + p + own[4],
+             own[5] + q + own[6] + q, own[7] + q + own[8],
+             own[9] + prose(33, 6) + prose(34, 6), prose(34, 6) + own[10] + prose(33, 6) + own[11]]
+    docs = spark.createDataFrame([(n, "\n".join(t)) for n, t in enumerate(texts)],
+                                 "doc_id long, text string")
+    out = [r.deduped.split("\n") for r in line_dedup.line_dedup(docs).orderBy("doc_id").collect()]
+    assert [out[n] for n in (0, 2, 4)] == [texts[n] for n in (0, 2, 4)]
+    assert out[1] == own[2] + own[3] + own[4]
+    assert out[3] == own[7] + own[8]
+    assert out[5] == own[10] + own[11]
+
+
 def test_patience_gives_rising_matches():
     rng = random.Random(0)
     for _ in range(400):

@@ -7,7 +7,8 @@ to the earliest document that holds it, so a passage of n documents makes n - 1
 not all pairs, and no line is too common. Linked documents are aligned by a patience diff:
 lines that are unique on both sides and in the same order are anchors, equal lines around
 them follow, and the stretches between are aligned in turn. Runs of aligned lines of
-``min_words`` words or more are cut from the later document.
+``min_words`` words or more are cut from the later document, and so are its runs whose hash
+the earlier one has but the alignment has not: passages that repeat or stand in another order.
 
 Later is the larger id, null first; rows with equal ids go by a hash of their text, and
 rows that are equal in both are one document, whose cuts all of them get. A document of
@@ -99,7 +100,33 @@ def common_runs(a: np.ndarray, b: np.ndarray, min_words: int) -> list[tuple[int,
         else:
             runs.append((line, line, words))
         last = here
-    return [run for run in runs if run[2] >= min_words]
+    found = [run for run in runs if run[2] >= min_words]
+    return found + _left_over(a, b, found, min_words)
+
+
+def _left_over(a: np.ndarray, b: np.ndarray, found: list[tuple[int, int, int]], min_words: int
+               ) -> list[tuple[int, int, int]]:
+    """Runs that b shares with a but the alignment does not hold: repeated or in another order."""
+    aligned = np.zeros(len(b), bool)
+    for first, last, _ in found:
+        aligned |= (b["no"] >= first) & (b["no"] <= last)
+    known = np.isin(b["hash"], a["hash"])
+    # Windows of known lines alone that are not aligned throughout.
+    strange, held = (np.concatenate([[0], np.cumsum(c)]) for c in (~known, aligned))
+    waiting = sorted((n, m) for n, m in run_windows(b["words"], min_words)
+                     if strange[m] == strange[n] and held[m] - held[n] < m - n)
+    if not waiting:
+        return []
+    there, here = (np.ascontiguousarray(side["hash"], np.int64) for side in (a, b))
+    in_a = run_hashes(there, a["words"], min_words)
+    spans: list[list[int]] = []
+    for n, m in waiting:
+        if _digest(here[n:m]) in in_a:
+            if spans and n < spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], m)
+            else:
+                spans.append([n, m])
+    return [(int(b["no"][n]), int(b["no"][m - 1]), int(b["words"][n:m].sum())) for n, m in spans]
 
 
 def _rows(column: pa.Array) -> list[np.ndarray]:
@@ -129,16 +156,24 @@ def _document(key: str, text: str) -> Column:
     return F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("print"))
 
 
-def run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> set[int]:
-    """Hashes of the shortest runs of ``min_words`` words that begin, or end, at a line."""
+def run_windows(words: np.ndarray, min_words: int) -> set[tuple[int, int]]:
+    """(begin, end) of the shortest runs of ``min_words`` words that begin, or end, at a line."""
     until = np.cumsum(words)
     before = until - words
     size = len(words)
     ends = np.searchsorted(until, before + min_words)
     begins = np.searchsorted(before, until - min_words, side="right") - 1
     runs = {(n, int(e) + 1) for n, e in enumerate(ends) if e < size}
-    runs |= {(int(b), n + 1) for n, b in enumerate(begins) if b >= 0}
-    return {xxhash.xxh64_intdigest(hashes[a:b].tobytes()) - (1 << 63) for a, b in runs}
+    return runs | {(int(b), n + 1) for n, b in enumerate(begins) if b >= 0}
+
+
+def _digest(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63)
+
+
+def run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> set[int]:
+    """Hashes of the runs of ``run_windows``."""
+    return {_digest(hashes[a:b]) for a, b in run_windows(words, min_words)}
 
 
 def _sequences(min_words: int, kind: pa.DataType):
