@@ -38,15 +38,16 @@ GROUP = "[0-9]{1,19}(?![0-9])"
 # matter. Dotted numbers of five parts and versions (v1.2.3.4) are no addresses, and the digits
 # after a decimal point no card.
 ALONE, ENDS = "(?<![0-9])", "(?![0-9])"
-OTHERS = "|".join((
-    f"(?<![A-Za-z0-9]){EMAIL}", f"{ALONE}(?:{PHONE}){ENDS}", f"{ALONE}{SOCIAL}{ENDS}",
+MAIL = f"(?<![A-Za-z0-9]){EMAIL}"
+NUMBERS = "|".join((
+    f"{ALONE}(?:{PHONE}){ENDS}", f"{ALONE}{SOCIAL}{ENDS}",
     rf"(?<![0-9]|[0-9]\.|(?<![A-Za-z])[vV]){ADDRESS}(?![0-9]|\.[0-9])", f"{ALONE}{DATE}{ENDS}"))
 # Of joined digits each group is a find of its own that sees up to 19 groups from its own on, as
 # far as no other format begins; which of them make a card is told by the check digit.
 # Groups that have too few digits after them are finds only as parts of a run.
-AHEAD = f"{GROUP}(?:[ -](?!{OTHERS}){GROUP}){{0,18}}"
-ANY = (rf"{OTHERS}|(?<![0-9]|[0-9]\.)(?:(?=[0-9](?:[ -]?[0-9]){{12}})|(?<=[0-9][ -]))"
-       rf"(?=({AHEAD})){GROUP}")
+AHEAD = f"{GROUP}(?:[ -](?!{MAIL}|{NUMBERS}){GROUP}){{0,18}}"
+ANY = (rf"{MAIL}|(?=[0-9(+])(?:{NUMBERS}|(?<![0-9]|[0-9]\.)"
+       rf"(?:(?=[0-9](?:[ -]?[0-9]){{12}})|(?<=[0-9][ -]))(?=({AHEAD})){GROUP})")
 KINDS = ("cards", "phones", "social", "addresses", "dates", "emails")
 INNER = ("_found", "_sized", "_cards", "_finds", "_pieces")
 ADDED = ("pseudonymised", *(f"n_{kind}" for kind in KINDS))
