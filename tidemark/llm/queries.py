@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     chat,
+    cross_tokens,
     exact_dedup,
+    filter_audit,
     line_dedup,
     mixing,
     neighbours,
     pieces,
     pii,
+    quality,
     simhash,
     token_counts,
     toxicity,
@@ -189,6 +192,139 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counted rules and the verdict of the likelihood ratio for every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = quality.quality(docs, table(spark, folder, "labels").select("doc_id", "quality"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "score", "kept")
+
+
+OP11_SQL = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    list_transform(regexp_extract_all(coalesce(text, ''), '(?s).'), lambda c: unicode(c)::BIGINT) AS codes
+  FROM documents
+), known AS (
+  SELECT doc_id, min(quality) = 1 AS trusted FROM labels
+  WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY doc_id
+), windows AS (
+  SELECT r, len(words) AS size, unnest(range(1, len(words) - 1)) AS place,
+    unnest(list_transform(range(1, len(words) - 1),
+      lambda i: words[i] || ' ' || words[i + 1] || ' ' || words[i + 2])) AS three
+  FROM texts WHERE len(words) > 2
+), twice AS (
+  SELECT r, place FROM (SELECT *, count(*) OVER (PARTITION BY r, three) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT place + step) AS n_repeat_words
+  FROM twice, (VALUES (0), (1), (2)) steps(step) GROUP BY r
+), ruled AS (
+  SELECT t.r, t.doc_id, len(words)::BIGINT AS n_words,
+    length(list_aggregate(words, 'string_agg', ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    coalesce(c.n_repeat_words, 0) AS n_repeat_words, trusted
+  FROM texts t LEFT JOIN covered c USING (r) LEFT JOIN known k ON t.doc_id = k.doc_id
+), grams AS (
+  SELECT r, unnest(list_transform(range(1, len(codes) - 2), lambda i:
+    (codes[i] * 496604932559 + codes[i + 1] * 62710561 + codes[i + 2] * 7919 + codes[i + 3]) % 65521)) AS bucket
+  FROM texts
+), held AS (
+  SELECT r, bucket, count(*) AS n FROM grams GROUP BY ALL
+), counted AS (
+  SELECT bucket, sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (trusted), 0)::DOUBLE AS trusted_n
+  FROM held JOIN ruled USING (r) GROUP BY bucket
+), weights AS (
+  SELECT bucket, CASE WHEN sum(trusted_n) OVER () = 0 THEN 0 ELSE
+    round((ln((trusted_n + 1) / (sum(trusted_n) OVER () + 65521))
+         - ln((n + 1) / (sum(n) OVER () + 65521))) * 1000000) END::BIGINT AS weight
+  FROM counted
+), scored AS (
+  SELECT r, floor(sum(n * weight)::DOUBLE / sum(n))::BIGINT AS score
+  FROM held JOIN weights USING (bucket) GROUP BY r
+), judged AS (
+  SELECT ruled.* EXCLUDE (r), coalesce(score, 0) AS score,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    floor(coalesce(score, 0) / 1000.0)::BIGINT AS step
+  FROM ruled LEFT JOIN scored USING (r)
+), steps AS (
+  SELECT step, count(*) FILTER (trusted) AS good, count(*) FILTER (NOT trusted) AS bad
+  FROM judged WHERE NOT base_failed AND trusted IS NOT NULL GROUP BY step
+), shares AS (
+  SELECT step, sum(good) OVER up / (sum(good) OVER ())::DOUBLE
+    - sum(bad) OVER up / (sum(bad) OVER ())::DOUBLE AS lead
+  FROM steps WINDOW up AS (ORDER BY step ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), bound AS (
+  SELECT first(step ORDER BY lead DESC, step) AS least FROM shares
+  HAVING (SELECT sum(good) > 0 AND sum(bad) > 0 FROM steps)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score,
+  NOT base_failed AND coalesce(step >= (SELECT least FROM bound), TRUE) AS kept
+FROM judged
+"""
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove in every order, by language."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    labels = table(spark, folder, "labels").select("doc_id", "quality", "toxic")
+    return filter_audit.filter_audit(docs, labels)
+
+
+OP12_SQL = r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS filter_order UNION ALL
+  SELECT filter_order || letter FROM orders, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) letters(letter)
+  WHERE NOT contains(filter_order, letter)
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+    substr(filter_order, 1, step - 1) AS earlier
+  FROM orders, (VALUES (1), (2), (3), (4), (5)) numbers(step) WHERE length(filter_order) = 5
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    coalesce(doc_id IS NULL AND min(doc_id) OVER same IS NOT NULL OR doc_id > min(doc_id) OVER same, FALSE) AS copied
+  FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+), known AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), FALSE) AS good, coalesce(bool_or(toxic = 1), FALSE) AS toxic
+  FROM labels GROUP BY doc_id
+), failed AS (
+  SELECT part, coalesce(good, FALSE) AS good, coalesce(toxic, FALSE) AS toxic,
+    CASE WHEN len(words) < 100 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN copied THEN 'E' ELSE '' END AS fails
+  FROM texts LEFT JOIN known USING (doc_id)
+), counted AS (
+  SELECT part, fails, good, toxic, count(*) AS n FROM failed GROUP BY ALL
+), spread AS (
+  SELECT *, contains(fails, letter) AS hit, regexp_matches(fails, '[' || earlier || '.]') AS gone
+  FROM counted, steps
+), audited AS (
+  SELECT part, filter_order, step, letter,
+    coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (fails = letter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (NOT gone AND hit AND toxic), 0)::BIGINT AS toxic_lost
+  FROM spread GROUP BY ALL
+)
+SELECT * EXCLUDE (letter), (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM audited
+"""
+
+
+def op13_cross_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """How the tokens of two tokenizers align, and how usual their links are, by document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    aligned = cross_tokens.align_tokenizers(docs, public_tokenizers.path("byte_bpe_50k.json"),
+                                            public_tokenizers.path("piece_bpe_32k.model"))
+    return aligned.select("doc_id", *cross_tokens.MEASURES)
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_line_dedup": op2_line_dedup,
@@ -200,9 +336,14 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_nearest": op9_nearest,
     "op10_simhash": op10_simhash,
+    "op11_quality_rules": op11_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_cross_tokens": op13_cross_tokens,
 }
 CHECKS = {
     "op1_chat_format": OP1_SQL,
     "op4_mix_sources": OP4_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_quality_rules": OP11_SQL,
+    "op12_filter_audit": OP12_SQL,
 }
