@@ -12,8 +12,7 @@ Weights are whole numbers (millionths of a nat, rounded) and scores are whole nu
 sums do not depend on their order and reruns agree to the last row.
 
 Counts cover all rows; what reaches the driver is one row a bucket and one a step of score.
-The texts are shuffled once, to meet the labels of their ids, unless Spark finds the labels
-small enough to send them round.
+The texts are shuffled once, to meet the labels of their ids.
 
 Defined cases: a null text is empty and has no words. A text without n-grams scores 0. Of
 repeated labels of an id the smallest counts; null labels and labels of unknown ids are not
@@ -121,7 +120,9 @@ def weights(docs: DataFrame, labels: DataFrame, key: str, text: str) -> np.ndarr
                                             F.lit(True).alias("_trusted"))
     texts = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     # Ids that are null meet no label and need not be dealt out by id.
-    joined = texts.filter("_key IS NOT NULL").join(known, "_key", "left").select(
+    # The same plan at every size: a hash table of the labels of a partition, texts unsorted.
+    joined = texts.filter("_key IS NOT NULL").join(
+        known.hint("shuffle_hash"), "_key", "left").select(
         "_text", "_trusted").unionByName(
         texts.filter("_key IS NULL").select("_text", F.lit(None).cast("boolean").alias("_trusted")))
     counted = joined.mapInArrow(_count, "bucket long, n long, trusted long").groupBy(
