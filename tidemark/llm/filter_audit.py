@@ -9,8 +9,8 @@ texts that begin alike share them, and the terminal of a whole text holds the sm
    (id and language) goes on. A text that a third of all rows hold thus leaves each task a few
    times at most.
 2. The rows that go on are range-partitioned by a prefix of their text. Prefixes adapt: one
-   that holds more than a partition's share of bytes is lengthened fourfold, again and again,
-   until none is too heavy or it is a whole text. Equal texts have equal prefixes.
+   that holds more than a quarter of a partition's bytes is lengthened fourfold, again and
+   again, until none is too heavy or it is a whole text. Equal texts have equal prefixes.
 3. A trie a partition holds its texts; a row above its terminal's smallest id fails E.
 4. Each document is now a mask of failed filters. Masks are counted by part and label, and
    the 120 orders are read off the counts.
@@ -171,11 +171,11 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def by_prefix(rows: DataFrame, text: str, partition: int = PARTITION) -> DataFrame:
     """The rows dealt out by ranges of adaptive prefixes of their text.
 
-    A prefix that holds more than a partition's bytes is lengthened for its rows. At most
-    ``MOST`` prefixes can be as heavy, so what tells them apart stays of bounded size.
+    A prefix that holds more than a quarter of a partition's bytes is lengthened for its rows.
+    At most ``MOST`` prefixes can be as heavy, so what tells them apart stays of bounded size.
     """
     total = rows.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    heavy = max(partition, total // MOST)
+    heavy = max(partition // 4, total // MOST)
     prefix, length = F.substring(text, 1, FIRST), FIRST
     dealt = rows.withColumn("prefix", prefix)
     pending = dealt
