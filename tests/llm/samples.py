@@ -5,7 +5,10 @@ TEXTS = ["one two three four", "", None, "one two three four", LONG, "  \t ", "#
          "naïve 中文 ▁ text\n\nwith lines", "one two three four"]
 # Names that the operators add or use themselves.
 CLASHING = ("size", "kept", "score", "ids", "fingerprint", "target", "n_tokens", "deduped",
-            "keep_id", "component_id", "predicted", "rank", "taken", "pseudonymised", "copies")
+            "keep_id", "component_id", "predicted", "rank", "taken", "pseudonymised", "copies",
+            "_id", "_winner", "_size", "_runs", "_run_doc", "_key", "_of", "_whole", "_chance", "_rank",
+            "_bucket", "_cut", "_copy", "_found", "_sized", "_cards", "_finds", "_pieces", "_me", "_print",
+            "_known", "_digest", "_trusted", "_label_key", "prefix", "digest", "text_sha256")
 
 
 def edge_documents(spark):

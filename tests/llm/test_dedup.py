@@ -3,11 +3,21 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.samples import CLASHING, LONG, edge_documents, rows_of
-from tidemark.llm import exact_dedup, line_dedup, simhash
+from tidemark.llm import (
+    cross_tokens,
+    exact_dedup,
+    line_dedup,
+    mixing,
+    pii,
+    quality,
+    simhash,
+    toxicity,
+)
 from tidemark.llm.components import connected
 
 
@@ -213,3 +223,36 @@ def test_line_dedup_edges(spark):
     twice = docs.filter("doc_id = 4").selectExpr("doc_id + 10 AS doc_id", "text")
     both = line_dedup.line_dedup(docs.select("doc_id", "text").union(twice).union(twice))
     assert [r.deduped for r in both.filter("doc_id = 14").collect()] == ["", ""]
+
+
+def test_given_columns_come_back(spark):
+    docs = edge_documents(spark)
+    labels = spark.createDataFrame([(n, n % 2, n % 2) for n in range(9)], "doc_id long, toxic int, quality int")
+    operators = {
+        exact_dedup.exact_duplicates: ("keep_id", "kept", "text_sha256"),
+        exact_dedup.without_duplicates: (), simhash.without_near_duplicates: (),
+        line_dedup.line_dedup: ("deduped",), mixing.mixture: (),
+        mixing.mix_sources: ("size", "taken", "target", "copies"),
+        lambda d: toxicity.without_toxic(d, labels): (),
+        lambda d: pii.pseudonymise(d, "k"): ("pseudonymised",),
+        lambda d: quality.quality(d, labels): ("kept", "score"),
+        lambda d: cross_tokens.align_tokenizers(
+            d.filter("length(coalesce(text, '')) < 1000"), public_tokenizers.path("byte_bpe_50k.json"),
+            public_tokenizers.path("piece_bpe_32k.model")): (),
+    }
+    for operator, added in operators.items():
+        out = operator(docs)
+        given = [c for c in CLASHING if c not in added]
+        rows = out.select(*given).distinct().collect()
+        assert [tuple(r) for r in rows] == [("mine",) * len(given)]
+
+
+def test_rows_without_or_with_equal_ids(spark):
+    near = "one two three four five six seven eight nine ten"
+    rows = [(None, near), (None, f"{near} "), (None, "something else altogether is said here now"),
+            (5, near), (5, "another text of the same id, and no copy of it at all"), (9, f" {near}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(map(tuple, simhash.without_near_duplicates(docs).collect()), key=repr)
+    assert kept == sorted([rows[2], rows[3], rows[4]], key=repr)
+    alone = simhash.without_near_duplicates(docs.filter("doc_id IS NULL")).collect()
+    assert len(alone) == 2 and rows[2] in [tuple(r) for r in alone]

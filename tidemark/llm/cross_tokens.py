@@ -335,7 +335,7 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, text: str = "text
     ``first`` is the file of a byte-level vocabulary, ``second`` that of a piece model.
     """
     base = docs.drop(*({*MEASURES} - {text}))
-    digest, = spare(base.columns, "_digest")
+    digest, known = spare(base.columns, "_digest", "_known")
     given = F.coalesce(F.col(text), F.lit(""))
     spark = docs.sparkSession
     tables = load(first, second)
@@ -351,10 +351,9 @@ def align_tokenizers(docs: DataFrame, first: str, second: str, text: str = "text
         tagged = tagged.drop(text)
     # At most 2 / SHARE digests are frequent, and each has one row of measures.
     frequent = written(measures.join(F.broadcast(frequent_digests(
-        tagged.select(digest), digest, SHARE)), digest).withColumn("_frequent", F.lit(True)),
+        tagged.select(digest), digest, SHARE)), digest).withColumn(known, F.lit(True)),
         "frequent-measures")
-    split = tagged.join(F.broadcast(frequent.select(digest, "_frequent")), digest, "left")
-    known = split.filter("_frequent").drop("_frequent").join(
-        F.broadcast(frequent.drop("_frequent")), digest)
-    others = split.filter("_frequent IS NULL").drop("_frequent").join(measures, digest)
-    return known.unionByName(others).drop(digest)
+    split = tagged.join(F.broadcast(frequent.select(digest, known)), digest, "left")
+    hot = split.filter(known).drop(known).join(F.broadcast(frequent.drop(known)), digest)
+    others = split.filter(F.col(known).isNull()).drop(known).join(measures, digest)
+    return hot.unionByName(others).drop(digest)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import apart
 from tidemark.session import written
 
 # A digest of this share of the rows counts as frequent; 2 / SHARE winners at most.
@@ -69,6 +70,7 @@ def frequent_digests(light: DataFrame, digest: str, share: float = SHARE) -> Dat
         F.col("digest").alias(digest))
 
 
+@apart("_id", "_winner", "_size")
 def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                      share: float = SHARE) -> DataFrame:
     """Every row with text_sha256, keep_id, group_size and kept added (replacing such columns)."""
@@ -95,6 +97,7 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
     return rest.unionByName(settled)
 
 
+@apart("text_sha256", "keep_id", "group_size", "kept")
 def without_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows that stay, with the columns they came with."""
     return exact_duplicates(docs, text, key).filter("kept").select(*docs.columns)

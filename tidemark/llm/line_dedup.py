@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import apart
 from tidemark.session import written
 
 MIN_WORDS = 50
@@ -220,6 +221,7 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text",
         _align(min_words), f"doc {doc_type}, first int, last int, words int")
 
 
+@apart("_runs", "_run_doc")
 def line_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text",
                min_words: int = MIN_WORDS) -> DataFrame:
     """Adds deduped (the text without repeated runs), removed_lines and removed_words."""

@@ -25,10 +25,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import apart
 from tidemark.session import written
 
 BUCKETS = 16384
 ADDED = ("size", "source_size", "target", "copies", "taken")
+INNER = ("_key", "_of", "_whole", "_chance", "_rank", "_bucket", "_cut_bucket", "_cut")
 
 
 def word_count(text: Column) -> Column:
@@ -139,6 +141,7 @@ def mixed(sized: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
         "taken", F.col("copies") * F.col("size")).select(*sized.columns, *ADDED[1:])
 
 
+@apart(*INNER)
 def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5,
                 most: float = 2.0, seed: int = 7, text: str = "text",
                 key: str = "doc_id") -> DataFrame:
@@ -150,6 +153,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: fl
     return mixed(base, plan, seed).drop("_key")
 
 
+@apart("_copy", *ADDED)
 def mixture(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
     taken = mix_sources(docs, **options).filter("copies > 0")

@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import apart
+
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", 73_049  # to 2099-12-31
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9][A-Za-z0-9-]{0,62}(?:\.[A-Za-z0-9-]{1,63}){1,4}"
@@ -223,9 +225,10 @@ def _count(kind: str) -> Column:
     return F.size(F.filter("_finds", lambda find: find["kind"] == kind)).cast("long")
 
 
+@apart(*INNER)
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Adds pseudonymised (the text with pseudonyms) and a count of finds by kind."""
-    base = docs.drop(*ADDED, *INNER)
+    base = docs.drop(*ADDED)
     full = F.coalesce(text, F.lit(""))
     found = F.arrays_zip(F.regexp_extract_all(full, F.lit(ANY), F.lit(0)).alias("text"),
                          F.regexp_extract_all(full, F.lit(ANY), F.lit(1)).alias("ahead"))

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import connected
+from tidemark.llm.names import spare
 from tidemark.session import written
 
 SHINGLE, SEED, DISTANCE = 3, 42, 2
@@ -150,10 +151,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text"
                             ) -> DataFrame:
-    """The rows whose id is the smallest of their component, with their own columns.
+    """One row of each component, with its own columns: that of the smallest id.
 
-    Rows that share an id are one document and stay or go together; rows without id stay.
+    Rows without id come after all others, and of rows that share their id (or have none)
+    that with the smaller hash of its text comes first. Rows that share id and text are one
+    document and stay or go together.
     """
-    losers = written(near_duplicates(docs, key, text).filter(
-        F.col(key) != F.col("component_id")).select(key).distinct(), "near-copies")
-    return docs.join(losers, key, "left_anti").select(*docs.columns)
+    me, = spare([*docs.columns, "component_id", "fingerprint", "_print"], "_me")
+    named = docs.withColumn(me, F.struct(
+        F.col(key).isNull().alias("last"), F.col(key).alias("id"),
+        F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash")))
+    losers = written(near_duplicates(named, me, text).filter(
+        F.col(me) != F.col("component_id")).select(me).distinct(), "near-copies")
+    return named.join(losers, me, "left_anti").select(*docs.columns)
