@@ -292,6 +292,46 @@ def test_pseudonym_edges(spark):
     assert "Python" not in plan and "Exchange" not in plan
 
 
+@pytest.mark.parametrize("rows", [6, 40, 400])
+def test_fit_of_separable_labels(rows):
+    rng = np.random.default_rng(rows)
+    for _ in range(30):
+        y = (np.arange(rows) % 5 == 0).astype(int)
+        x = np.column_stack([np.ones(rows), 9 * y + rng.integers(0, 3, rows), *(
+            y * rng.random(rows) for _ in range(3)), np.zeros(rows)])
+        w = toxicity._logistic(x, y)
+        assert np.isfinite(w).all() and ((x @ w > 0) == y).all()
+        mixed = rng.permutation(y)
+        w = toxicity._logistic(x, mixed)
+        p = 1 / (1 + np.exp(-(x @ w)))
+        share = np.where(mixed == 1, 0.5 / mixed.mean(), 0.5 / (1 - mixed.mean()))
+        assert abs(share @ (p - mixed)) < 1e-3 * rows  # the top in the unpenalized weight
+
+
+def relettered(text, rng):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return text.lower().translate(str.maketrans(letters, "".join(rng.sample(letters, 26))))
+
+
+def test_decisions_on_varied_vocabularies(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter("toxic IS NOT NULL")
+    rows = spark.read.parquet(f"{folder}/documents.parquet").join(labels, "doc_id").select(
+        "doc_id", "text", "toxic").orderBy("doc_id").collect()
+    for seed in (1, 2):
+        ways = [random.Random(10 * seed + n) for n in range(2)]
+        states = [w.getstate() for w in ways]
+        texts = []
+        for n, r in enumerate(rows):
+            ways[n % 2].setstate(states[n % 2])  # one lettering a vocabulary
+            texts.append((relettered(r.text or "", ways[n % 2]), r.toxic, crc32(str(r.doc_id).encode()) % 5))
+        known = [(t, y) for t, y, fold in texts if fold]
+        scorer = toxicity.Scorer(toxicity.fit(known, 0.1))
+        held = [(scorer.score(t) >= 0.5, y) for t, y, fold in texts if not fold]
+        assert np.mean([p for p, y in held if y]) >= 0.85
+        assert np.mean([not p for p, y in held if not y]) >= 0.95
+
+
 def test_toxicity_held_out(spark):
     folder = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
@@ -301,6 +341,8 @@ def test_toxicity_held_out(spark):
     assert all(crc32(str(r.doc_id).encode()) % 5 == 0 for r in held)
     share, area = toxicity.accuracy([(r.score, r.toxic) for r in held])
     assert share > 0.97 and area > 0.95
+    assert np.mean([r.predicted for r in held if r.toxic]) >= 0.9
+    assert np.mean([1 - r.predicted for r in held if not r.toxic]) >= 0.95
 
 
 def test_toxicity_edges(spark):

@@ -2,9 +2,12 @@
 
 Two zstandard dictionaries are built from labelled rows: one holds ordinary text, the other
 the same text before passages that set toxic rows apart (words whose beginnings, or which
-themselves, stand in far more toxic rows than chance gives). Every window of a text is
+themselves, stand in far more toxic rows than chance gives). The ordinary text is the most
+frequent words of whole ordinary rows. Every window of a text is
 compressed with both. The bytes saved by the toxic dictionary are its margin, and how
-toxic a given set of margins is was calibrated on rows that the dictionaries have not seen.
+toxic a given set of margins is was calibrated on rows that the dictionaries have not seen,
+with both labels weighted alike: a score of 0.5 is where a row is as likely of either kind
+before anything is known of their shares.
 A window is one word or ``LONGEST`` letters of it, written twice, between a line that both dictionaries end with and a
 closing mark: so even the shortest window is compressed at all, and its lengths differ by
 about the letters that only one dictionary knows.
@@ -32,6 +35,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.names import apart
+
 # Labelled rows of each kind that the dictionaries are built from and calibrated on.
 FIT_ROWS = 2500
 # Content beyond 16 KB is out of reach for windows this short.
@@ -44,6 +49,8 @@ WORD = re.compile(rf"\w{{1,{LONGEST}}}")
 PREFIXES = range(3, 8)
 # Evidence asked of a beginning: log-likelihood ratio, and rate in toxic over ordinary rows.
 EVIDENCE, RATE = 30.0, 5.0
+# Penalty of the score's squared weights, for each row and scaled feature.
+RIDGE = 1e-3
 
 
 def words_of(text: str | None) -> list[str]:
@@ -146,19 +153,39 @@ def _threshold(scorer: Scorer, rows: list[tuple[str, int]]) -> int:
     return max(rates, key=lambda m: (rates[m], -m))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> np.ndarray:
-    """Ridge logistic fit; rows weighted to the share of toxic labels among all."""
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    w, penalty = np.zeros(x.shape[1]), np.diag([1e-6] + [1e-2] * (x.shape[1] - 1))
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Ridge logistic fit with both labels weighted alike.
+
+    Features are scaled before the penalty, which holds every weight but the first, so that
+    labels that a feature parts without error have a finite fit too. A Newton step is halved
+    until the penalized likelihood rises; a fit that does not reach its top is an error.
+    """
+    middle, spread = x.mean(axis=0), x.std(axis=0)
+    middle[0], spread = 0, np.where(spread > 1e-9, spread, 1)
+    spread[0] = 1
+    scaled = (x - middle) / spread
+    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    penalty = np.diag([1e-6] + [RIDGE * len(y)] * (x.shape[1] - 1))
+    sign = np.where(y == 1, 1.0, -1.0)
+
+    def loss(w: np.ndarray) -> float:
+        return float(weight @ np.logaddexp(0, -sign * (scaled @ w)) + w @ penalty @ w / 2)
+
+    w = np.zeros(x.shape[1])
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(scaled @ w, -500, 500)))
+        gradient = scaled.T @ (weight * (p - y)) + penalty @ w
+        if np.abs(gradient).max() < 1e-6 * len(y):
+            w = w / spread
+            w[0] -= w[1:] @ middle[1:]
+            return w
         step = np.linalg.solve(
-            (x * (weight * p * (1 - p) + 1e-9)[:, None]).T @ x + penalty,
-            x.T @ (weight * (y - p)) - penalty @ w)
-        w = w + np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+            (scaled * (weight * p * (1 - p))[:, None]).T @ scaled + penalty, gradient)
+        size, now, slope = 1.0, loss(w), gradient @ step
+        while loss(w - size * step) > now - 1e-4 * size * slope and size > 1e-12:
+            size /= 2
+        w = w - size * step
+    raise ArithmeticError("the fit of the score did not converge")
 
 
 def fit(rows: list[tuple[str, int]], share: float) -> dict:
@@ -173,20 +200,18 @@ def fit(rows: list[tuple[str, int]], share: float) -> dict:
     for text, label in build:
         split[1 - label].append(set(words_of(text)))
     telling, endings = toxic_words(*split)
-    plain = [text for text, label in build if label == 0]
-    each = max(40, ORDINARY_BYTES // max(1, len(plain)))
     taken = set(telling)
     # What ends telling words ends ordinary ones too; known to both, it tells nothing.
     shared = " ".join(endings).encode("utf-8", "ignore")[-ORDINARY_BYTES // 2:]
-    ordinary = "".join(
-        " " + " ".join(w for w in words_of(t[:2 * each]) if w not in taken)[:each]
-        for t in plain).encode("utf-8", "ignore")[len(shared) - ORDINARY_BYTES:] + shared
+    held = Counter(w for row in split[1] for w in row if w not in taken)
+    common = sorted(held, key=lambda w: (held[w], w))  # the most frequent are the nearest
+    ordinary = " ".join(common).encode("utf-8", "ignore")[len(shared) - ORDINARY_BYTES:] + shared
     toxic = b"".join(map(_window, telling))[-TOXIC_BYTES:]
     model = {"ordinary": ordinary or b" ", "toxic": toxic or b" ", "threshold": 1}
     scorer = Scorer(model)
     model["threshold"] = _threshold(scorer, calibrate)
     x = np.array([scorer.features(t) for t, _ in calibrate])
-    model["weights"] = _logistic(x, np.array([y for _, y in calibrate]), share)
+    model["weights"] = _logistic(x, np.array([y for _, y in calibrate]))
     return model
 
 
@@ -234,6 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+@apart("score", "predicted")
 def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows that are not predicted toxic, with their own columns."""
     return toxicity(docs, labels, **options).filter("predicted = 0").select(*docs.columns)
