@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.operators import experiments as ex
@@ -46,23 +47,54 @@ def test_monitor_equals_batch_at_each_step(spark, tmp_path):
     schema = "experiment STRING, variant STRING, amount LONG"
     steps = [[("x", v, 5 * int(i % (3 if v == "A" else 4 + s) == 0)) for v in "AB" for i in range(40 + 30 * s)]
              for s in range(4)]
-    seen = []
+    seen, results = [], []
     for rows in steps:
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(files)
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(files)
         stream = spark.readStream.schema(schema).parquet(files)
         monitor.monitor_experiments(stream, out, state, alpha=0.2).awaitTermination()
         seen += rows
+        found = monitor.monitored_results(spark, out).orderBy(F.desc("checkpoint")).first()
+        if "continue" not in results[-1:] and results:
+            assert found.checkpoint == len(results)  # decided: no further test
+            continue
         stats = ex.sufficient_statistics(spark.createDataFrame(seen, schema), "amount")
         expected = ex.stop_ttest(ex.welch_t(ex.pair_variants(stats)), 0.2).first()
-        found = monitor.monitored_results(spark, out).orderBy(F.desc("checkpoint")).first()
+        results.append(expected.result)
         assert (found.a_n, found.b_n, found.result) == (expected.a_n, expected.b_n, expected.result)
-        assert abs(found.t - expected.t) < 1e-9
-    results = [r.result for r in monitor.monitored_results(spark, out).orderBy("checkpoint").collect()]
+        assert abs(found.t - expected.t) < 1e-9 and abs(found.p - expected.p) < 1e-9
     first = next((r for r in results if r != "continue"), None)
     decided = monitor.decisions(spark, out).collect()
     assert [r.result for r in decided] == ([] if first is None else [first])
 
 
+def test_monitor_closes_experiments_that_stay_open(spark, tmp_path):
+    files, out, state = (str(tmp_path / n) for n in ("files", "out", "state"))
+    schema = "experiment STRING, variant STRING, amount LONG, ts TIMESTAMP"
+    day = datetime(2024, 1, 1)
+    for n, name in enumerate(("slow", "later", "later")):
+        rows = [(name, v, i % 3, day + timedelta(days=4 * n)) for v in "AB" for i in range(12)]
+        rows += [(None, "A", 1, day), (name, None, 1, day + timedelta(days=4 * n)), (name, "A", None, None)]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(files)
+        stream = spark.readStream.schema(schema).parquet(files)
+        monitor.monitor_experiments(stream, out, state, ts="ts", patience_ms=3 * 86_400_000).awaitTermination()
+    found = {(r.experiment, r.result): r.checkpoint for r in monitor.monitored_results(spark, out).collect()}
+    assert found["slow", "unknown"] == 1 and ("slow", "continue") in found
+    assert ("later", "continue") in found
+    assert {r.experiment for r in monitor.decisions(spark, out).collect()} >= {"slow"}
+
+
+def test_batch_sums_merge_to_the_whole():
+    rng = np.random.default_rng(3)
+    parts = [1e9 + rng.normal(size=n) for n in (1, 7, 300, 2)]
+    total = (0, 0.0, 0.0)
+    for x in parts:
+        total = monitor.merged(total, (len(x), x.mean(), ((x - x.mean()) ** 2).sum()))
+    whole = np.concatenate(parts)
+    assert total[0] == len(whole) and abs(total[1] - whole.mean()) < 1e-6
+    assert abs(total[2] / ((whole - whole.mean()) ** 2).sum() - 1) < 1e-6
+    assert monitor.merged((0, 0.0, 0.0), (0, 0.0, 0.0)) == (0, 0.0, 0.0)
+
+
 def test_open_slots_complete_the_stream(spark, tmp_path):
     from tidemark.plans.views import view
     rows = view(spark, "/root/testdata/sf0.001", "requests")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators.pageviews import DAILY_KEYS, HOURLY_KEYS
-from tidemark.plans.experiment_queries import STATS
+from tidemark.plans.experiment_queries import WELCH, sql_tidy
 from tidemark.plans.views import table, view_of, with_views
 from tidemark.plans.web_queries import HOST_PARTS, READERS, tidied
 from tidemark.session import scratch_path
@@ -62,30 +62,52 @@ def streamed_hourly_pageviews(spark, folder):
     return published(spark, folder, "1 hour", 1, "6 hours")
 
 
+# The monitor's checkpoints: what was recorded up to the end of these days.
+LAST_DAYS = (8, 15, 23, 31)
+
+
 def monitored(spark, folder):
-    """Runs the monitor over the event table in several micro-batches; its result folder."""
-    files = scratch_path(spark, "records")
+    """Runs the monitor over the event table as it grows, in one micro-batch a stretch of
+    days; its result folder."""
+    files, path, state = (scratch_path(spark, n) for n in ("records", "monitor", "state"))
     events = table(spark, folder, "events")
-    events.repartitionByRange(4, "ts").write.parquet(files)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(files)
-    path = scratch_path(spark, "monitor")
-    monitor.monitor_experiments(view_of(spark, "impressions", events=stream), path,
-                                scratch_path(spark, "state"), 0.05, 1000).awaitTermination()
+    for first, last in zip((0, *LAST_DAYS), LAST_DAYS):
+        events.where((F.dayofmonth("ts") > first) & (F.dayofmonth("ts") <= last)).write.mode(
+            "append").parquet(files)
+        stream = spark.readStream.schema(events.schema).parquet(files)
+        monitor.monitor_experiments(view_of(spark, "impressions", events=stream), path, state,
+                                    0.05, 1000).awaitTermination()
     return path
 
 
+MONITORED = f"""
+days AS (SELECT unnest({list(LAST_DAYS)}) AS last_day),
+sums AS (SELECT experiment, variant, last_day, count(*) AS n, avg(amount) AS mean,
+  var_pop(amount) * count(*) AS ssd FROM impressions JOIN days ON day(ts) <= last_day GROUP BY ALL),
+paired AS (SELECT experiment, last_day, max(n) FILTER (variant = 'A') AS a_n,
+  max(n) FILTER (variant = 'B') AS b_n, max(mean) FILTER (variant = 'A') AS a_mean,
+  max(mean) FILTER (variant = 'B') AS b_mean, max(ssd) FILTER (variant = 'A') AS a_ssd,
+  max(ssd) FILTER (variant = 'B') AS b_ssd FROM sums GROUP BY ALL),
+{WELCH},
+judged AS (SELECT *, row_number() OVER (PARTITION BY experiment ORDER BY last_day) AS checkpoint,
+  CASE WHEN p < 0.05 AND a_mean > b_mean THEN 'A' WHEN p < 0.05 THEN 'B'
+  WHEN greatest(a_n, b_n) > 1000 THEN 'unknown' ELSE 'continue' END AS result FROM valued),
+results AS (SELECT * FROM judged QUALIFY checkpoint <= coalesce(min(checkpoint)
+  FILTER (result <> 'continue') OVER (PARTITION BY experiment), checkpoint))
+"""
+
+
 @checked("monitored_totals", f"""
-WITH {STATS.format(v='amount')}
-SELECT experiment, max(n) FILTER (variant = 'A') AS a_n, max(n) FILTER (variant = 'B') AS b_n,
-  round(max(mean) FILTER (variant = 'A'), 6) AS a_mean, round(max(mean) FILTER (variant = 'B'), 6) AS b_mean
-FROM stats GROUP BY experiment""", ("impressions",))
+WITH {MONITORED} SELECT experiment, checkpoint, a_n, b_n, round(a_mean, 6) AS a_mean, round(b_mean, 6) AS b_mean,
+  {sql_tidy('t')} AS t, {sql_tidy('p')} AS p, result FROM results""", ("impressions",))
 def monitored_totals(spark, folder):
     results = monitor.monitored_results(spark, monitored(spark, folder))
-    last = results.groupBy("experiment").agg(*[
-        F.max_by(c, "checkpoint").alias(c) for c in ("a_n", "b_n", "a_mean", "b_mean")])
-    return tidied(last, "a_mean", "b_mean")
+    return tidied(results, "a_mean", "b_mean", "t", "p").select(
+        "experiment", "checkpoint", "a_n", "b_n", "a_mean", "b_mean", "t", "p", "result")
 
 
-@checked("monitored_decisions")
+@checked("monitored_decisions", f"""
+WITH {MONITORED} SELECT experiment, checkpoint, result, greatest(a_n, b_n) AS records
+FROM results WHERE result <> 'continue'""", ("impressions",))
 def monitored_decisions(spark, folder):
     return monitor.decisions(spark, monitored(spark, folder))
