@@ -256,3 +256,49 @@ def test_sample_size_formula(spark):
 def test_log_gamma_is_accurate():
     values = np.concatenate([np.arange(1, 40), [0.5, 15.999, 16.001, 1e3, 1e6, 1e9]])
     assert numbers.log_gamma(values) == pytest.approx([math.lgamma(v) for v in values], rel=1e-13, abs=1e-12)
+
+
+def test_chunks_of_amounts_add_up(spark):
+    rng = np.random.default_rng(8)
+    rows = [(e, v, int(a), int(n)) for e, size in (("big", 300), ("small", 4), ("one", 1)) for v in "AB"
+            for a, n in zip(range(size), rng.integers(0, 9, size))]
+    rows += [("half", "A", 5, 3), (None, "A", 1, 2), (None, "B", 1, 2), ("big", "C", 1, 1)]
+    df = spark.createDataFrame(rows, "experiment STRING, variant STRING, amount LONG, n LONG")
+    whole = {r.experiment: r for r in draws.compare_amounts(df, draws=500).collect()}
+    assert set(whole) == {"big", "small", None} | ({"one"} if "one" in whole else set())
+    for chunk in (1, 7, 64):
+        parts = {r.experiment: r for r in draws.compare_amounts(
+            df.repartition(5), draws=500, chunk=chunk).collect()}
+        assert set(parts) == set(whole)
+        for name, row in whole.items():
+            found, wanted = ([math.nan if v is None else v for v in r[1:]] for r in (parts[name], row))
+            assert found == pytest.approx(wanted, rel=1e-9, nan_ok=True)
+
+
+def test_rounds_equal_the_full_run_with_fewer_draws(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, i, e, "AB"[i % 2], int(5 * (rng.random() < rate)), 0)
+            for e, rates in (("fast", (0.3, 0.05)), ("slow", (0.20, 0.18)), ("none", (0.1, 0.1)))
+            for i in range(4000) for rate in [rates[i % 2]]]
+    df = spark.createDataFrame([(r[0], r[2], r[3], r[4]) for r in rows],
+                               "impression_id LONG, experiment STRING, variant STRING, amount LONG").withColumn(
+        "ts", F.timestamp_seconds("impression_id"))
+
+    def rule(compared):
+        return draws.stop_credibility(compared, 0.99)
+
+    full = sequential.amount_results(df, 100, rule, sample=400)
+    wanted = sorted(map(tuple, sequential.first_decision(full).collect()))
+    judged = []
+
+    def counted(compared):
+        judged.append(compared.count())
+        return rule(compared)
+
+    found = sequential.amount_decisions(df, 100, counted, sample=400, first=2)
+    assert sorted(map(tuple, found.collect())) == wanted
+    steps = {r.experiment: r.checkpoint for r in found.collect()}
+    assert steps["fast"] <= 4 and judged == sorted(judged) and judged[-1] < full.count()
+    streaks = sequential.first_decision(sequential.streak_results(df, 100, 0.95, 3, sample=400))
+    rounds = sequential.streak_decisions(df, 100, 0.95, 3, sample=400, first=1)
+    assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, streaks.collect()))

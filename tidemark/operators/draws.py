@@ -195,38 +195,94 @@ def dirichlet_mean(histogram: DataFrame, keys: Sequence[str], alpha: float = 1.0
         F.sum("n").alias("n"))
 
 
+# Amounts of a group that one task draws for.
+CHUNK = 1024
+
+
+def _gamma_sums(seed: int, key: Sequence, rows: pd.DataFrame, variant: str, alpha: float,
+                size: int, sums: dict) -> None:
+    """Adds the draws of some amounts to the sums of their variants, in place.
+
+    A Dirichlet draw is a set of gamma draws over their sum, so sums of any parts of the
+    amounts add up to those of the whole. Every amount has its own random stream.
+    """
+    for name, amount, n in rows[[variant, "amount", "n"]].itertuples(index=False):
+        if name in sums:
+            held = sums[name]
+            drawn = generator(seed, *key, name, amount).standard_gamma(n + alpha, size)
+            held[0] += int(n)
+            held[1] += drawn
+            held[2] += drawn * float(amount)
+
+
 def compare_amounts(histogram: DataFrame, keys: Sequence[str] = ("experiment",),
                     variant: str = "variant", a: str = "A", b: str = "B", alpha: float = 1.0,
-                    draws: int = DRAWS, seed: int = 0, conf: float = 90.0) -> DataFrame:
+                    draws: int = DRAWS, seed: int = 0, conf: float = 90.0,
+                    chunk: int = CHUNK) -> DataFrame:
     """Compares mean amounts under a Dirichlet posterior over the listed amounts.
 
-    ``histogram`` has one row per (keys, variant, amount). A group streams through in
-    batches and only two running sums per draw and variant are kept, so memory does
-    not grow with the number of amounts. Every amount has its own random stream,
-    whatever the order of the rows.
+    ``histogram`` has one row per (keys, variant, amount). The amounts of a group are dealt
+    into chunks of about ``chunk`` by a hash, and each chunk is drawn for in a task of its
+    own: it gives partial sums per draw, which are added up in the order of the chunks. A
+    group of one chunk is finished where it is drawn and only its result goes on.
     """
-    fields = ", ".join(f"{k} {histogram.schema[k].dataType.simpleString()}" for k in keys)
-
-    def work(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weighted = {a: np.zeros(draws), b: np.zeros(draws)}
-        weights = {a: np.zeros(draws), b: np.zeros(draws)}
-        records = {a: 0, b: 0}
+    kinds = {k: histogram.schema[k].dataType.simpleString() for k in keys}
+    fields = ", ".join(f"{k} {kind}" for k, kind in kinds.items())
+    compared_names = [c.split()[0] for c in COMPARED.split(", ")]
+    parts = [f"_{side}_{what}" for side in "ab" for what in ("n", "weight", "weighted")]
+
+    def result(key: tuple, sums: dict) -> list | None:
+        if not (sums[a][0] and sums[b][0]):
+            return None
+        return [*key, sums[a][0], sums[b][0],
+                *compared(sums[a][2] / sums[a][1], sums[b][2] / sums[b][1], conf)]
+
+    def empty() -> dict:
+        return {name: [0, np.zeros(draws), np.zeros(draws)] for name in (a, b)}
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        *key, chunks, number = key
+        sums = empty()
+        _gamma_sums(seed, key, rows.sort_values([variant, "amount"]), variant, alpha, draws, sums)
+        done = result(key, sums) if chunks == 1 else None
+        columns = [*keys, "a_n", "b_n", *compared_names, "_chunks", "_chunk", *parts]
+        rest = [int(chunks), int(number), *sums[a], *sums[b]] if chunks > 1 else [
+            int(chunks), int(number), *[None] * len(parts)]
+        whole = done or [*key, *[None] * (2 + len(compared_names))]
+        if chunks == 1 and done is None:
+            return pd.DataFrame([], columns=columns)
+        return pd.DataFrame({c: pd.Series([v], dtype=object) for c, v in
+                             zip(columns, [*whole, *rest], strict=True)})
+
+    def add(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = empty()
         for batch in batches:
-            for name, amount, n in zip(batch[variant], batch["amount"], batch["n"]):
-                if name not in weights:
-                    continue
-                drawn = generator(seed, *key, name, amount).standard_gamma(n + alpha, draws)
-                weights[name] += drawn
-                weighted[name] += drawn * float(amount)
-                records[name] += int(n)
-        if records[a] and records[b]:
-            result = compared(weighted[a] / weights[a], weighted[b] / weights[b], conf)
-            names = ["mean_a", "mean_b", "p_a_better", "cost_a", "cost_b", "lift_lower", "lift_upper"]
-            yield pd.DataFrame([[*key, records[a], records[b], *result]],
-                               columns=[*keys, "a_n", "b_n", *names])
-
-    return histogram.select(*keys, variant, "amount", "n").groupBy(*keys).applyInPandas(
-        work, f"{fields}, a_n long, b_n long, {COMPARED}")
+            finished = batch[batch["_chunks"] == 1]
+            if len(finished):
+                yield finished[[*keys, "a_n", "b_n", *compared_names]]
+                return
+            for row in batch[parts].itertuples(index=False):
+                for at, name in enumerate((a, b)):
+                    n, weight, weighted = row[3 * at:3 * at + 3]
+                    sums[name][0] += int(n)
+                    sums[name][1] += weight
+                    sums[name][2] += weighted
+        whole = result(key, sums)
+        if whole:
+            yield pd.DataFrame([whole], columns=[*keys, "a_n", "b_n", *compared_names])
+
+    light = histogram.select(*keys, variant, "amount", "n")
+    sizes = light.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * chunk)).cast("int").alias(
+        "_chunks")).withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    dealt = light.join(sizes, same).drop(*(f"_key_{k}" for k in keys)).withColumn(
+        "_chunk", F.pmod(F.xxhash64("amount"), F.col("_chunks")).cast("int"))
+    arrays = ", ".join(f"{c} long" if c.endswith("_n") else f"{c} array<double>" for c in parts)
+    final = f"{fields}, a_n long, b_n long, {COMPARED}"
+    drawn = dealt.groupBy(*keys, "_chunks", "_chunk").applyInPandas(
+        draw, f"{final}, _chunks int, _chunk int, {arrays}")
+    in_order = drawn.repartition(*keys).sortWithinPartitions(*keys, "_chunk")
+    return in_order.groupBy(*keys).applyInPandas(add, final)
 
 
 def stop_credibility(compared_rows: DataFrame, conf: float, max_run: float | None = None) -> DataFrame:

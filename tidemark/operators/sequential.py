@@ -57,9 +57,10 @@ def checkpoint_counts(df: DataFrame, interval: int, value: str = "amount",
                    F.lit(0.0)).alias("ssd"))
 
 
-def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = ORDER,
-                          amount: str = "amount") -> DataFrame:
-    """Running count of every amount of the experiment, at each full checkpoint of a variant.
+def histogram_spans(df: DataFrame, interval: int, order: Sequence[str] = ORDER,
+                    amount: str = "amount") -> DataFrame:
+    """Running counts of every amount with the checkpoints (``checkpoint`` to ``until``, full
+    ones of the variant) at which they hold.
 
     Counts change only where an amount occurs; each change is carried forward to the
     checkpoint before the next one.
@@ -81,7 +82,15 @@ def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = O
     spans = next_position(running, series, "checkpoint", "_next").join(last, keys)
     until = F.least(F.coalesce(F.col("_next") - 1, F.col("_last")), F.col("_last"))
     return spans.where(F.col("checkpoint") <= F.col("_last")).select(
-        *keys, F.explode(F.sequence(F.col("checkpoint"), until)).alias("checkpoint"), "amount", "n")
+        *keys, "checkpoint", until.alias("until"), "amount", "n")
+
+
+def checkpoint_histograms(df: DataFrame, interval: int, order: Sequence[str] = ORDER,
+                          amount: str = "amount") -> DataFrame:
+    """Running count of every amount of the experiment, at each full checkpoint of a variant."""
+    spans = histogram_spans(df, interval, order, amount)
+    return spans.withColumn("checkpoint", F.explode(F.sequence("checkpoint", "until"))).select(
+        *experiments.KEYS, "checkpoint", "amount", "n")
 
 
 def until_longest(paired: DataFrame, max_run: float | None) -> DataFrame:
@@ -127,6 +136,52 @@ def amount_results(df: DataFrame, interval: int, rule: Callable[[DataFrame], Dat
     return rule(draws.compare_amounts(histograms, ["experiment", "checkpoint"], draws=sample, seed=seed))
 
 
+def in_rounds(source: DataFrame, judge: Callable[[DataFrame], DataFrame],
+              conclude: Callable[[DataFrame], DataFrame], until: str = "checkpoint",
+              first: int = 8) -> DataFrame:
+    """First decisions, looking at twice as many checkpoints each time and only at experiments
+    that are not decided yet.
+
+    ``source`` has ``checkpoint`` (and ``until``, the last one a row holds for) and is read once
+    a round, so it has to be a written table. ``judge`` does the costly work on the checkpoints
+    of a round; ``conclude`` turns all that is judged so far into results. A checkpoint behind
+    the decision is judged only if it is in the same round, so draws are at most about twice
+    those needed.
+    """
+    last = source.agg(F.max(until)).first()[0] or 0
+    low, high, judged, done = 0, first, None, None
+    while True:
+        here = source.where((F.col("checkpoint") <= high) & (F.col(until) > low))
+        if done is not None:
+            here = here.join(done, "experiment", "left_anti")
+        if until != "checkpoint":
+            here = here.withColumn("checkpoint", F.explode(F.sequence(
+                F.greatest("checkpoint", F.lit(low + 1)), F.least(until, F.lit(high))))).drop(until)
+        now = written(judge(here), "judged")
+        judged = now if judged is None else judged.unionByName(now)
+        decided = first_decision(conclude(judged))
+        if high >= last or now.isEmpty():
+            return decided
+        done, low, high = decided.select("experiment"), high, 2 * high
+
+
+def amount_decisions(df: DataFrame, interval: int, rule: Callable[[DataFrame], DataFrame],
+                     order: Sequence[str] = ORDER, sample: int = draws.DRAWS, seed: int = 0,
+                     max_run: float | None = None, first: int = 8) -> DataFrame:
+    """First decision of a rule on the Dirichlet comparison; equals that of
+    :func:`amount_results`, drawn for in rounds over the open experiments."""
+    spans = histogram_spans(df, interval, order)
+    if max_run is not None:
+        longest = int(max_run // interval) + 1
+        spans = spans.where(F.col("checkpoint") <= longest).withColumn(
+            "until", F.least("until", F.lit(longest)))
+
+    def judge(histograms: DataFrame) -> DataFrame:
+        return draws.compare_amounts(histograms, ["experiment", "checkpoint"], draws=sample, seed=seed)
+
+    return in_rounds(written(spans, "spans"), judge, rule, "until", first)
+
+
 def streak_lengths(df: DataFrame, hit: str, name: str,
                    keys: Sequence[str] = ("experiment",)) -> DataFrame:
     """Adds the number of hits in a row up to each checkpoint; checkpoints count from 1."""
@@ -136,6 +191,27 @@ def streak_lengths(df: DataFrame, hit: str, name: str,
     return last_miss.withColumn(name, F.col("checkpoint") - F.col("_miss")).drop("_miss")
 
 
+def _streak_parts(df: DataFrame, interval: int, conf: float, consecutives: int,
+                  max_run: float | None, value: str, order: Sequence[str], sample: int, seed: int):
+    """What the streak rule looks at, its draws, and its results from them."""
+    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order))
+    paired = until_longest(experiments.pair_variants(counts, ["experiment", "checkpoint"]), max_run)
+
+    def judge(rows: DataFrame) -> DataFrame:
+        return draws.compare(rows, draws.rate_draws, ["experiment", "checkpoint"], sample, seed).withColumn(
+            "_better", F.col("p_a_better") > conf).withColumn(
+            "_worse", (1.0 - F.col("p_a_better")) > conf)
+
+    def conclude(judged: DataFrame) -> DataFrame:
+        streaks = judged
+        for hit, name in (("_better", "better_streak"), ("_worse", "worse_streak")):
+            streaks = streak_lengths(streaks, hit, name)
+        return streaks.withColumn("result", experiments.stop_result(
+            F.col("better_streak") >= consecutives, F.col("worse_streak") >= consecutives, max_run))
+
+    return paired, judge, conclude
+
+
 def streak_results(df: DataFrame, interval: int, conf: float, consecutives: int = 1,
                    max_run: float | None = None, value: str = "amount",
                    order: Sequence[str] = ORDER, sample: int = draws.DRAWS, seed: int = 0) -> DataFrame:
@@ -145,17 +221,19 @@ def streak_results(df: DataFrame, interval: int, conf: float, consecutives: int
     many checkpoints in a row. ``result`` is 'A', 'B', 'unknown' past the longest
     run, else 'continue'.
     """
-    counts = experiments.beta_posterior(checkpoint_counts(df, interval, value, order))
-    paired = until_longest(experiments.pair_variants(counts, ["experiment", "checkpoint"]), max_run)
-    keys = ["experiment", "checkpoint"]
-    judged = draws.compare(paired, draws.rate_draws, keys, sample, seed).withColumn(
-        "_better", F.col("p_a_better") > conf).withColumn(
-        "_worse", (1.0 - F.col("p_a_better")) > conf)
-    streaks = judged
-    for hit, name in (("_better", "better_streak"), ("_worse", "worse_streak")):
-        streaks = streak_lengths(streaks, hit, name)
-    return streaks.withColumn("result", experiments.stop_result(
-        F.col("better_streak") >= consecutives, F.col("worse_streak") >= consecutives, max_run))
+    paired, judge, conclude = _streak_parts(
+        df, interval, conf, consecutives, max_run, value, order, sample, seed)
+    return conclude(judge(paired))
+
+
+def streak_decisions(df: DataFrame, interval: int, conf: float, consecutives: int = 1,
+                     max_run: float | None = None, value: str = "amount",
+                     order: Sequence[str] = ORDER, sample: int = draws.DRAWS, seed: int = 0,
+                     first: int = 8) -> DataFrame:
+    """First decision of the streak rule, drawn for in rounds over the open experiments."""
+    paired, judge, conclude = _streak_parts(
+        df, interval, conf, consecutives, max_run, value, order, sample, seed)
+    return in_rounds(written(paired, "paired"), judge, conclude, first=first)
 
 
 def baseline_checkpoint(df: DataFrame, interval: int, min_effect: float, variant: str = "A",

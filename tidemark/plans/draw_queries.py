@@ -140,19 +140,21 @@ def amounts_against_exact(spark, folder):
 @checked("decisions_are_first", """
 SELECT DISTINCT experiment, TRUE AS credible_is_first, TRUE AS streak_is_first FROM impressions""")
 def decisions_are_first(spark, folder):
-    """A decision stands at the first checkpoint whose drawn comparison crosses the limit."""
+    """A decision found in rounds stands at the first checkpoint of the full run whose drawn
+    comparison crosses the limit."""
     rows = impressions(spark, folder)
     amounts = draws.stop_credibility(draws.compare_amounts(
         sequential.checkpoint_histograms(rows, INTERVAL), ["experiment", "checkpoint"]), 0.95, 1000)
     crossed = (F.col("p_a_better") > 0.95) | (F.col("p_a_better") < 0.05) | (
         F.greatest("a_n", "b_n") > 1000)
     first = amounts.groupBy("experiment").agg(F.min(F.when(crossed, F.col("checkpoint"))).alias("_wanted"))
-    credible = sequential.first_decision(sequential.amount_results(
-        rows, INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000))
+    credible = sequential.amount_decisions(
+        rows, INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000, first=2)
     streaks = sequential.streak_results(rows, INTERVAL, 0.9, 2, 1000)
     ended = (F.col("better_streak") >= 2) | (F.col("worse_streak") >= 2) | (F.greatest("a_n", "b_n") > 1000)
     second = streaks.groupBy("experiment").agg(F.min(F.when(ended, F.col("checkpoint"))).alias("_ended"))
-    streak = sequential.first_decision(streaks).select("experiment", F.col("checkpoint").alias("_streak"))
+    streak = sequential.streak_decisions(rows, INTERVAL, 0.9, 2, 1000, first=1).select(
+        "experiment", F.col("checkpoint").alias("_streak"))
     return rows.select("experiment").distinct().join(first, "experiment", "left").join(
         credible, "experiment", "left").join(second, "experiment", "left").join(
         streak, "experiment", "left").select(

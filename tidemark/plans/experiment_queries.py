@@ -421,20 +421,19 @@ def amount_comparison(spark, folder):
 
 @checked("credibility_decisions")
 def credibility_decisions(spark, folder):
-    return sequential.first_decision(sequential.amount_results(
-        impressions(spark, folder), INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000))
+    return sequential.amount_decisions(
+        impressions(spark, folder), INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000)
 
 
 @checked("expected_cost_decisions")
 def expected_cost_decisions(spark, folder):
-    return sequential.first_decision(sequential.amount_results(
-        impressions(spark, folder), INTERVAL, lambda df: draws.stop_expected_cost(df, 0.0002, 1000), max_run=1000))
+    return sequential.amount_decisions(
+        impressions(spark, folder), INTERVAL, lambda df: draws.stop_expected_cost(df, 0.0002, 1000), max_run=1000)
 
 
 @checked("streak_decisions")
 def streak_decisions(spark, folder):
-    return sequential.first_decision(sequential.streak_results(
-        impressions(spark, folder), INTERVAL, 0.9, 2, 1000))
+    return sequential.streak_decisions(impressions(spark, folder), INTERVAL, 0.9, 2, 1000)
 
 
 @checked("baseline_checkpoints")
