@@ -252,3 +252,67 @@ def test_events_tag_before_during_after(spark):
     tagged = traffic.annotate_events(hours, window, hours_around=1).orderBy("date")
     assert [r.phase for r in tagged.collect()] == [None, None, "before", "during", "after", None, None, None]
     assert tagged.count() == 8
+
+
+def test_address_digits_against_the_standard_library(spark):
+    import ipaddress
+    import random
+    rng = random.Random(7)
+    texts = ["::", "::1", "1::", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:1.2.3.4",
+             "1:2:3:4:5:6:1.2.3.4", "64:ff9b::192.0.2.33", "10.0.0.1", "FE80::A", "2001:db8::0:1",
+             "", ":", ":::", "1:2", "1::2::3", "1:2:3:4:5:6:7:8:9", "::12345", "g::", "1.2.3", "1.2.3.256", "::1.2.3",
+             "1:2:3:4:5:6:7:1.2.3.4", "1:2:3:4:5:6:7:8::", ":1:2:3:4:5:6:7", "host", " ::1", "::1 "]
+    for _ in range(300):
+        number = rng.getrandbits(128) & rng.getrandbits(128) & rng.choice([-1, ~0xffffffff0000, 0xffff])
+        texts.append(str(ipaddress.IPv6Address(number)))
+
+    def plain(text):
+        try:
+            address = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        number = int(address) + (0xffff00000000 if address.version == 4 else 0)
+        return f"{number:032x}"
+
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "ip STRING")
+    found = {r.ip: r.digits for r in df.select("ip", rq.address_digits("ip").alias("digits")).collect()}
+    assert found == {t: plain(t) for t in texts} | {None: None}
+
+
+def test_longest_block_against_brute_force(spark):
+    import ipaddress
+    import random
+    rng = random.Random(9)
+    blocks = {}
+    for n in range(60):
+        if n % 3:
+            net = ipaddress.ip_network((rng.getrandbits(16) << 112 >> rng.choice([0, 3]) & ~7 << 100, rng.randint(0, 20)),
+                                       strict=False)
+        else:
+            net = ipaddress.ip_network((rng.getrandbits(32) & 0xc0ff0000, rng.randint(0, 24)), strict=False)
+        blocks[str(net)] = f"c{n}"
+    clients = [str(ipaddress.IPv6Address(rng.getrandbits(128))) for _ in range(150)]
+    clients += [str(ipaddress.IPv4Address(rng.getrandbits(32) & 0xc0ff00ff)) for _ in range(150)]
+    clients += ["nothing", None, clients[0], clients[-1]]
+
+    def wide(net):
+        if net.version == 6:
+            return net
+        return ipaddress.ip_network((0xffff00000000 + int(net.network_address), net.prefixlen + 96))
+
+    nets = [(wide(ipaddress.ip_network(b)), c) for b, c in blocks.items()]
+
+    def plain(text):
+        try:
+            one = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        six = ipaddress.IPv6Address(int(one) + (0xffff00000000 if one.version == 4 else 0))
+        held = [(n.prefixlen, c) for n, c in nets if six in n]
+        return max(held)[1] if held else None
+
+    df = spark.createDataFrame([(n, c) for n, c in enumerate(clients)], "n INT, ip STRING")
+    table = spark.createDataFrame([*blocks.items(), ("bad/8", "x"), ("1::/200", "x")], "block STRING, country STRING")
+    found = pageviews.locate_by_block(df, F.col("ip"), table)
+    assert {r.n: r.country for r in found.collect()} == {n: plain(c) for n, c in enumerate(clients)}
+    assert pageviews.locate_by_block(df, F.col("ip"), table.limit(0)).where("country IS NOT NULL").count() == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,6 +60,63 @@ def ip_number(ip: Column | str) -> Column:
     return F.when(valid, value)
 
 
+def address_digits(ip: Column | str) -> Column:
+    """Address as 32 hexadecimal digits, so that the text order is the order of addresses.
+
+    IPv4 addresses stand in the mapped block ::ffff:0:0/96. NULL where the text is no
+    address: eight groups of one to four digits, or fewer around one '::'; the last two
+    groups may be written as four octets.
+    """
+    def groups(side: Column) -> Column:
+        return F.when(F.coalesce(side, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
+            F.split(side, ":", -1))
+
+    def filled(sides: Column) -> Column:
+        missing = 8 - F.size(sides["one"]) - F.size(sides["two"])
+        zeros = F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0)).cast("int"))
+        return F.when(sides["n"] == 1, sides["one"]).when(
+            (sides["n"] == 2) & (missing >= 1), F.concat(sides["one"], zeros, sides["two"]))
+
+    def padded(given: Column) -> Column:
+        valid = (F.size(given) == 8) & F.forall(given, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$"))
+        return F.when(valid, F.array_join(F.transform(
+            given, lambda g: F.lpad(F.lower(g), 4, "0")), ""))
+
+    def whole(text: Column, tail: Column) -> Column:
+        """The text with its last four octets as two groups."""
+        return F.when(tail.isNotNull(), F.concat(
+            F.left(text, F.length(text) - F.length(F.substring_index(text, ":", -1))),
+            F.hex(F.shiftright(tail, 16)), F.lit(":"),
+            F.hex(tail.bitwiseAND(F.lit(65535))))).otherwise(text)
+
+    def sides_of(parts: Column) -> Column:
+        return F.struct(F.size(parts).alias("n"), groups(F.get(parts, F.lit(0))).alias("one"),
+                        groups(F.get(parts, F.lit(1))).alias("two"))
+
+    def read(text: Column) -> Column:
+        joined = _bound(ip_number(F.substring_index(text, ":", -1)), lambda tail: whole(text, tail))
+        sides = _bound(F.split(joined, "::", -1), sides_of)
+        return F.when(F.instr(text, ":") > 0, _bound(_bound(sides, filled), padded)).otherwise(
+            F.concat(F.lit("0" * 20 + "ffff"), F.lpad(F.lower(F.hex(ip_number(text))), 8, "0")))
+
+    return _bound(F.lower(_col(ip)), read)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def leading_bits(digits: Column, length: Column) -> Column:
+    """The first ``length`` bits of an address of :func:`address_digits`, as a key that says
+    how many they are."""
+    full, rest = F.floor(length / F.lit(4)).cast("int"), length % 4
+    digit = F.conv(F.substr(digits, full + 1, F.lit(1)), 16, 10).cast("int")
+    mask = F.call_function("shiftleft", F.lit(15), (4 - rest).cast("int"))
+    part = F.when(rest > 0, F.lower(F.hex(digit.bitwiseAND(mask)))).otherwise("")
+    return F.concat(length.cast("string"), F.lit(":"), F.substr(digits, F.lit(1), full), part)
+
+
 def access_method(host: Column | str, user_agent: Column | str) -> Column:
     """'mobile app', 'mobile web' or 'desktop'."""
     labels = F.split(_col(host), r"\.")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import fixed_values as fixed
 from tidemark.functions import requests as rq
+from tidemark.session import written
 
 CLIENT = ("user_agent", "ip", "x_forwarded_for")
 DAILY_KEYS = ("project", "variant", "page_title", "country")
@@ -145,3 +146,32 @@ def locate(df: DataFrame, ip: Column, ranges: DataFrame, name: str = "country")
           & (F.col("_ip") >= F.col("_first")) & (F.col("_ip") <= F.col("_last")))
     kept = [c for c in df.columns if c != name]
     return numbered.join(by_prefix, on, "left").select(*kept, F.col("_country").alias(name))
+
+
+def locate_by_block(df: DataFrame, ip: Column, blocks: DataFrame, name: str = "country") -> DataFrame:
+    """Adds the country of an address, IPv4 or IPv6, by the longest block that holds it.
+
+    ``blocks`` has ``block`` ('2001:db8::/32') and ``country``; blocks may lie inside each
+    other. Of a block that is listed twice the first country counts; what is no address has
+    none. Each distinct address is looked up once: it meets the blocks on its leading bits,
+    at every length that blocks have (129 at most), so the join is an equi join whatever the
+    blocks cover. Then the log is joined to its addresses.
+    """
+    cut = F.split("block", "/")
+    size = F.get(cut, F.lit(1)).try_cast("int") + F.when(F.contains("block", F.lit(":")), 0).otherwise(96)
+    listed = blocks.select(rq.address_digits(F.get(cut, F.lit(0))).alias("_digits"),
+                           size.alias("_length"), F.col("country").alias("_country")).where(
+        F.col("_length").between(0, 128) & F.col("_digits").isNotNull())
+    keyed = written(listed.groupBy(rq.leading_bits(F.col("_digits"), F.col("_length")).alias("_bits"),
+                                   "_length").agg(F.min("_country").alias("_country")), "blocks")
+    lengths = sorted(r[0] for r in keyed.select("_length").distinct().collect())
+    addresses = df.select(ip.alias("_address")).distinct().withColumn(
+        "_digits", rq.address_digits("_address")).where("_digits IS NOT NULL")
+    probes = addresses.withColumn(
+        "_length", F.explode(F.lit(lengths) if lengths else F.array().cast("array<int>"))).withColumn(
+        "_bits", rq.leading_bits(F.col("_digits"), F.col("_length")))
+    located = written(probes.join(keyed.drop("_length"), "_bits").groupBy("_address").agg(
+        F.max_by("_country", "_length").alias("_country")), "located")
+    kept = [c for c in df.columns if c != name]
+    return df.withColumn("_ip", ip).join(located, F.col("_ip") == F.col("_address"), "left").select(
+        *kept, F.col("_country").alias(name))

@@ -100,10 +100,25 @@ SELECT * FROM (VALUES (167772160, 167772415, 'Aland'), (167772416, 167837695, 'B
   (3221225984, 3221226239, 'Cascara')) v(first_ip, last_ip, country)
 """
 
+ADDRESSES = """
+SELECT event_id, user_id, CASE WHEN event_id % 10 = 9 THEN concat('host', CAST(user_id AS STRING))
+  WHEN event_id % 3 = 0 THEN concat('2001:DB8:', CAST(user_id % 8 AS STRING), '::', CAST(event_id % 7 AS STRING))
+  WHEN event_id % 3 = 1 THEN concat('10.0.', CAST(user_id % 3 AS STRING), '.', CAST(user_id % 250 AS STRING))
+  ELSE concat('::ffff:10.0.', CAST(user_id % 3 AS STRING), '.', CAST(user_id % 250 AS STRING)) END AS client
+FROM {events}
+"""
+
+BLOCKS = """
+SELECT * FROM (VALUES ('2001:db8::/32', 'Aland'), ('2001:db8:4::/46', 'Borduria'),
+  ('2001:db8:6::/48', 'Cascara'), ('10.0.0.0/16', 'Dawsbergen'), ('10.0.1.0/24', 'Elbonia'),
+  ('fe80::/10', 'Freedonia')) v(block, country)
+"""
+
 TEXTS = {
     "requests": REQUESTS, "page_dim": PAGES, "clicks": CLICKS, "links": LINKS,
     "revisions": REVISIONS, "prefs": PREFS, "impressions": IMPRESSIONS,
     "activity": ACTIVITY, "incidents": INCIDENTS, "ip_ranges": IP_RANGES,
+    "addresses": ADDRESSES, "blocks": BLOCKS,
 }
 TABLES = ("events", "part", "lineitem", "orders")
 

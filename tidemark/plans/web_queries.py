@@ -186,6 +186,17 @@ def country_of_address(spark, folder):
     return pageviews.locate(requests, F.col("client"), view(spark, folder, "ip_ranges"))
 
 
+@checked("country_of_any_address", """
+SELECT event_id, client, CASE WHEN event_id % 10 = 9 THEN NULL
+  WHEN event_id % 3 = 0 THEN CASE WHEN user_id % 8 = 6 THEN 'Cascara' WHEN user_id % 8 >= 4 THEN 'Borduria'
+    ELSE 'Aland' END
+  WHEN user_id % 3 = 1 THEN 'Elbonia' ELSE 'Dawsbergen' END AS country FROM addresses""", views=("addresses",))
+def country_of_any_address(spark, folder):
+    """IPv4, IPv6 and mapped addresses, by the longest block."""
+    clients = view(spark, folder, "addresses").select("event_id", "client")
+    return pageviews.locate_by_block(clients, F.col("client"), view(spark, folder, "blocks"))
+
+
 @checked("geo_pageviews_daily", f"WITH {HOST_PARTS}, {DAILY} SELECT * FROM daily")
 def geo_pageviews_daily(spark, folder):
     return daily_series(spark, folder)
