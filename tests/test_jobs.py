@@ -3,9 +3,10 @@
 from datetime import date, datetime
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.plans import jobs
-from tidemark.sources import tables
+from tidemark.sources import slots, tables
 from tidemark.sources.requests import REQUEST_SCHEMA
 
 
@@ -58,6 +59,39 @@ def test_jobs_wait_for_input_and_drop_old_slots(spark, tmp_path):
         jobs.daily_job(spark, log, daily, date(2024, 1, 1), one_in=1)
     assert not (tmp_path / "daily").exists()
     ranges = spark.createDataFrame([(16777216, 33554431, "One")], "first_ip LONG, last_ip LONG, country STRING")
+    with pytest.raises(jobs.IncompleteInput, match="of mobile"):  # one source is not enough
+        jobs.hourly_job(spark, log, hourly, datetime(2024, 1, 1, 5), ranges, one_in=1)
+    for day, hour in ((1, 5), (2, 0)):
+        slots.mark_slot(spark, log, webrequest_source="mobile", year=2024, month=1, day=day, hour=hour)
     jobs.hourly_job(spark, log, hourly, datetime(2024, 1, 1, 5), ranges, one_in=1)
     jobs.hourly_job(spark, log, hourly, datetime(2024, 1, 2, 0), ranges, keep_days=1, one_in=1)
     assert {r.day for r in spark.read.parquet(hourly).collect()} == {2}
+
+
+def test_a_slot_is_swapped_in_whole(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.createDataFrame([(1,), (2,)], "n INT")
+    tables.publish_partition(rows, path, year=2024, month=1, day=1)
+    failing = rows.select(F.raise_error("no").cast("int").alias("n"))
+    with pytest.raises(Exception):
+        tables.publish_partition(failing, path, year=2024, month=1, day=1)
+    assert sorted(r.n for r in spark.read.parquet(path).collect()) == [1, 2]  # the old one stays
+    tables.publish_partition(rows.where("n = 2"), path, year=2024, month=1, day=1)
+    assert [r.n for r in spark.read.parquet(path).collect()] == [2]
+    with pytest.raises(OSError):
+        slots.swap_in(spark, f"{path}/_nothing", path, year=2024, month=1, day=1)
+    assert [r.n for r in spark.read.parquet(path).collect()] == [2]
+    assert not [p.name for p in (tmp_path / "table").iterdir() if p.name.startswith("_replaced")]
+
+
+def test_slots_are_listed_by_name(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert slots.listed_slots(spark, path, ["year", "month", "day"]) == [] and tables.newest_day(spark, path) is None
+    for day in (1, 2, 9, 10):
+        slots.mark_slot(spark, path, year=2024, month=1, day=day, hour=0)
+        slots.mark_slot(spark, path, year=2024, month=1, day=day, hour=7)
+    assert slots.has_slot(spark, path, year=2024, month=1, day=9, hour=7)
+    assert not slots.has_slot(spark, path, year=2024, month=1, day=9, hour=8)
+    assert tables.newest_day(spark, path) == date(2024, 1, 10)
+    assert tables.drop_expired_slots(spark, path, date(2024, 1, 10), 2) == 2  # empty ones too
+    assert sorted(int(s["day"]) for s in slots.listed_slots(spark, path, ["year", "month", "day"])) == [9, 10]

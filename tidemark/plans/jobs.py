@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from tidemark.functions import fixed_values as fixed
 from tidemark.functions import requests as rq
 from tidemark.operators import pageviews, trends
 from tidemark.operators.traffic import map_field
-from tidemark.sources.requests import missing_partitions, read_requests, sample_bucket
+from tidemark.sources import slots
+from tidemark.sources.requests import read_requests, sample_bucket
 from tidemark.sources.tables import drop_expired_slots, publish_partition
 
 
@@ -19,13 +21,17 @@ class IncompleteInput(RuntimeError):
     """Hours of the log that a job needs are not there yet."""
 
 
-def require_hours(spark: SparkSession, log: str, start: datetime, hours: int) -> None:
-    """Raises if the log lacks any of the hours, before anything is published."""
-    end = start + timedelta(hours=hours - 1)
-    lacking = missing_partitions(spark.read.parquet(log), start, end).orderBy(
-        "year", "month", "day", "hour").first()
-    if lacking is not None:
-        raise IncompleteInput(f"{log} lacks the hour {tuple(lacking)}")
+def require_hours(spark: SparkSession, log: str, start: datetime, hours: int,
+                  sources: Sequence[str] = fixed.REQUEST_SOURCES) -> None:
+    """Raises if the log lacks any of the hours of any source, before anything is published.
+
+    Partitions are looked up by name. One without rows is complete; see ``slots.mark_slot``.
+    """
+    for moment in (start + timedelta(hours=n) for n in range(hours)):
+        for source in sources:
+            hour = {"year": moment.year, "month": moment.month, "day": moment.day, "hour": moment.hour}
+            if not slots.has_slot(spark, log, webrequest_source=source, **hour):
+                raise IncompleteInput(f"{log} lacks the hour {tuple(hour.values())} of {source}")
 
 
 def daily_job(spark: SparkSession, log: str, table: str, day: date, keep_days: int = 60,

@@ -51,6 +51,22 @@ def streamed_daily_pageviews(spark, folder):
     return published(spark, folder, "1 day", 64, "1 day")
 
 
+@checked("streamed_daily_retention", f"""
+WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS}),
+closed AS (SELECT max(ts) - INTERVAL 1 DAY AS watermark FROM readers)
+SELECT project, variant, page_title, country, year, month, day, count(*) AS n FROM readers, closed
+WHERE make_date(year, month, day) + 1 <= watermark AND make_date(year, month, day) > (
+  SELECT max(make_date(year, month, day)) - 7 FROM readers, closed WHERE make_date(year, month, day) + 1 <= watermark)
+GROUP BY ALL""")
+def streamed_daily_retention(spark, folder):
+    """Closed days of the stream, of which each batch keeps a week."""
+    requests = view_of(spark, "requests", events=event_stream(spark, folder))
+    path = scratch_path(spark, "published")
+    pageviews.publish_stream(pageviews.stream_pageviews(requests, "1 day", "1 day"), path,
+                             scratch_path(spark, "state"), "1 day", keep_days=7).awaitTermination()
+    return spark.read.parquet(path).select(*DAILY_KEYS, *pageviews.PARTS["1 day"], "n")
+
+
 @checked("streamed_hourly_pageviews", f"""
 WITH {HOST_PARTS}, readers AS (SELECT * FROM named WHERE {READERS})
 SELECT project, variant, page_title, country, year, month, day, hour,

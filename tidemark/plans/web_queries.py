@@ -6,6 +6,7 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import fixed_values as fixed
 from tidemark.functions import requests as rq
 from tidemark.functions.numbers import tidy
 from tidemark.operators import pageviews, traffic, trends
@@ -13,7 +14,7 @@ from tidemark.plans import jobs
 from tidemark.plans.views import table, view, with_views
 from tidemark.session import scratch_path
 from tidemark.sources import requests as request_log
-from tidemark.sources import tables
+from tidemark.sources import slots, tables
 
 QUERIES = {}
 CHECKS = {}
@@ -311,6 +312,29 @@ def published_daily_pageviews(spark, folder):
     return spark.read.parquet(path)
 
 
+JOB_DAYS = (9, 10, 11)
+
+
+@checked("daily_job_pageviews", f"""
+WITH {HOST_PARTS}, {DAILY} SELECT * FROM daily WHERE year = 2024 AND month = 1 AND day IN (10, 11)""")
+def daily_job_pageviews(spark, folder):
+    """The daily job on three days of the log, each with a check of its hours and retention of
+    two days. The whole log is written as the table of hours that the job reads; hours in which
+    a source has no request are marked as complete."""
+    log, path = scratch_path(spark, "log"), scratch_path(spark, "job")
+    parts = ["webrequest_source", "year", "month", "day", "hour"]
+    rows = view(spark, folder, "requests").withColumn(
+        "geocoded_data", F.create_map(F.lit("country"), F.col("country"))).drop("country")
+    known = {f.name for f in request_log.REQUEST_SCHEMA}
+    tables.publish_partitions(rows.select(*[c for c in rows.columns if c in known]), log, parts)
+    for day in JOB_DAYS:
+        for source in fixed.REQUEST_SOURCES:
+            for hour in range(24):
+                slots.mark_slot(spark, log, webrequest_source=source, year=2024, month=1, day=day, hour=hour)
+        jobs.daily_job(spark, log, path, date(2024, 1, day), keep_days=2, one_in=1)
+    return spark.read.parquet(path).withColumn("n", F.col("n") * fixed.SAMPLE_ONE_IN)
+
+
 @checked("kept_daily_pageviews", f"""
 WITH {HOST_PARTS}, {DAILY} SELECT * FROM daily
 WHERE make_date(year, month, day) > DATE '2024-01-20' - 7 AND make_date(year, month, day) <> DATE '2024-01-18'""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import requests as rq
+from tidemark.sources import slots
 
 SIMILARITY_SCHEMA = "page_id BIGINT, link_id BIGINT, score DOUBLE"
 EDGE_SCHEMA = "page_id BIGINT, link_id BIGINT"
@@ -135,10 +137,13 @@ def publish_partitions(df: DataFrame, path: str, columns: Sequence[str]) -> None
 def publish_partition(df: DataFrame, path: str, **slot: int) -> None:
     """Publishes one partition, e.g. ``year=2024, month=1, day=9``.
 
-    The named slot is overwritten itself, so a rerun without rows empties it.
+    The slot is written aside and then swapped in, so readers have the old rows while the job
+    runs, and keep them if it dies. A rerun without rows empties the slot.
     """
-    folder = "/".join([path.rstrip("/"), *(f"{k}={v}" for k, v in slot.items())])
-    df.drop(*slot).hint("rebalance").write.mode("overwrite").parquet(folder)
+    spark = df.sparkSession
+    staged = f"{path.rstrip('/')}/_staged-{uuid.uuid4().hex}"
+    df.drop(*slot).hint("rebalance").write.parquet(staged)
+    slots.swap_in(spark, staged, path, **slot)
 
 
 def keep_recent(df: DataFrame, as_of: date, keep_days: int = 7) -> DataFrame:
@@ -167,16 +172,16 @@ def drop_expired(spark: SparkSession, table: str, as_of: date, keep_days: int =
 def drop_expired_slots(spark: SparkSession, path: str, as_of: date, keep_days: int = 7) -> int:
     """Removes the days of a published table (written by path) that are older than the limit.
 
-    Only partition names are read. Returns the number of removed days.
+    Only partition names are listed, so slots without rows go too. Returns the number of
+    removed days.
     """
-    day = F.make_date("year", "month", "day")
-    expired = spark.read.parquet(path).select("year", "month", "day").distinct().where(
-        day <= F.date_sub(F.lit(as_of), keep_days))
-    context = spark.sparkContext
-    removed = 0
-    for row in expired.toLocalIterator():
-        folder = context._jvm.org.apache.hadoop.fs.Path(
-            f"{path.rstrip('/')}/year={row.year}/month={row.month}/day={row.day}")
-        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
-        removed += bool(files.delete(folder, True))
-    return removed
+    expired = [slot for slot in slots.listed_slots(spark, path, ["year", "month", "day"])
+               if (as_of - date(*(int(v) for v in slot.values()))).days >= keep_days]
+    return sum(slots.drop_slot(spark, path, **slot) for slot in expired)
+
+
+def newest_day(spark: SparkSession, path: str) -> date | None:
+    """The last day that a published table has a partition of."""
+    days = [date(*(int(v) for v in slot.values()))
+            for slot in slots.listed_slots(spark, path, ["year", "month", "day"])]
+    return max(days, default=None)

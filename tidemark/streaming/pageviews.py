@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import requests as rq
 from tidemark.operators.pageviews import DAILY_KEYS, HOURLY_KEYS, readers_only
-from tidemark.sources.tables import publish_partitions
+from tidemark.sources.tables import drop_expired_slots, newest_day, publish_partitions
 
 PARTS = {"1 day": ("year", "month", "day"), "1 hour": ("year", "month", "day", "hour")}
 
@@ -70,17 +70,21 @@ def publish_open_slots(requests: DataFrame, path: str, grain: str = "1 hour", ts
 
 def publish_stream(counts: DataFrame, path: str, checkpoint: str, grain: str = "1 hour",
                    after: Callable[[DataFrame, int], None] | None = None,
-                   **trigger) -> StreamingQuery:
+                   keep_days: int | None = None, **trigger) -> StreamingQuery:
     """Publishes closed windows as partitions of a table.
 
     A window is emitted in one batch and is one partition, so a batch that is run
-    again after a failure replaces its own partitions. ``after`` runs behind each
-    batch, e.g. for retention.
+    again after a failure replaces its own partitions. With ``keep_days`` each batch
+    drops the days that are so far behind the newest one, which a repeated batch does
+    to the same end. ``after`` runs behind each batch.
     """
     columns: Sequence[str] = PARTS[grain]
 
     def publish(batch: DataFrame, number: int) -> None:
         publish_partitions(batch, path, columns)
+        newest = newest_day(batch.sparkSession, path) if keep_days is not None else None
+        if newest is not None:
+            drop_expired_slots(batch.sparkSession, path, newest, keep_days)
         if after is not None:
             after(batch, number)
 
