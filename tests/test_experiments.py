@@ -302,3 +302,14 @@ def test_rounds_equal_the_full_run_with_fewer_draws(spark):
     streaks = sequential.first_decision(sequential.streak_results(df, 100, 0.95, 3, sample=400))
     rounds = sequential.streak_decisions(df, 100, 0.95, 3, sample=400, first=1)
     assert sorted(map(tuple, rounds.collect())) == sorted(map(tuple, streaks.collect()))
+
+
+@pytest.mark.parametrize("n, rate", [(0, 0.1), (3, 0.5), (40, 0.02), (7, 1.0)])
+def test_mass_and_closed_tail_sum_to_one(spark, n, rate):
+    counts = spark.createDataFrame([(n,)], "n LONG")
+    for reach in (0, 1, 5, 60):
+        upper = F.col("n") + reach
+        mass = ex.inverse_binomial_pmf(counts, rate, upper).agg(F.sum("probability")).first()[0]
+        tail = ex.inverse_binomial_tail(counts, rate, upper).first().tail
+        assert mass + tail == pytest.approx(1, abs=1e-10)
+    assert ex.inverse_binomial_tail(counts, rate, F.col("n") - 1).first().tail == (0.0 if rate == 1 else 1.0)

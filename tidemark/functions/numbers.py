@@ -93,6 +93,12 @@ def regularized_beta(a, b, x) -> np.ndarray:
     return np.where(inside, value, np.where(x >= 1, 1.0, np.where(x <= 0, 0.0, np.nan)))
 
 
+@F.pandas_udf(DoubleType())
+def beta_share(a: pd.Series, b: pd.Series, x: pd.Series) -> pd.Series:
+    """Regularized incomplete beta function as a column."""
+    return pd.Series(regularized_beta(*(v.to_numpy(float) for v in (a, b, x))))
+
+
 def two_sided_t(t, dof) -> np.ndarray:
     """Two-sided p-value of Student's t; NaN in, NaN out."""
     t, dof = np.asarray(t, dtype=float), np.asarray(dof, dtype=float)

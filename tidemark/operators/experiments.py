@@ -13,7 +13,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import log_choose, ratio, t_p_value
+from tidemark.functions.numbers import beta_share, log_choose, ratio, t_p_value
 
 KEYS = ("experiment", "variant")
 
@@ -214,7 +214,10 @@ def naive_posterior(counts: DataFrame, rate: float) -> DataFrame:
 
 
 def inverse_binomial_pmf(counts: DataFrame, rate: float, upper: Column, n: str = "n") -> DataFrame:
-    """Probability of each population from n to ``upper`` behind n records kept at a rate."""
+    """Probability of each population from n to ``upper`` behind n records kept at a rate.
+
+    What lies beyond ``upper`` is :func:`inverse_binomial_tail`; both together are 1.
+    """
     spread = counts.withColumn("population", F.explode(F.sequence(F.col(n).cast("long"), upper)))
     missing = F.col("population") - F.col(n)
     if rate >= 1.0:
@@ -224,6 +227,19 @@ def inverse_binomial_pmf(counts: DataFrame, rate: float, upper: Column, n: str =
     return spread.withColumn("probability", F.exp(log_p))
 
 
+def inverse_binomial_tail(counts: DataFrame, rate: float, upper: Column, n: str = "n") -> DataFrame:
+    """Adds tail: the probability of a population above ``upper``, in closed form.
+
+    At most ``upper`` records behind n kept ones means more than n of upper + 1 are kept,
+    which is a regularized beta function of the rate; no mass is added up.
+    """
+    if rate >= 1.0:
+        return counts.withColumn("tail", F.lit(0.0))
+    beyond = upper - F.col(n) + 1
+    tail = beta_share(beyond.cast("double"), (F.col(n) + 1).cast("double"), F.lit(1.0 - rate))
+    return counts.withColumn("tail", F.when(beyond > 0, tail).otherwise(1.0))
+
+
 def interval_covers(lower: Column | str, upper: Column | str, lift: float) -> Column:
     """1 if the interval holds the lift, else 0."""
     low = F.col(lower) if isinstance(lower, str) else lower

@@ -239,6 +239,24 @@ def inverse_binomial_pmf(spark, folder):
     return pmf.withColumn("probability", F.round("probability", 8))
 
 
+@checked("inverse_binomial_mass", f"""
+WITH {SAMPLED}, spread AS (SELECT experiment, variant, observed_failures AS n,
+  unnest(range(observed_failures, 12 * observed_failures + 1)) AS population FROM sampled),
+masses AS (SELECT experiment, variant, n, sum(exp(lgamma(population + 1.0) - lgamma(n + 1.0)
+  - lgamma(population - n + 1.0) + (n + 1) * ln(0.1) + (population - n) * ln(0.9))) AS mass
+  FROM spread GROUP BY ALL)
+SELECT experiment, variant, n, round(mass, 6) AS mass, round(1 - mass, 6) AS tail, 1.0::DOUBLE AS whole FROM masses""")
+def inverse_binomial_mass(spark, folder):
+    """The mass up to twelve times the records, and the closed tail beyond it."""
+    counts = sampled(spark, folder).select("experiment", "variant", F.col("observed_failures").alias("n"))
+    upper = F.col("n") * 12
+    masses = ex.inverse_binomial_pmf(counts, RATE, upper).groupBy("experiment", "variant", "n").agg(
+        F.sum("probability").alias("mass"))
+    both = ex.inverse_binomial_tail(masses, RATE, upper)
+    return both.withColumn("whole", F.round(F.col("mass") + F.col("tail"), 9)).withColumn(
+        "mass", F.round("mass", 6)).withColumn("tail", F.round("tail", 6))
+
+
 @checked("interval_coverage", f"""
 WITH {SAMPLED} SELECT experiment, variant, CASE WHEN 1000 BETWEEN observed_failures / 0.1::DOUBLE
 AND (observed_failures + 1) / 0.1::DOUBLE THEN 1 ELSE 0 END AS covered FROM sampled""")
