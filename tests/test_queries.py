@@ -11,8 +11,7 @@ def con(folder):
 
 
 # The smallest tables have too few records for a decision.
-LARGER = {"baseline_checkpoints", "credibility_decisions", "expected_cost_decisions",
-          "monitored_decisions", "streak_decisions"}
+LARGER = {"baseline_checkpoints", "credibility_decisions", "expected_cost_decisions", "streak_decisions"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.queries()))
