@@ -138,6 +138,50 @@ def test_similar_items_are_cut_before_the_exchange(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
+def spread_preferences(seed, users=150, items=120):
+    """Items whose degrees differ by powers of two, as those of pages do."""
+    rng = random.Random(seed)
+    prefs = set()
+    for item in range(items):
+        degree = max(1, min(users, int(users / (1 + item // 6) ** 1.3)))
+        near = rng.randrange(users)
+        prefs |= {((near + rng.randrange(2 * degree)) % users, item) for _ in range(degree)}
+    return sorted(prefs)
+
+
+@pytest.mark.parametrize("chunk", [512, 5])
+@pytest.mark.parametrize("measure", ["tanimoto", "loglikelihood"])
+def test_pruned_pairs_give_the_same_best(spark, measure, chunk):
+    df = spark.createDataFrame(spread_preferences(11), "user_id LONG, item_id LONG")
+    for k in (1, 4):
+        every = similarity.item_similarity(df, measure, k, chunk).collect()
+        assert sorted(similarity.pruned_similarity(df, measure, k, chunk).collect()) == sorted(every)
+
+
+def test_pruning_counts_fewer_pairs(spark):
+    df = spark.createDataFrame(spread_preferences(11), "user_id LONG, item_id LONG")
+    known = similarity.described_preferences(df).withColumn("power", F.floor(F.log2("degree")).cast("int"))
+    strength, score = similarity._measured(df, "tanimoto")
+    like = similarity.counted_pairs(known, among=similarity._like_degrees())
+    best = links.top_n_per_group(similarity._both_ways(like, strength, score), ["item_id"],
+                                 [F.desc("_strength"), "other_id"], 3)
+    counted = like.count() + similarity.pruned_pairs(known, best, "tanimoto", 150, 3).count()
+    assert counted < 0.8 * similarity.shared_users(df).count()
+
+
+@pytest.mark.parametrize("measure", ["tanimoto", "loglikelihood"])
+def test_no_pair_is_stronger_than_its_bound(spark, measure):
+    df = spark.createDataFrame([(s, a, b) for a in range(1, 13) for b in range(1, 13)
+                                for s in range(max(1, a + b - 12), min(a, b) + 1)],
+                               "shared LONG, degree_a LONG, degree_b LONG")
+    users = F.lit(12)
+    numbers = [F.col(c) for c in df.columns]
+    real = (similarity.tanimoto(*numbers) if measure == "tanimoto"
+            else similarity.likelihood_ratio(*numbers, users))
+    bound = similarity.strongest_possible(measure, F.col("degree_a"), F.col("degree_b"), users)
+    assert df.where(real > bound + 1e-9).count() == 0
+
+
 def test_recommendations_are_new_and_ranked(spark):
     prefs = preferences(3, 30, 40, 1)
     df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")

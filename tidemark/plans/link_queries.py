@@ -273,6 +273,21 @@ def item_similarity_loglikelihood(spark, folder):
         written(view(spark, folder, "prefs"), "prefs"), "loglikelihood", 100), "score")
 
 
+@checked("few_similar_pages",
+         f"WITH {LINK_PREFS}, {similar_sql('link_prefs', 'tanimoto', 5)} SELECT item_id, other_id, score FROM similar_items",
+         ("links", "page_dim"))
+def few_similar_pages(spark, folder):
+    """The best few only, so pairs of pages of very different degrees are left out early."""
+    return tidied(similarity.pruned_similarity(link_prefs(spark, folder), "tanimoto", 5), "score")
+
+
+@checked("few_related_pages",
+         f"WITH {LINK_PREFS}, {similar_sql('link_prefs', 'loglikelihood', 5)} SELECT item_id, other_id, score FROM similar_items",
+         ("links", "page_dim"))
+def few_related_pages(spark, folder):
+    return tidied(similarity.pruned_similarity(link_prefs(spark, folder), "loglikelihood", 5), "score")
+
+
 @checked("recommended_items", f"""
 WITH {similar_sql('prefs', 'tanimoto', 100)}, {recommended_sql('prefs', 10)}
 SELECT * FROM recommended""", ("prefs",))
