@@ -2,6 +2,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.llm import neighbours, queries
@@ -81,3 +82,34 @@ def test_recall_in_a_tight_group(spark):
         found[r.query_id].add(r.vec_id)
     hits = [len(found[q] & {i for i, _ in exact(rows, q, 5)}) for q in rows if q % 40 == 0]
     assert sum(hits) / (5 * len(hits)) == 1.0
+
+
+def test_leaves_are_split_and_read_in_blocks(spark, monkeypatch):
+    """Parts of a few vectors and of a few queries, in small blocks, give the same rows."""
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(400, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = F.col("id") % 5 == 0
+    whole = neighbours.nearest(df, asked, visit=1.0).collect()
+    parts = neighbours.nearest(df, asked, visit=1.0, part_bytes=4 * 8 * 9).collect()
+    assert sorted(parts) == sorted(whole) and len(whole) == 400
+    join = neighbours._nearest(6, 1e-6)
+    packed = neighbours._packed(np.array([v for _, v in rows]))
+    vectors = pa.table({"vid": pa.array(range(400)), "unit": packed})
+    queries_of = pa.table({"qid": pa.array(range(400)), "unit": packed})
+    at_once = join(vectors, queries_of).sort_by([("qid", "ascending"), ("vid", "ascending")])
+    monkeypatch.setattr(neighbours, "ROW_BLOCK", 37)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 11)
+    blocks = join(vectors, queries_of).sort_by([("qid", "ascending"), ("vid", "ascending")])
+    assert blocks.select(["qid", "vid"]).equals(at_once.select(["qid", "vid"]))
+
+
+def test_data_with_structure_opens_little():
+    rng = np.random.default_rng(8)
+    loose = rng.normal(size=(4000, 32))
+    groups = np.repeat(rng.normal(size=(100, 32)), 40, axis=0) + 0.02 * rng.normal(size=(4000, 32))
+    shares = []
+    for sample in (loose, groups):
+        sample = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        shares.append(neighbours.share_to_visit(neighbours.Forest(sample, 8, 32, 1), sample, 5))
+    assert shares[1] < 0.2 * shares[0] <= 0.2 * 8

@@ -3,14 +3,20 @@
 Trees are fitted on the driver from a bounded sample: each node parts its sample at the
 median along the line between two of its vectors. Every vector is indexed in every tree.
 A query walks all trees through one priority queue, ordered by the distance to the planes
-crossed, until the leaves it has opened hold a given share of the rows (``visit``); the
-opened leaves are joined with the indexed vectors leaf by leaf, and what is nearest there,
-with all that single precision cannot tell from it, is ranked again exactly, in double
-precision, on the original vectors. A tight group of vectors is therefore ranked whole.
+crossed, until the leaves it has opened hold a given share of the rows (``visit``). That
+share is measured: the least with which queries of the sample find ``RECALL`` of their
+nearest in the sample, so data with structure opens little and data without it much.
+
+The opened leaves are joined with the indexed vectors leaf by leaf, and what is nearest
+there, with all that single precision cannot tell from it, is ranked again exactly, in
+double precision, on the original vectors. A tight group of vectors is therefore ranked
+whole.
 
 Equal vectors are folded before, each with the few smallest ids that any result can name,
 so a vector that many rows share is one row. Leaves are sampled evenly, so they hold about
-equal shares of the distinct vectors; a leaf's rows are read in blocks.
+equal shares of the distinct vectors. A leaf grows with the table, so its vectors and its
+queries are dealt into parts of about ``PART_BYTES``, and every part of the one meets every
+part of the other in a group of its own; in it, both are compared in blocks.
 
 Defined cases: rows without id or with a vector that is null, zero, of another length than
 most of the sample, or holds null or non-finite components, take no part. Repeated rows
@@ -21,6 +27,7 @@ beside id and vector are ignored; an empty table gives an empty one.
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +40,32 @@ from tidemark.session import written
 
 # Bound of the sample that the trees are fitted on, and its rows in a leaf.
 SAMPLE_ROWS, LEAF_SAMPLE = 16_384, 32
-TREES, VISIT, SEED = 8, 1.4, 11
+TREES, SEED = 8, 11
+# Share of the nearest that queries of the sample have to find, and how many of them are asked.
+RECALL, PROBES = 0.97, 192
+# Vectors of one side of a group, in bytes of single precision, and the sides of a block.
+PART_BYTES = 32 << 20
+QUERY_BLOCK, ROW_BLOCK = 1024, 8192
+# Queries that walk the trees in one task, and at once.
+WALKS, WALK_BLOCK = 128, 64
 
 
 class Forest:
-    """Trees as nested tuples (plane, offset, left, right), leaves as numbers."""
+    """Trees as nested tuples (plane, left, right), planes and leaves as numbers."""
 
     def __init__(self, sample: np.ndarray, trees: int, leaf_rows: int, seed: int) -> None:
         rng = np.random.default_rng(seed)
         self.shares: list[list[float]] = []
-        self.trees = [self._tree(sample, rng, leaf_rows) for _ in range(trees)]
-
-    def _tree(self, sample: np.ndarray, rng: np.random.Generator, leaf_rows: int):
+        planes: list[np.ndarray] = []
+        middles: list[float] = []
+        self.trees = [self._tree(sample, rng, leaf_rows, planes, middles) for _ in range(trees)]
+        self.planes = np.array(planes).reshape(len(planes), sample.shape[1])
+        self.middles = np.array(middles)
+        lengths = np.linalg.norm(self.planes, axis=1)
+        self.lengths = np.where(lengths > 0, lengths, 1.0)
+
+    def _tree(self, sample: np.ndarray, rng: np.random.Generator, leaf_rows: int,
+              planes: list[np.ndarray], middles: list[float]):
         shares: list[float] = []
         self.shares.append(shares)
 
@@ -56,7 +77,9 @@ class Forest:
                 middle = float(np.median(along))
                 right = along > middle
                 if right.any() and not right.all():
-                    return plane, middle, grow(rows[~right]), grow(rows[right])
+                    planes.append(plane)
+                    middles.append(middle)
+                    return len(planes) - 1, grow(rows[~right]), grow(rows[right])
             shares.append(len(rows) / len(sample))
             return len(shares) - 1
 
@@ -70,32 +93,60 @@ class Forest:
             if not isinstance(node, tuple):
                 out[rows] = node
             elif len(rows):
-                plane, middle, left, right = node
-                beyond = vectors[rows] @ plane > middle
+                plane, left, right = node
+                beyond = vectors[rows] @ self.planes[plane] > self.middles[plane]
                 place(left, rows[~beyond])
                 place(right, rows[beyond])
 
         place(self.trees[tree], np.arange(len(vectors)))
         return out
 
-    def search(self, vector: np.ndarray, visit: float) -> list[tuple[int, int]]:
+    def sides(self, vectors: np.ndarray) -> np.ndarray:
+        """Signed distance of each vector to each plane."""
+        return (vectors @ self.planes.T - self.middles) / self.lengths
+
+    def search(self, sides: list[float], visit: float) -> list[tuple[int, int]]:
         """The (tree, leaf) pairs opened for a query, nearest first, through one queue."""
         queue: list = [(0.0, i, i, node) for i, node in enumerate(self.trees)]
         count, seen, opened = len(queue), 0.0, []
         while queue and seen < visit:
             far, _, tree, node = heapq.heappop(queue)
             while isinstance(node, tuple):
-                plane, middle, left, right = node
-                side = float(vector @ plane) - middle
+                plane, left, right = node
+                side = sides[plane]
                 node, other = (right, left) if side > 0 else (left, right)
                 count += 1
-                heapq.heappush(queue, (max(far, abs(side) / (np.linalg.norm(plane) or 1.0)),
-                                       count, tree, other))
+                heapq.heappush(queue, (max(far, abs(side)), count, tree, other))
             opened.append((tree, node))
             seen += self.shares[tree][node]
         return opened
 
 
+def share_to_visit(forest: Forest, sample: np.ndarray, k: int, recall: float = RECALL,
+                   probes: int = PROBES) -> float:
+    """The least ``visit`` with which evenly drawn queries of the sample find ``recall`` of
+    their k nearest others in the sample."""
+    k = min(k, len(sample) - 1)
+    if k < 1:
+        return float(len(forest.trees))
+    drawn = np.unique(np.linspace(0, len(sample) - 1, probes).astype(int))
+    cosines = sample[drawn] @ sample.T
+    cosines[np.arange(len(drawn)), drawn] = -np.inf
+    nearest_ones = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
+    homes = np.array([forest.leaves(sample, tree) for tree in range(len(forest.trees))])
+    sides = forest.sides(sample[drawn])
+    needed = []
+    for row, wanted in enumerate(nearest_ones):
+        opened = forest.search(sides[row].tolist(), math.inf)
+        # What has been seen before a leaf is opened: it is opened with any more than that.
+        shares = np.array([forest.shares[tree][leaf] for tree, leaf in opened])
+        before = dict(zip(opened, np.cumsum(shares) - shares, strict=True))
+        needed += [min(before[tree, int(leaf)] for tree, leaf in enumerate(homes[:, one]))
+                   for one in wanted]
+    needed.sort()
+    return float(needed[min(len(needed) - 1, math.ceil(recall * len(needed)))]) + 1e-9
+
+
 def usable(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """(id, vector as doubles) of the rows that take part."""
     values = F.col(vector).cast("array<double>")
@@ -152,7 +203,9 @@ def _open(forest: Forest, visit: float):
             units = _units(batch, 1)
             packed = _packed(units)
             for row in range(len(units)):
-                opened = forest.search(units[row], visit)
+                if row % WALK_BLOCK == 0:
+                    sides = forest.sides(units[row:row + WALK_BLOCK])
+                opened = forest.search(sides[row % WALK_BLOCK].tolist(), visit)
                 trees, leaves = (pa.array(c, pa.int32()) for c in zip(*opened, strict=True))
                 at = pa.array(np.full(len(opened), row))
                 yield pa.RecordBatch.from_arrays(
@@ -174,31 +227,56 @@ def rounding(width: int) -> float:
     return 2 * (width + 4) * float(np.finfo(np.float32).eps)
 
 
-def _nearest(count: int, error: float, block: int = 1024):
-    """Joins one leaf's vectors with the queries that opened it: the nearest of each.
+def _tops(cosines: np.ndarray, count: int, error: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where each row holds its ``count`` largest and all within ``error`` of the last of them."""
+    place = min(count, cosines.shape[1]) - 1
+    last = -np.partition(-cosines, place, axis=1)[:, place]
+    return np.nonzero(cosines >= (last - error)[:, None])
 
-    These are the first ``count`` and whatever single precision cannot tell from them.
+
+def _nearest(count: int, error: float):
+    """Joins a part of a leaf's vectors with a part of the queries that opened it.
+
+    The nearest of each query are the first ``count`` and whatever single precision cannot
+    tell from them. Blocks of vectors give theirs, and the best of these stay.
     """
     def join(rows: pa.Table, queries: pa.Table) -> pa.Table:
         found: list = [[], [], []]
         if rows.num_rows and queries.num_rows:
             vids, units = rows["vid"].to_numpy(), _stack(rows["unit"])
-            for start in range(0, queries.num_rows, block):
-                part = queries.slice(start, block)
-                cosines = (_stack(part["unit"]) @ units.T).astype(np.float64)
-                # All within the error of the last place: none of the nearest is left out.
-                last = -np.partition(-cosines, min(count, len(vids)) - 1, axis=1)[
-                    :, min(count, len(vids)) - 1]
-                at, which = np.nonzero(cosines >= (last - error)[:, None])
-                found[0].append(part["qid"].to_numpy()[at])
+            for start in range(0, queries.num_rows, QUERY_BLOCK):
+                part = queries.slice(start, QUERY_BLOCK)
+                asked, qids = _stack(part["unit"]), part["qid"].to_numpy()
+                kept: list = [[], [], []]
+                for first in range(0, len(vids), ROW_BLOCK):
+                    cosines = (asked @ units[first:first + ROW_BLOCK].T).astype(np.float64)
+                    at, which = _tops(cosines, count, error)
+                    for column, values in zip(kept, (at, first + which, cosines[at, which]),
+                                              strict=True):
+                        column.append(values)
+                at, which, near = map(np.concatenate, kept)
+                if len(vids) > ROW_BLOCK:
+                    order = np.lexsort((-near, at))
+                    at, which, near = at[order], which[order], near[order]
+                    begins = np.searchsorted(at, np.arange(len(qids) + 1))
+                    last = near[np.minimum(begins[:-1] + count, begins[1:]) - 1]
+                    good = near >= last[at] - error
+                    at, which, near = at[good], which[good], near[good]
+                found[0].append(qids[at])
                 found[1].append(vids[which])
-                found[2].append(cosines[at, which])
+                found[2].append(near)
         columns = [np.concatenate(f) if f else np.zeros(0, t)
                    for f, t in zip(found, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table(dict(zip(("qid", "vid", "near"), columns, strict=True)))
     return join
 
 
+def _dealt(own: DataFrame, key: str, parts: int, others: int, mine: str, other: str) -> DataFrame:
+    """Each row in one of its side's parts, once for every part of the other side."""
+    return own.withColumn(mine, F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+
 def _dot(one: Column, two: Column) -> Column:
     return F.aggregate(F.zip_with(one, two, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
@@ -225,14 +303,14 @@ def _sample(folded: DataFrame, rows: int) -> np.ndarray:
 
 
 def nearest(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
-            vector: str = "embedding", trees: int = TREES, visit: float = VISIT,
+            vector: str = "embedding", trees: int = TREES, visit: float | None = None,
             sample_rows: int = SAMPLE_ROWS, leaf_sample: int = LEAF_SAMPLE,
-            seed: int = SEED) -> DataFrame:
+            seed: int = SEED, part_bytes: int = PART_BYTES) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest others of every row for which ``queries``
     (a condition on the id, here named id) holds.
 
     ``visit`` is the share of all rows that the leaves opened for a query hold, summed over
-    the trees: what recall asks depends on the data, not on its size.
+    the trees; without it, it is measured on the sample.
     """
     spark = rows.sparkSession
     valid = usable(rows, key, vector)
@@ -245,12 +323,24 @@ def nearest(rows: DataFrame, queries: Column, k: int = 5, key: str = "vec_id",
     asked = written(valid.filter(queries).distinct().join(
         folded.select("vid", "vector"), "vector").select("id", F.col("vid").alias("qid"),
                                                          "vector"), "queries")
+    share = share_to_visit(forest, sample, k) if visit is None else visit
+    # The walk of a query is long and its row short: tasks by number of queries, not by size.
+    walks = asked.select("qid", "vector").distinct().repartition(max(1, min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), -(-asked.count() // WALKS))), "qid")
     indexed = folded.select("vid", "vector").mapInArrow(
         _index(forest), "tree int, leaf int, vid long, unit binary")
-    opened = asked.select("qid", "vector").distinct().mapInArrow(
-        _open(forest, visit), "tree int, leaf int, qid long, unit binary")
+    opened = walks.mapInArrow(
+        _open(forest, share), "tree int, leaf int, qid long, unit binary")
     error = rounding(sample.shape[1])
-    found = indexed.groupBy("tree", "leaf").cogroup(opened.groupBy("tree", "leaf")).applyInArrow(
+    # A leaf holds about its share of the vectors, and about visit / trees of all queries open it.
+    largest = max(max(shares) for shares in forest.shares)
+    in_part = max(1, part_bytes // (4 * sample.shape[1]))
+    row_parts = math.ceil(folded.count() * largest / in_part) or 1
+    query_parts = math.ceil(asked.count() * min(1.0, share / trees) / in_part) or 1
+    group = ["tree", "leaf", "_row_part", "_query_part"]
+    found = _dealt(indexed, "vid", row_parts, query_parts, "_row_part", "_query_part").groupBy(
+        *group).cogroup(_dealt(opened, "qid", query_parts, row_parts, "_query_part", "_row_part"
+                               ).groupBy(*group)).applyInArrow(
         _nearest(k + 1, error), "qid long, vid long, near double")
     # Rounding in the leaves must not push out one of the nearest: all within its error of the
     # last place are ranked again.
