@@ -120,13 +120,19 @@ def links_of(distinct: DataFrame) -> DataFrame:
     ``distinct`` has each fingerprint once, as _print. A pair with equal vectors is taken
     at its own point, one a step apart at the point of its smaller fingerprint, and one
     two steps apart at each point between (two at most).
+
+    Fingerprints are few bytes and their points many rows, so they are spread by number
+    first. The join's condition holds no part on one side alone: both sides are then the
+    same exchange, which is made once.
     """
-    points = distinct.select(
+    spread = distinct.repartition(
+        int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_print")
+    points = spread.select(
         "_print", F.explode(_points(bit_counts(F.col("_print")))).alias("_point"))
     one, two = points.alias("one"), points.alias("two")
     a, b, point = F.col("one._print"), F.col("two._print"), F.col("one._point")
     own = bit_counts(a) == point
-    between = ~own & (bit_counts(b) != point) & (bit_counts(a) != bit_counts(b))
+    between = (bit_counts(b) != point) & (bit_counts(a) != bit_counts(b))
     return one.join(two, (point == F.col("two._point")) & (a < b) & (own | between) & (
         F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)).select(
         a.alias("node"), b.alias("other")).distinct()
