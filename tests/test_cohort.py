@@ -131,3 +131,16 @@ def test_percentiles_of_repeated_values(spark):
     for p in (0, 30, 50, 100):
         assert found["a"][f"p{p}"] == pytest.approx(np.percentile(values, p))
         assert found["b"][f"p{p}"] == 7.0 and found["c"][f"p{p}"] is None
+
+
+def test_random_rows_are_the_first_by_place(spark):
+    df = spark.range(3000).withColumn("v", F.col("id") * 2)
+    places = sorted((r.p, r.id) for r in df.select("id", F.xxhash64("id", F.lit(5)).alias("p")).collect())
+    for n in (0, 1, 100, 2999, 3000, 5000):
+        found = cohort.random_rows(df, n, 5, "id").collect()
+        assert sorted(r.id for r in found) == sorted(i for _, i in places[:n])
+        assert all(r.v == 2 * r.id for r in found)
+        assert cohort.random_rows(df, n, 5).select("id").distinct().count() == min(n, 3000)
+    assert cohort.random_rows(df.limit(0), 4, 5, "id").count() == 0
+    same = spark.range(500).withColumn("k", F.lit(1))
+    assert cohort.random_rows(same, 7, 5, "k").count() == 7

@@ -31,11 +31,23 @@ SEARCH_QUERY = r"index.php\?search"
 SCRIPT_PATH = r"^/w/"
 OK_STATUS = "200"
 
+PROJECTS = [
+    "wikipedia",
+    "wiktionary",
+    "wikibooks",
+    "wikinews",
+    "wikiquote",
+    "wikisource",
+    "wikiversity",
+    "wikivoyage",
+    "wikimedia",
+    "wikidata",
+]
+
 # Language label in front of the project, an optional mobile marker between.
 VARIANT_HOST = (
     r"(www\.)?(((?:(?!m\.|zero\.|wap\.|mobile\.)[^.])*)\.)?((m|zero|wap|mobile)\.)?"
-    r"(wikipedia|wiktionary|wikibooks|wikinews|wikiquote|wikisource|wikiversity"
-    r"|wikivoyage|wikimedia|wikidata)\.org(:80)?"
+    rf"({'|'.join(PROJECTS)})\.org(:80)?"
 )
 MOBILE_MARKERS = ["m", "zero", "wap", "mobile"]
 TITLE_IN_PATH = r"^/[^/]*/(.*)"

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import ratio
 from tidemark.operators.ordered import rank_rows, running_totals
+from tidemark.session import written
 
 # Feature names of the survival data, with the activity columns they come from.
 HORIZON_FEATURES = {
@@ -65,18 +67,28 @@ def survival_dataset(activity: DataFrame, horizon: date, start: date, end: date)
 
 
 def random_rows(df: DataFrame, n: int, seed: int, key: str | None = None) -> DataFrame:
-    """n random rows; with a key, the same rows on every run."""
-    order = F.rand(seed) if key is None else F.xxhash64(F.col(key), F.lit(seed))
-    placed = df.withColumn("_place", order)
+    """n random rows, all if there are fewer; with a key, the same rows on every run.
+
+    Every row has a random place. Places are counted in buckets of equal width, some 65,000
+    however many rows there are. Buckets below the one that holds the n-th place are taken
+    whole, and only that one is ordered. Without a key the places are written, since they
+    would not be the same when read again.
+    """
     if key is None:
-        return placed.orderBy("_place").limit(n).drop("_place")
-    # Only rows below a bound that leaves about twice as many as wanted are ordered; if
-    # chance leaves too few, all are.
-    rows = df.count()
-    bound = int(min(1.0, (2 * n + 100) / max(1, rows)) * float(1 << 64)) - (1 << 63)
-    below = placed.where(F.col("_place") < bound) if bound < (1 << 63) - 1 else placed
-    chosen = below if below.count() >= min(n, rows) else placed
-    return chosen.orderBy("_place").limit(n).drop("_place")
+        placed = written(df.withColumn("_place", (F.rand(seed) * float(1 << 62)).cast("long")), "placed")
+        bucket, order = F.shiftright("_place", 46), ["_place"]
+    else:
+        placed = df.withColumn("_place", F.xxhash64(F.col(key), F.lit(seed)))
+        bucket, order = F.shiftright("_place", 48), ["_place", key]
+    counts = placed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
+    upto = F.sum("_rows").over(W.orderBy("_bucket"))
+    cut = counts.withColumn("_upto", upto).where(F.col("_upto") >= n).orderBy("_bucket").select(
+        "_bucket", F.col("_upto") - F.col("_rows")).first()
+    if cut is None:
+        return placed.drop("_place")
+    last, before = cut
+    rest = placed.where(bucket == last).orderBy(*order).limit(n - before)
+    return placed.where(bucket < last).unionByName(rest).drop("_place")
 
 
 def career_profile(activity: DataFrame, more_than: int = 5, extended: bool = False) -> DataFrame:

@@ -29,20 +29,22 @@ def checked(name, sql=None, views=("requests",)):
     return register
 
 
+def sql_list(values):
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
 # Host rules spelled out with string functions: the check engine's regular
 # expressions have no look-ahead.
-PROJECT_NAMES = ("('wikipedia', 'wiktionary', 'wikibooks', 'wikinews', 'wikiquote', 'wikisource', "
-                 "'wikiversity', 'wikivoyage', 'wikimedia', 'wikidata')")
 HOST_PARTS = f"""
 labelled AS (SELECT *, string_split(uri_host, '.') AS labels FROM requests),
 hosted AS (SELECT *,
   CASE WHEN len(labels) >= 2 THEN labels[len(labels) - 1] END AS project,
-  CASE WHEN len(labels) >= 4 AND labels[len(labels) - 2] IN ('m', 'zero', 'wap', 'mobile')
+  CASE WHEN len(labels) >= 4 AND labels[len(labels) - 2] IN {sql_list(fixed.MOBILE_MARKERS)}
        THEN labels[len(labels) - 3] WHEN len(labels) >= 3 THEN labels[len(labels) - 2]
        ELSE '' END AS language_label
   FROM labelled),
 named AS (SELECT *,
-  CASE WHEN project NOT IN {PROJECT_NAMES} THEN ''
+  CASE WHEN project NOT IN {sql_list(fixed.PROJECTS)} THEN ''
        WHEN language_label = 'www' OR regexp_matches(language_label, '(m|zero|wap|mobile)$') THEN ''
        ELSE language_label END AS variant,
   regexp_extract(url_decode(uri_path), '^/[^/]*/(.*)', 1) AS page_title
@@ -58,17 +60,17 @@ daily AS (SELECT project, variant, page_title, country, year, month, day,
   CAST(64 * count(*) AS BIGINT) AS n
   FROM named WHERE {READERS} GROUP BY ALL)
 """
-PAGEVIEW_RULES = r"""
-content_type IN ('text/html; charset=iso-8859-1', 'text/html; charset=ISO-8859-1', 'text/html',
-  'text/html; charset=utf-8', 'text/html; charset=UTF-8', 'application/json; charset=utf-8')
-AND http_status = '200'
-AND regexp_matches(uri_host, '((commons|meta|species)\.((m|mobile|wap|zero)\.)?wikimedia\.)|(wik(tionary|isource|ibooks|ivoyage|iversity|iquote|inews|ipedia|idata)\.)')
-AND (NOT regexp_matches(uri_path, 'api.php')
-     OR (regexp_matches(user_agent, 'WikipediaApp') AND regexp_matches(uri_host || uri_path || uri_query, 'sections=0')))
-AND regexp_matches(uri_path || uri_query, '(/zh(-(tw|cn|hant|mo|my|hans|hk|sg))?/|/sr(-(ec|el))?/|/wiki(/|\?(cur|old)id=)|/w/|/\?title=)')
-AND NOT regexp_matches(user_agent, '^MediaWiki/1\.')
-AND NOT regexp_matches(uri_path, 'Special:')
-AND NOT regexp_matches(uri_path || uri_query, 'index.php\?search')
+PAGEVIEW_RULES = f"""
+content_type IN {sql_list(fixed.PAGE_CONTENT_TYPES)}
+AND http_status = '{fixed.OK_STATUS}'
+AND regexp_matches(uri_host, '{fixed.PRODUCTION_HOST}')
+AND (NOT regexp_matches(uri_path, '{fixed.API_PATH}')
+     OR (regexp_matches(user_agent, '{fixed.APP_AGENT}')
+         AND regexp_matches(uri_host || uri_path || uri_query, '{fixed.APP_PAGE_QUERY}')))
+AND regexp_matches(uri_path || uri_query, '{fixed.CONTENT_PATH}')
+AND NOT regexp_matches(user_agent, '{fixed.INTERNAL_AGENT}')
+AND NOT regexp_matches(uri_path, '{fixed.SPECIAL_PAGE}')
+AND NOT regexp_matches(uri_path || uri_query, '{fixed.SEARCH_QUERY}')
 """
 
 
