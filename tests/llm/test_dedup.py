@@ -56,6 +56,23 @@ def test_frequent_digests_are_found_and_few(spark):
                    == (max(ids), len(ids), i == max(ids)) for i in ids)
 
 
+def test_frequent_copies_with_equal_or_no_ids(spark):
+    rows = ([(9, "same", n) for n in range(300)] + [(3, "same", 0)] * 50 + [(None, "none", 0)] * 200
+            + [(n, f"t{n}", n) for n in range(100)] + [(7, "full", 1)] * 150)
+    random.Random(6).shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(5)
+    out = exact_dedup.exact_duplicates(docs, share=0.1)
+    got = out.groupBy("text").agg(F.count("*").alias("n"), F.sum(F.col("kept").cast("int")).alias("stay"),
+                                  F.min("group_size").alias("low"), F.max("group_size").alias("high"),
+                                  F.max(F.when(F.col("kept"), F.col("doc_id"))).alias("id"))
+    sizes = {"same": 350, "none": 200, "full": 150}
+    for r in got.collect():
+        size = sizes.get(r.text, 1)
+        wanted = {"same": 9, "none": None, "full": 7}.get(r.text, int(r.text[1:]) if size == 1 else None)
+        assert (r.n, r.stay, r.low, r.high, r.id) == (size, 1, size, size, wanted)
+    assert rows_of(out, "doc_id", "text", "extra") == sorted(rows, key=repr)
+
+
 def test_misra_gries_undercounts_within_its_bound():
     random.seed(4)
     data = ["a"] * 300 + ["b"] * 200 + [str(n) for n in range(1000)]

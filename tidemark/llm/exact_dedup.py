@@ -3,8 +3,9 @@
 A digest that many rows share would land in one task of a shuffle. Each task therefore
 keeps a Misra-Gries summary of its digests; summed, the summaries name every digest of at
 least ``share`` of the rows, and at most 2 / share digests in all. These are verified by a
-partial count, and the verified winners are broadcast: the losing copies are settled where
-they are read. What remains is shuffled, and no digest of it is frequent.
+partial count, and the verified winners are broadcast: all copies of frequent texts are
+settled where they are read, also rows that tie for the place that stays. What remains is
+shuffled, and no digest of it is frequent.
 
 Defined cases: a null text is empty. Texts are equal if their SHA-256 is. Of equal texts
 the largest doc_id stays, a null id only if there is no other; of repeated rows with that
@@ -17,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -70,7 +71,7 @@ def frequent_digests(light: DataFrame, digest: str, share: float = SHARE) -> Dat
         F.col("digest").alias(digest))
 
 
-@apart("_id", "_winner", "_size")
+@apart("_id", "_winner", "_size", "_place", "_first", "_metadata")
 def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
                      share: float = SHARE) -> DataFrame:
     """Every row with text_sha256, keep_id, group_size and kept added (replacing such columns)."""
@@ -83,18 +84,27 @@ def exact_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id",
         "text_sha256").agg(F.max("_id").alias("_winner"), F.count(F.lit(1)).alias("_size")),
         "winners")
     split = tagged.join(F.broadcast(winners), "text_sha256", "left")
-    loses = F.col("_winner").isNotNull() & (
-        F.col(key).isNull() | (F.col(key) < F.col("_winner")))
-    settled = split.filter(loses).select(
-        *base.columns, "text_sha256", F.col("_winner").alias("keep_id"),
-        F.col("_size").alias("group_size"), F.lit(False).alias("kept"))
+    frequent = F.col("_size").isNotNull()
+    wins = F.col(key).eqNullSafe(F.col("_winner"))
+
+    def settled(rows: DataFrame, kept: Column) -> DataFrame:
+        return rows.select(*base.columns, "text_sha256", F.col("_winner").alias("keep_id"),
+                           F.col("_size").alias("group_size"), kept.alias("kept"))
+
+    losers = settled(split.filter(frequent & ~wins), F.lit(False))
+    # Rows that repeat a winning id, or a group without ids, can be as many as the group. Once
+    # written they have places, and the first place of each group stays: a partial minimum.
+    tied = written(split.filter(frequent & wins), "tied").withColumn(
+        "_place", F.struct("_metadata.file_path", "_metadata.row_index"))
+    first = tied.groupBy("text_sha256").agg(F.min("_place").alias("_first"))
+    # As many rows as there are winners.
+    firsts = settled(tied.join(F.broadcast(first), "text_sha256"), F.col("_place") == F.col("_first"))
     group = W.partitionBy("text_sha256")
-    rest = split.filter(~loses).select(
-        *base.columns, "text_sha256",
-        F.coalesce("_winner", F.max(key).over(group)).alias("keep_id"),
-        F.coalesce("_size", F.count(F.lit(1)).over(group)).alias("group_size"),
+    rest = split.filter(~frequent).select(
+        *base.columns, "text_sha256", F.max(key).over(group).alias("keep_id"),
+        F.count(F.lit(1)).over(group).alias("group_size"),
         (F.row_number().over(group.orderBy(F.col(key).desc_nulls_last())) == 1).alias("kept"))
-    return rest.unionByName(settled)
+    return rest.unionByName(losers).unionByName(firsts)
 
 
 @apart("text_sha256", "keep_id", "group_size", "kept")
