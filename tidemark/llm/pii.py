@@ -4,6 +4,8 @@ Native: column expressions only, no shuffle. Numbers and dates that are valid in
 format are permuted within it, by eight keyed rounds over the two halves of their value:
 the same value has the same pseudonym in every document, two values never share one, and
 with the key the step can be undone. Separators and everything around stay as they are.
+Each format has a subkey derived from the key. The subkeys are literals of the plan, so who
+may read plans and event logs can undo pseudonyms, but learns nothing of the key.
 
 Formats: payment cards (13 to 19 digits, joined or in groups, that pass the Luhn check; the
 pseudonym passes it as well; a card may begin and end at any group of a longer row of digits,
@@ -22,6 +24,9 @@ gives an empty one.
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +56,7 @@ AHEAD = f"{GROUP}(?:[ -](?!{MAIL}|{NUMBERS}){GROUP}){{0,18}}"
 ANY = (rf"{MAIL}|(?=[0-9(+])(?:{NUMBERS}|(?<![0-9]|[0-9]\.)"
        rf"(?:(?=[0-9](?:[ -]?[0-9]){{12}})|(?<=[0-9][ -]))(?=({AHEAD})){GROUP})")
 KINDS = ("cards", "phones", "social", "addresses", "dates", "emails")
+BEGINS, INSIDE = 1, 2
 INNER = ("_found", "_sized", "_cards", "_finds", "_pieces")
 ADDED = ("pseudonymised", *(f"n_{kind}" for kind in KINDS))
 
@@ -59,24 +65,30 @@ def _whole(form: str) -> str:
     return f"^(?:{form})$"
 
 
-def _keyed(key: str, tag: str, turn: Column, value: Column) -> Column:
+def subkey(key: str, tag: str) -> str:
+    """The key of one format. Plans, and so event logs, hold subkeys and never the key."""
+    return hmac.new(key.encode(), tag.encode(), hashlib.sha256).hexdigest()
+
+
+def _keyed(sub: str, turn: Column, value: Column) -> Column:
     """60 bits of a keyed digest, as a long."""
-    named = F.concat_ws(":", F.lit(key), F.lit(tag), turn.cast("string"), value.cast("string"))
-    outer = F.sha2(F.concat(F.lit(f"{key}|"), F.sha2(named, 256)), 256)
+    named = F.concat_ws(":", F.lit(sub), turn.cast("string"), value.cast("string"))
+    outer = F.sha2(F.concat(F.lit(f"{sub}|"), F.sha2(named, 256)), 256)
     return F.conv(F.substring(outer, 1, 15), 16, 10).cast("long")
 
 
 def permuted(value: Column, low_size: int, high_size: int, key: str, tag: str) -> Column:
     """A permutation of 0 .. low_size * high_size - 1, the two halves moved in turn."""
+    sub = subkey(key, tag)
     start = F.struct(F.floor(value / F.lit(low_size)).cast("long").alias("high"),
                      (value % low_size).cast("long").alias("low"))
 
     def turn(halves: Column, n: Column) -> Column:
         odd = n % 2 == 1
-        high = F.when(odd, (halves["high"] + _keyed(key, tag, n, halves["low"]) % high_size)
+        high = F.when(odd, (halves["high"] + _keyed(sub, n, halves["low"]) % high_size)
                       % high_size).otherwise(halves["high"])
         low = F.when(odd, halves["low"]).otherwise(
-            (halves["low"] + _keyed(key, tag, n, halves["high"]) % low_size) % low_size)
+            (halves["low"] + _keyed(sub, n, halves["high"]) % low_size) % low_size)
         return F.struct(high.alias("high"), low.alias("low"))
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, turn,
@@ -190,7 +202,7 @@ def _date(found: Column, key: str) -> Column:
 
 def _email(found: Column, key: str) -> Column:
     name, domain = F.substring_index(found, "@", 1), F.substring_index(found, "@", -1)
-    digest = F.sha2(F.concat(F.lit(f"{key}|email|"), F.lower(found)), 256)
+    digest = F.sha2(F.concat(F.lit(f"{subkey(key, 'email')}|"), F.lower(found)), 256)
     letters = F.translate(F.substring(digest, 1, 12), "0123456789", "ghijklmnop")
     return F.when(name != "", F.concat(letters, F.lit("@"), domain))
 
@@ -237,27 +249,25 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.when(f["ahead"] != "", _card_groups(f["ahead"])).alias("groups")))
 
     def take(state: Column, f: Column) -> Column:
-        """Cards from the left, none begun inside another."""
-        last = f["at"] + f["groups"] - 1
-        new = f["groups"].isNotNull() & (f["at"] > state["last"])
+        """Marks of the finds from the left: a card begins here, goes on here, or neither."""
+        inside = f["at"] <= state["last"]
+        begins = f["groups"].isNotNull() & ~inside
+        mark = F.when(begins, BEGINS).when(inside, INSIDE).otherwise(0)
         return F.struct(
-            F.when(new, last).otherwise(state["last"]).alias("last"),
-            F.when(new, F.concat(state["cards"], F.array(F.struct(
-                f["at"].alias("first"), last.alias("last"))))).otherwise(state["cards"]).alias("cards"))
+            F.when(begins, f["at"] + f["groups"] - 1).otherwise(state["last"]).alias("last"),
+            F.concat(state["marks"], F.array(mark)).alias("marks"))
 
-    none = F.struct(F.lit(-1).alias("last"),
-                    F.array().cast("array<struct<first: int, last: int>>").alias("cards"))
-    cards = F.aggregate("_sized", none, take, lambda state: state["cards"])
+    none = F.struct(F.lit(-1).alias("last"), F.array().cast("array<int>").alias("marks"))
+    marks = F.aggregate("_sized", none, take, lambda state: state["marks"])
 
-    def told(f: Column) -> Column:
-        begins = F.exists("_cards", lambda c: c["first"] == f["at"])
-        inside = F.exists("_cards", lambda c: (c["first"] < f["at"]) & (f["at"] <= c["last"]))
+    def told(f: Column, mark: Column) -> Column:
+        begins = mark == BEGINS
         kind = F.when(begins, "cards").when(f["ahead"] == "", kind_of(f["text"]))
-        return F.struct(kind.alias("kind"), inside.alias("inside"), F.when(
+        return F.struct(kind.alias("kind"), (mark == INSIDE).alias("inside"), F.when(
             begins, _first(f["ahead"], f["groups"])).otherwise(f["text"]).alias("text"))
 
     cut = base.withColumn("_found", found).withColumn("_sized", sized).withColumn(
-        "_cards", cards).withColumn("_finds", F.transform("_sized", told)).withColumn(
+        "_cards", marks).withColumn("_finds", F.zip_with("_sized", "_cards", told)).withColumn(
         "_pieces", F.split(F.col(text), ANY, -1))
     # A card's later groups went with its first one, and so did what stands before them.
     replaced = F.transform("_finds", lambda f: F.struct(
