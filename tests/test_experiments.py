@@ -138,7 +138,10 @@ def normal_row(n, mean, sd):
 
 def test_normal_draws_have_posterior_moments():
     row = normal_row(400, 4.0, 0.9)
-    mu, variance = draws.normal_draws(draws.generator(1, "k"), row, "a", 40_000)
+    columns = {name: np.array([value, value], float) for name, value in row.items()}
+    both = draws.normal_draws([draws.generator(1, key) for key in "jk"], columns, "a", 40_000)
+    assert all(drawn.shape == (2, 40_000) and (drawn[0] != drawn[1]).all() for drawn in both)
+    mu, variance = (drawn[1] for drawn in both)
     assert mu.mean() == pytest.approx(4.0, abs=4 * 0.045 / 200)
     assert variance.mean() == pytest.approx(row["a_v_n_s_sq_n"] / (row["a_v_n"] - 2), rel=0.01)
 
@@ -148,12 +151,30 @@ def test_streams_depend_on_the_key_only(spark):
         [(f"e{i}", v, 30 + i, 70) for i in range(12) for v in "AB"],
         "experiment STRING, variant STRING, successes LONG, failures LONG"))
     paired = ex.pair_variants(df)
-    one = draws.compare(paired.repartition(1), draws.rate_draws, draws=500).collect()
-    many = draws.compare(paired.repartition(6), draws.rate_draws, draws=500).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for parts in ("1", "6"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spread = draws.compare(paired, draws.rate_draws, draws=500)
+        # Not merged for being small: each row is dear.
+        assert spread.rdd.getNumPartitions() == int(parts)
+        found.append(spread.collect())
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    one, many = found
     assert sorted(map(tuple, one)) == sorted(map(tuple, many))
     assert len({r.p_a_better for r in one}) > 1
 
 
+def test_blocks_of_rows_draw_as_single_rows_do(spark):
+    paired = spark.createDataFrame([(f"e{i}", 30.0 + i, 70.0, 40.0, 60.0) for i in range(5)],
+                                   "experiment STRING, a_alpha DOUBLE, a_beta DOUBLE, b_alpha DOUBLE, b_beta DOUBLE")
+    size = draws.MATRIX // 2  # two rows a block
+    whole = draws.compare(paired, draws.rate_draws, draws=size).orderBy("experiment").collect()
+    alone = draws.compare(paired.where("experiment = 'e3'"), draws.rate_draws, draws=size).first()
+    assert [r.experiment for r in whole] == [f"e{i}" for i in range(5)] and whole[3] == alone
+    assert draws.compare(paired.limit(0), draws.rate_draws).count() == 0
+
+
 def exact_beta_greater(a1, b1, a2, b2):
     """P(X > Y) for Beta(a1, b1), Beta(a2, b2) with whole a1."""
     lb = lambda a, b: math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)

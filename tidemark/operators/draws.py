@@ -1,8 +1,9 @@
 """Posterior draws: small sampling helpers inside Spark tasks.
 
-Each input row holds the sums of one experiment (or one checkpoint of it), so a
-task samples for the rows of its partition and no records travel to Python. The
-random stream of a row depends on the seed and the row's key alone: results do not
+Each input row holds the sums of one experiment (or one checkpoint of it), and no
+records travel to Python. Rows are spread by their keys over all shuffle partitions; a
+task draws for a bounded block of them at once, as one matrix with a row of draws each.
+The random stream of a row depends on the seed and the row's key alone: results do not
 change with the partitioning or when a task is run again.
 """
 
@@ -32,84 +33,130 @@ def generator(seed: int, *key) -> np.random.Generator:
     return np.random.default_rng([seed, int.from_bytes(digest, "big")])
 
 
-def compared(a: np.ndarray, b: np.ndarray, conf: float = 90.0) -> tuple[float, ...]:
-    """Means, P(A > B), expected cost of each choice, interval of B's lift over A in percent."""
+def compared(a: np.ndarray, b: np.ndarray, conf: float = 90.0) -> tuple[np.ndarray, ...]:
+    """Means, P(A > B), expected cost of each choice, interval of B's lift over A in percent.
+
+    The last axis counts the draws; the results have the axes before it.
+    """
     tail = (100.0 - conf) / 2.0
     with np.errstate(divide="ignore", invalid="ignore"):
         lift = (b - a) / a * 100.0
-    low, high = np.percentile(lift, [tail, 100.0 - tail])
-    return (float(a.mean()), float(b.mean()), float((a > b).mean()),
-            float(np.maximum(b - a, 0.0).mean()), float(np.maximum(a - b, 0.0).mean()),
-            float(low), float(high))
+    low, high = np.percentile(lift, [tail, 100.0 - tail], axis=-1)
+    return (a.mean(-1), b.mean(-1), (a > b).mean(-1), np.maximum(b - a, 0.0).mean(-1),
+            np.maximum(a - b, 0.0).mean(-1), low, high)
+
+
+# Samplers: from the random streams and posterior parameters of a block of rows to one row of
+# draws each. ``rows`` maps column names to arrays.
+
+def _sampled(streams: Sequence[np.random.Generator], method: str, size: int, *parameters) -> np.ndarray:
+    """One row of draws for each stream, by the named method with the row's own parameters."""
+    return np.stack([getattr(rng, method)(*row, size)
+                     for rng, *row in zip(streams, *parameters, strict=True)])
 
 
-def normal_draws(rng: np.random.Generator, row: dict, side: str, size: int):
-    """Means and variances from the posterior parameters of a row."""
-    variance = row[f"{side}_v_n_s_sq_n"] / 2.0 / rng.standard_gamma(row[f"{side}_v_n"] / 2.0, size)
-    mean = rng.normal(row[f"{side}_m_n"], np.sqrt(variance / row[f"{side}_k_n"]))
-    return mean, variance
+def normal_draws(streams, rows: dict, side: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and variances from the posterior parameters of the rows."""
+    gamma = _sampled(streams, "standard_gamma", size, rows[f"{side}_v_n"] / 2.0)
+    variance = (rows[f"{side}_v_n_s_sq_n"] / 2.0)[:, None] / gamma
+    deviation = np.sqrt(variance / rows[f"{side}_k_n"][:, None])
+    return rows[f"{side}_m_n"][:, None] + deviation * _sampled(streams, "standard_normal", size), variance
 
 
-def lognormal_mean_draws(rng, row, side, size):
-    """Means of a log-normal whose log has the row's posterior."""
-    mean, variance = normal_draws(rng, row, side, size)
+def lognormal_mean_draws(streams, rows, side, size):
+    """Means of a log-normal whose log has the rows' posterior."""
+    mean, variance = normal_draws(streams, rows, side, size)
     return np.exp(mean + variance / 2.0)
 
 
-def hurdle_mean_draws(rng, row, side, size):
+def hurdle_mean_draws(streams, rows, side, size):
     """Means over all rows when only some are positive."""
-    positive, n = row[f"{side}_positive"], row[f"{side}_n"]
-    rate = rng.beta(positive + 1.0, n - positive + 1.0, size)
-    return rate * lognormal_mean_draws(rng, row, side, size)
+    positive, n = rows[f"{side}_positive"], rows[f"{side}_n"]
+    rate = _sampled(streams, "beta", size, positive + 1.0, n - positive + 1.0)
+    return rate * lognormal_mean_draws(streams, rows, side, size)
 
 
-def rate_draws(rng, row, side, size):
-    """Conversion rates from the Beta parameters of a row."""
-    return rng.beta(row[f"{side}_alpha"], row[f"{side}_beta"], size)
+def rate_draws(streams, rows, side, size):
+    """Conversion rates from the Beta parameters of the rows."""
+    return _sampled(streams, "beta", size, rows[f"{side}_alpha"], rows[f"{side}_beta"])
 
 
 def sampled_rate_draws(rate: float) -> Callable:
     """Conversion rates when failures were logged at a rate: the unlogged ones vary too."""
-    def draw(rng, row, side, size):
-        successes, seen = row[f"{side}_successes"], row[f"{side}_observed_failures"]
-        unseen = rng.negative_binomial(seen, rate, size) if seen > 0 else np.zeros(size)
-        return rng.beta(1.0 + successes, 1.0 + seen + unseen)
+    def draw(streams, rows, side, size):
+        successes, seen = rows[f"{side}_successes"], rows[f"{side}_observed_failures"]
+        unseen = np.stack([rng.negative_binomial(n, rate, size) if n > 0 else np.zeros(size)
+                           for rng, n in zip(streams, seen, strict=True)])
+        failures = 1.0 + seen[:, None] + unseen
+        return _sampled(streams, "beta", size, 1.0 + successes, failures)
     return draw
 
 
-def _per_row(df: DataFrame, keys: Sequence[str], added: str, work: Callable) -> DataFrame:
-    """Adds columns that ``work(key, row)`` computes from one row."""
-    schema = T.StructType(df.schema.fields + T._parse_datatype_string(added).fields)
-    names = [f.name for f in T._parse_datatype_string(added).fields]
+# Numbers in one matrix of draws: it bounds the rows that are drawn for at once.
+MATRIX = 1 << 21
+
+
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows dealt by their keys over all shuffle partitions.
+
+    The rows are few and small but each costs thousands of draws, so partitions must not be
+    merged because of their size: their number is given. A hash of the keys, because an
+    exchange on the keys themselves is left out after a grouping by them, whose own is merged.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")),
+                          F.xxhash64(*keys))
+
+
+def _blocks(batches: Iterator[pd.DataFrame], keys: Sequence[str], numbers: Sequence[str], size: int
+            ) -> Iterator[tuple[pd.DataFrame, list, dict]]:
+    """Bounded blocks of rows with their keys and number columns."""
+    at_once = max(1, MATRIX // size)
+    for batch in batches:
+        for begin in range(0, len(batch), at_once):
+            block = batch.iloc[begin:begin + at_once].reset_index(drop=True)
+            named = list(zip(*(block[k].tolist() for k in keys), strict=True))
+            yield block, named, {c: block[c].to_numpy(np.float64, na_value=np.nan) for c in numbers}
+
+
+def _numbers(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    return [f.name for f in df.schema.fields
+            if isinstance(f.dataType, T.NumericType) and f.name not in keys]
+
+
+def _with_results(df: DataFrame, keys: Sequence[str], added: str, work: Callable, size: int) -> DataFrame:
+    """Adds columns that ``work(keys, columns)`` computes for a block of rows at once."""
+    results = T._parse_datatype_string(added).fields
+    schema = T.StructType(df.schema.fields + results)
+    numbers = _numbers(df, keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = batch.to_dict("records")
-            values = [work([row[k] for k in keys], row) for row in rows]
-            yield pd.concat([batch.reset_index(drop=True),
-                             pd.DataFrame(values, columns=names)], axis=1)
+        for block, named, columns in _blocks(batches, keys, numbers, size):
+            values = work(named, columns)
+            yield block.assign(**{f.name: v for f, v in zip(results, values, strict=True)})
+
+    return _spread(df, keys).mapInPandas(run, schema)
 
-    return df.mapInPandas(run, schema)
+
+def _streams(seed: int, named: list, *suffix: str) -> list[np.random.Generator]:
+    return [generator(seed, *key, *suffix) for key in named]
 
 
 def compare(paired: DataFrame, draw: Callable, keys: Sequence[str] = ("experiment",),
             draws: int = DRAWS, seed: int = 0, conf: float = 90.0) -> DataFrame:
     """Compares two variants by draws of a quantity; see :func:`compared`."""
-    def work(key, row):
-        a = draw(generator(seed, *key, "a"), row, "a", draws)
-        b = draw(generator(seed, *key, "b"), row, "b", draws)
-        return compared(a, b, conf)
-    return _per_row(paired, keys, COMPARED, work)
+    def work(named, rows):
+        return compared(*(draw(_streams(seed, named, side), rows, side, draws) for side in "ab"), conf)
+    return _with_results(paired, keys, COMPARED, work, draws)
 
 
 def compare_normal(paired: DataFrame, keys: Sequence[str] = ("experiment",), draws: int = DRAWS,
                    seed: int = 0) -> DataFrame:
     """P(mean of A is greater) and P(variance of A is greater)."""
-    def work(key, row):
-        mean_a, var_a = normal_draws(generator(seed, *key, "a"), row, "a", draws)
-        mean_b, var_b = normal_draws(generator(seed, *key, "b"), row, "b", draws)
-        return float((mean_a > mean_b).mean()), float((var_a > var_b).mean())
-    return _per_row(paired, keys, "p_mean_a_greater double, p_variance_a_greater double", work)
+    def work(named, rows):
+        mean_a, var_a = normal_draws(_streams(seed, named, "a"), rows, "a", draws)
+        mean_b, var_b = normal_draws(_streams(seed, named, "b"), rows, "b", draws)
+        return (mean_a > mean_b).mean(-1), (var_a > var_b).mean(-1)
+    return _with_results(paired, keys, "p_mean_a_greater double, p_variance_a_greater double", work, draws)
 
 
 def posterior_draws(posterior: DataFrame, keys: Sequence[str], draws: int = DRAWS,
@@ -118,40 +165,39 @@ def posterior_draws(posterior: DataFrame, keys: Sequence[str], draws: int = DRAW
     fields = [posterior.schema[k] for k in keys]
     schema = T.StructType([*fields, T.StructField("draw", T.IntegerType()),
                            T.StructField("mu", T.DoubleType()), T.StructField("sigma_sq", T.DoubleType())])
+    numbers = _numbers(posterior, keys)
 
     def run(batches):
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                key = [row[k] for k in keys]
-                named = {f"x_{name}": value for name, value in row.items()}
-                mu, variance = normal_draws(generator(seed, *key), named, "x", draws)
-                out = pd.DataFrame({"draw": np.arange(draws, dtype=np.int32), "mu": mu,
-                                    "sigma_sq": variance})
-                for place, (name, value) in enumerate(zip(keys, key)):
-                    out.insert(place, name, value)
-                yield out
+        for block, named, columns in _blocks(batches, keys, numbers, draws):
+            rows = {f"x_{name}": values for name, values in columns.items()}
+            mu, variance = normal_draws(_streams(seed, named), rows, "x", draws)
+            out = block[list(keys)].loc[block.index.repeat(draws)].reset_index(drop=True)
+            yield out.assign(draw=np.tile(np.arange(draws, dtype=np.int32), len(block)),
+                             mu=mu.ravel(), sigma_sq=variance.ravel())
 
-    return posterior.mapInPandas(run, schema)
+    return _spread(posterior, keys).mapInPandas(run, schema)
 
 
 def rate_interval(counts: DataFrame, keys: Sequence[str], a: float = 5.0, draws: int = DRAWS,
                   seed: int = 0) -> DataFrame:
     """100 - a percent interval of a rate around the observed rate."""
-    def work(key, row):
-        hits, misses = row["successes"], row["failures"]
-        drawn = generator(seed, *key).beta(hits + 1.0, misses + 1.0, draws)
-        low, high = np.percentile(drawn, [a / 2.0, 100.0 - a / 2.0])
-        return float(low), hits / (hits + misses), float(high)
-    return _per_row(counts, keys, "rate_lower double, rate double, rate_upper double", work)
+    def work(named, rows):
+        hits, misses = rows["successes"], rows["failures"]
+        drawn = _sampled(_streams(seed, named), "beta", draws, hits + 1.0, misses + 1.0)
+        low, high = np.percentile(drawn, [a / 2.0, 100.0 - a / 2.0], axis=-1)
+        with np.errstate(invalid="ignore"):
+            return low, hits / (hits + misses), high
+    return _with_results(counts, keys, "rate_lower double, rate double, rate_upper double", work, draws)
 
 
 def rate_quantile(counts: DataFrame, keys: Sequence[str], percentile: float, draws: int = DRAWS,
                   seed: int = 0) -> DataFrame:
     """Mean and one percentile of the posterior of a rate."""
-    def work(key, row):
-        drawn = generator(seed, *key).beta(row["successes"] + 1.0, row["failures"] + 1.0, draws)
-        return float(drawn.mean()), float(np.percentile(drawn, percentile))
-    return _per_row(counts, keys, "drawn_mean double, drawn_quantile double", work)
+    def work(named, rows):
+        drawn = _sampled(_streams(seed, named), "beta", draws, rows["successes"] + 1.0,
+                         rows["failures"] + 1.0)
+        return drawn.mean(-1), np.percentile(drawn, percentile, axis=-1)
+    return _with_results(counts, keys, "drawn_mean double, drawn_quantile double", work, draws)
 
 
 def zero_inflated_lognormal(stats: DataFrame, keys: Sequence[str], sigma_range=(0.1, 1.5),
@@ -163,28 +209,29 @@ def zero_inflated_lognormal(stats: DataFrame, keys: Sequence[str], sigma_range=(
     summed over a grid. ``mu_prior`` is mean and precision.
     """
     sigma = np.linspace(*sigma_range, points)
+    prior_mean, prior_precision = mu_prior
 
-    def work(key, row):
-        positive, zeros = row["positive"], row["n"] - row["positive"]
-        mean, ssd = (row["log_mean"], row["log_ssd"]) if positive else (0.0, 0.0)
-        prior_mean, prior_precision = mu_prior
+    def work(named, rows):
+        some = rows["positive"] > 0
+        mean, ssd = (np.where(some, rows[c], 0.0)[:, None] for c in ("log_mean", "log_ssd"))
+        positive, zeros = rows["positive"][:, None], rows["n"] - rows["positive"]
         precision = positive / sigma ** 2 + prior_precision
         center = (positive * mean / sigma ** 2 + prior_precision * prior_mean) / precision
         spread = positive * prior_precision / (positive + prior_precision * sigma ** 2)
         log_weight = (-positive * np.log(sigma) - ssd / (2 * sigma ** 2) - 0.5 * np.log(precision)
                       - 0.5 * spread * (mean - prior_mean) ** 2)
-        weight = np.exp(log_weight - log_weight.max())
-        weight /= weight.sum()
-        mu_mean, sigma_mean = weight @ center, weight @ sigma
-        mu_var = weight @ (1.0 / precision + center ** 2) - mu_mean ** 2
+        weight = np.exp(log_weight - log_weight.max(-1, keepdims=True))
+        weight /= weight.sum(-1, keepdims=True)
+        mu_mean, sigma_mean = (weight * center).sum(-1), weight @ sigma
+        mu_var = (weight * (1.0 / precision + center ** 2)).sum(-1) - mu_mean ** 2
         sigma_var = weight @ sigma ** 2 - sigma_mean ** 2
-        total = zeros + positive + 2.0
+        total = rows["n"] + 2.0
         p = (zeros + 1.0) / total
-        return (p, np.sqrt(p * (1 - p) / (total + 1)), float(mu_mean), float(np.sqrt(max(mu_var, 0))),
-                float(sigma_mean), float(np.sqrt(max(sigma_var, 0))))
+        return (p, np.sqrt(p * (1 - p) / (total + 1)), mu_mean, np.sqrt(np.maximum(mu_var, 0)),
+                sigma_mean, np.sqrt(np.maximum(sigma_var, 0)))
 
-    return _per_row(stats, keys, "p_zero double, p_zero_sd double, mu double, mu_sd double, "
-                                 "sigma double, sigma_sd double", work)
+    return _with_results(stats, keys, "p_zero double, p_zero_sd double, mu double, mu_sd double, "
+                                      "sigma double, sigma_sd double", work, points)
 
 
 def dirichlet_mean(histogram: DataFrame, keys: Sequence[str], alpha: float = 1.0) -> DataFrame:
@@ -235,7 +282,7 @@ def compare_amounts(histogram: DataFrame, keys: Sequence[str] = ("experiment",),
         if not (sums[a][0] and sums[b][0]):
             return None
         return [*key, sums[a][0], sums[b][0],
-                *compared(sums[a][2] / sums[a][1], sums[b][2] / sums[b][1], conf)]
+                *map(float, compared(sums[a][2] / sums[a][1], sums[b][2] / sums[b][1], conf))]
 
     def empty() -> dict:
         return {name: [0, np.zeros(draws), np.zeros(draws)] for name in (a, b)}
