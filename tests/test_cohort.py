@@ -144,3 +144,18 @@ def test_random_rows_are_the_first_by_place(spark):
     assert cohort.random_rows(df.limit(0), 4, 5, "id").count() == 0
     same = spark.range(500).withColumn("k", F.lit(1))
     assert cohort.random_rows(same, 7, 5, "k").count() == 7
+
+
+def test_converged_fit_meets_its_conditions(learnable):
+    model, settings = models.logistic_grid(200, (1,))
+    loose, tight = (models.fitted(learnable, ["a", "b"], model.copy(
+        {**settings[0], model.tol: tol, model.maxIter: steps}), True) for tol, steps in ((0.1, 1), (1e-10, 500)))
+    scaled = models.standardized(learnable, ["a", "b"])
+    wanted = scaled.agg(F.avg("label"), F.avg(F.col("label") * F.col("a")), F.avg(F.col("label") * F.col("b"))).first()
+
+    def worst(fit):
+        rows = models.logistic_conditions(learnable, ["a", "b"], fit).collect()
+        assert [r.feature for r in rows] == ["", "a", "b"]
+        return max(abs(r.moment - w) for r, w in zip(rows, wanted, strict=True))
+
+    assert worst(tight) < 1e-6 < worst(loose)

@@ -89,6 +89,28 @@ def grid_search(df: DataFrame, columns: Sequence[str], model: Estimator, grid: S
     return search.fit(df)
 
 
+def fitted(df: DataFrame, columns: Sequence[str], model: Estimator, scaled: bool = False) -> PipelineModel:
+    """One model with its preparation, fitted to all rows."""
+    return Pipeline(stages=[*feature_stages(columns, scaled), model]).fit(df)
+
+
+def logistic_conditions(df: DataFrame, columns: Sequence[str], model: PipelineModel) -> DataFrame:
+    """What a ridge logistic fit has to reproduce: (feature, moment).
+
+    Where the gradient is zero, mean of P(class 1) times a feature, plus the penalty times its
+    coefficient, equals the mean of the label times that feature. The row without feature is
+    the intercept's: the mean of P(class 1).
+    """
+    last = model.stages[-1]
+    chance, values = F.get(vector_to_array("probability"), F.lit(1)), vector_to_array("features")
+    penalty = last.getOrDefault("regParam")
+    sums = [(c, F.avg(chance * F.get(values, F.lit(i))) + float(penalty * b))
+            for i, (c, b) in enumerate(zip(columns, last.coefficients, strict=True))]
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), m.alias("moment"))
+                     for c, m in [("", F.avg(chance)), *sums]])
+    return model.transform(df).agg(rows.alias("rows")).select(F.inline("rows"))
+
+
 def grid_scores(df: DataFrame, search: CrossValidatorModel) -> DataFrame:
     """One row per grid point: its parameters, mean score, half deviation, and whether it won.
 

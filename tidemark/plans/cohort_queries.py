@@ -270,7 +270,8 @@ def activity_density(spark, folder):
     return cohort.density_table(shares, "x", "y", 10)
 
 
-# Models: the fitted numbers have no SQL form, so these are checked by rows only.
+# Models: SQL cannot fit one, so those of the grids are checked by rows only. The queries after
+# them hold fits against conditions that SQL can state.
 
 def folded(spark, folder):
     """Survival data with folds, as numbers; written once since every fit reads it."""
@@ -360,3 +361,81 @@ def career_clusters(spark, folder):
     profile = cohort.career_profile(view(spark, folder, "activity"))
     columns = [c for c in profile.columns if c != "user_id"]
     return models.k_means(profile, columns, 4).select("user_id", "cluster")
+
+
+SURVIVED = f"WITH {SURVIVAL}"
+
+
+def survivors(spark, folder):
+    """Survival data as numbers, written once since fit and report both read it."""
+    return written(models.prepared(survival(spark, folder), cohort.FEATURES, keep=("user_id",)), "survivors")
+
+
+@checked("logistic_moments", f"""
+{SURVIVED} SELECT '' AS feature, round(avg(survive), 4) AS moment FROM survival
+UNION ALL """ + " UNION ALL ".join(f"""
+SELECT '{c}', coalesce(round((avg(survive * coalesce({c}, 0)) - avg(survive) * avg(coalesce({c}, 0)))
+  / nullif(stddev_samp(coalesce({c}, 0)), 0), 4), 0) FROM survival""" for c in cohort.FEATURES))
+def logistic_moments(spark, folder):
+    """A converged fit gives back the label's moments with the scaled features."""
+    data = survivors(spark, folder)
+    model, settings = models.logistic_grid(data.count(), (1,))
+    fit = models.fitted(data, cohort.FEATURES, model.copy(
+        {**settings[0], model.tol: 1e-10, model.maxIter: 1000}), scaled=True)
+    return models.logistic_conditions(data, cohort.FEATURES, fit).withColumn("moment", tidy("moment", 4))
+
+
+@checked("profile_components", f"""
+WITH profile AS (SELECT user_id, avg(cla_0) AS x, stddev_pop(cla_0) AS y FROM activity
+  GROUP BY user_id HAVING count(*) > 5),
+moments AS (SELECT avg(x) AS mx, avg(y) AS my, var_samp(x) AS a, var_samp(y) AS d, covar_samp(x, y) AS b
+  FROM profile),
+roots AS (SELECT *, (a + d) / 2 + sqrt(((a - d) / 2) ** 2 + b * b) AS large,
+  (a + d) / 2 - sqrt(((a - d) / 2) ** 2 + b * b) AS small FROM moments),
+turned AS (SELECT user_id, large, small,
+  abs(b * (x - mx) + (large - a) * (y - my)) / sqrt(b * b + (large - a) ** 2) AS p1,
+  abs(b * (x - mx) + (small - a) * (y - my)) / sqrt(b * b + (small - a) ** 2) AS p2 FROM profile, roots)
+SELECT user_id, round(p1, 4) AS distance_1, round(p2, 4) AS distance_2,
+  {sql_tidy('large / (large + small)')} AS explained_1, {sql_tidy('small / (large + small)')} AS explained_2
+FROM turned""")
+def profile_components(spark, folder):
+    """Distances along the components; two features have them in closed form."""
+    columns = ["avg_monthly_edits_0", "var_monthly_edits_0"]
+    profile = cohort.career_profile(view(spark, folder, "activity")).select("user_id", *columns)
+    projected, variance = models.principal_components(written(profile, "profile"), columns)
+    return tidied(projected.select(
+        "user_id", tidy(F.abs("pc1"), 4).alias("distance_1"), tidy(F.abs("pc2"), 4).alias("distance_2"),
+        F.lit(variance[0]).alias("explained_1"), F.lit(variance[1]).alias("explained_2")),
+        "explained_1", "explained_2")
+
+
+@checked("saved_model_agrees", f"""
+{SURVIVED} SELECT CAST(survive AS DOUBLE) AS label, count(*) AS n, TRUE AS scores_agree
+FROM survival GROUP BY survive""")
+def saved_model_agrees(spark, folder):
+    """A model read back scores every row as the fitted one does."""
+    data = survivors(spark, folder)
+    fit = models.fitted(data, cohort.FEATURES, models.forest_grid((10,))[0])
+    path = scratch_path(spark, "model")
+    models.save_model(fit, path)
+    first, again = (models.scored(m, data).select("user_id", "label", F.col("score").alias(name))
+                    for m, name in ((fit, "_first"), (models.load_model(path), "_again")))
+    return first.join(again, ["user_id", "label"]).groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.every(F.col("_first") == F.col("_again")).alias("scores_agree"))
+
+
+@checked("nested_predictions_cover", f"""
+{SURVIVED}, sizes AS (SELECT CAST(survive AS DOUBLE) AS label, count(*) AS n FROM survival GROUP BY survive)
+SELECT CAST(fold AS INT) AS fold, label, (n + 1 - fold) // 2 AS rows, (n + 1 - fold) // 2 AS scored,
+  TRUE AS report_agrees FROM sizes, range(2) AS folds(fold)""")
+def nested_predictions_cover(spark, folder):
+    """Every row is predicted once, in its fold, and the report's support counts the same rows."""
+    data = written(cohort.stratified_folds(survivors(spark, folder), "label", "user_id", 2), "folds")
+    model, settings = models.logistic_grid(data.count() // 4, (1,))
+    said = written(models.nested_report(data, cohort.FEATURES, model, settings, 2, True, refolded), "said")
+    counted = said.groupBy("fold", "label").agg(
+        F.count(F.lit(1)).alias("rows"), F.count(F.when(F.col("score").isNotNull(), 1)).alias("scored"))
+    support = cohort.confusion_report(said).select(
+        "fold", F.col("class").cast("double").alias("label"), "support")
+    return counted.join(support, ["fold", "label"], "left").select(
+        "fold", "label", "rows", "scored", F.col("support").eqNullSafe(F.col("rows")).alias("report_agrees"))
