@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ from tidemark.llm.names import apart
 from tidemark.session import written
 
 MIN_WORDS = 50
+# Bytes of text whose lines a worker holds at once.
+PIECE = 1 << 20
 ADDED = ("deduped", "removed_lines", "removed_words")
 _BLANKS = r"[^\x20\x09-\x0D]+"
 
@@ -177,22 +180,38 @@ def run_hashes(hashes: np.ndarray, words: np.ndarray, min_words: int) -> set[int
     return {_digest(hashes[a:b]) for a, b in run_windows(words, min_words)}
 
 
-def _sequences(min_words: int, kind: pa.DataType):
+def _stretches(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Stretches of rows of about ``PIECE`` bytes of text each; a longer text is alone or last."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // PIECE)) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)], strict=True)
+
+
+def _full_lines(text: str | None) -> np.ndarray:
+    """(rank, line number, hash, words) of the lines that are not blank."""
+    found = [(n, xxhash.xxh64_intdigest(line) - (1 << 63), len(line.split()))
+             for n, line in enumerate((text or "").encode("utf-8").split(b"\n"))]
+    full = np.array([f for f in found if f[2]], np.int64).reshape(-1, 3)
+    return np.column_stack([np.arange(len(full)), full])
+
+
+def _sequences(min_words: int):
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A batch may hold thousands of long texts: it is given on in pieces of bounded bytes.
         for batch in batches:
-            lines, runs = [], []
-            for text in batch.column(1).to_pylist():
-                found = [(n, xxhash.xxh64_intdigest(line) - (1 << 63), len(line.split()))
-                         for n, line in enumerate((text or "").encode("utf-8").split(b"\n"))]
-                full = [f for f in found if f[2]]
-                table = np.array(full, np.int64).reshape(-1, 3)
-                lines.append([{"rank": n, "no": f[0], "hash": f[1], "words": f[2]}
-                              for n, f in enumerate(full)])
-                runs.append(list(run_hashes(np.ascontiguousarray(table[:, 1]), table[:, 2],
-                                            min_words)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lines, kind), pa.array(runs, pa.list_(pa.int64()))],
-                ["doc", "lines", "runs"])
+            for begin, end in _stretches(batch.column(1)):
+                part = batch.slice(begin, end - begin)
+                tables = [_full_lines(text) for text in part.column(1).to_pylist()]
+                runs = [list(run_hashes(np.ascontiguousarray(t[:, 2]), t[:, 3], min_words))
+                        for t in tables]
+                rank, no, hashes, words = np.concatenate([np.empty((0, 4), np.int64), *tables]).T
+                lines = pa.StructArray.from_arrays(
+                    [pa.array(rank, pa.int32()), pa.array(no, pa.int32()), pa.array(hashes, pa.int64()),
+                     pa.array(words, pa.int32())], ["rank", "no", "hash", "words"])
+                offsets = np.cumsum([0, *map(len, tables)])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), lines),
+                     pa.array(runs, pa.list_(pa.int64()))], ["doc", "lines", "runs"])
     return split
 
 
@@ -201,10 +220,8 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(doc, first, last, words): runs of lines that an earlier document has as well."""
     light = docs.select(_document(key, text).alias("doc"), text)
     doc_type = light.schema["doc"].dataType.simpleString()
-    line = pa.struct({"rank": pa.int32(), "no": pa.int32(), "hash": pa.int64(),
-                      "words": pa.int32()})
     read = written(light.mapInArrow(
-        _sequences(min_words, pa.list_(line)),
+        _sequences(min_words),
         f"doc {doc_type}, lines array<struct<rank: int, no: int, hash: long, words: int>>, "
         "runs array<long>"), "line-sequences")
     runs = read.select("doc", F.explode("runs").alias("run"))
