@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -273,3 +274,21 @@ def test_rows_without_or_with_equal_ids(spark):
     assert kept == sorted([rows[2], rows[3], rows[4]], key=repr)
     alone = simhash.without_near_duplicates(docs.filter("doc_id IS NULL")).collect()
     assert len(alone) == 2 and rows[2] in [tuple(r) for r in alone]
+
+
+def test_lines_do_not_depend_on_the_pieces_of_a_batch(monkeypatch):
+    texts = ["a b\n\nc", "", None, LONG, "x y z\n" * 40, "  \t \nw", *(f"t{n} u\nv" for n in range(50))]
+    batch = pa.RecordBatch.from_pydict({"doc": list(range(len(texts))), "text": texts})
+    found = []
+    for size in (1, 64, 1 << 20):
+        monkeypatch.setattr(line_dedup, "PIECE", size)
+        parts = list(line_dedup._sequences(3)([batch, batch.slice(0, 0)]))
+        rows = pa.Table.from_batches(parts).to_pylist()
+        assert [r["doc"] for r in rows] == list(range(len(texts)))
+        for row, text in zip(rows, texts, strict=True):
+            full = [(n, xxhash.xxh64_intdigest(line) - (1 << 63), len(line.split()))
+                    for n, line in enumerate((text or "").encode().split(b"\n")) if line.split()]
+            assert [(x["no"], x["hash"], x["words"]) for x in row["lines"]] == full
+            assert [x["rank"] for x in row["lines"]] == list(range(len(full)))
+        found.append([(r["doc"], r["lines"], set(r["runs"])) for r in rows])
+    assert len(parts) < 5 and found[0] == found[1] == found[2]
