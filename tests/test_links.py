@@ -202,6 +202,56 @@ def test_recommendations_are_new_and_ranked(spark):
     assert {r.user_id for r in found} <= set(range(10))
 
 
+@pytest.fixture
+def small_blocks(monkeypatch):
+    for name, value in (("BLOCK_PAIRS", 1000), ("HEAVY_ITEM", 12), ("BLOCK_PREFERENCES", 40),
+                        ("SUMS_AT_ONCE", 100), ("HEAVY_USER", 30)):
+        monkeypatch.setattr(similarity, name, value)
+
+
+@pytest.mark.parametrize("measure", ["tanimoto", "loglikelihood"])
+@pytest.mark.parametrize("chunk", [512, 7])
+def test_similarity_in_blocks_equals_brute_force(spark, small_blocks, measure, chunk):
+    """Blocks of items, users of several chunks, and items of too many users for one task."""
+    prefs = preferences(5, 40, 60, 4)
+    df = spark.createDataFrame([*prefs, (None, 3), (2000, None)], "user_id LONG, item_id LONG")
+    plain = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")
+    found = {(r.item_id, r.other_id): r.score
+             for r in similarity.item_similarity(plain, measure, None, chunk).collect()}
+    expected = brute_force(prefs, measure)
+    assert found.keys() == expected.keys()
+    assert all(abs(found[p] - expected[p]) < 2e-6 for p in expected)
+    for k in (3, 1200):
+        rows = sorted(similarity.item_similarity(df, measure, k, chunk).collect())
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(similarity, "BLOCK_PAIRS", 1 << 40)
+            assert rows == sorted(similarity.item_similarity(df, measure, k, chunk).collect())
+
+
+def test_pairs_are_not_exchanged(spark, monkeypatch):
+    """What is moved are lists of items: neither pairs nor the similar items meet an exchange."""
+    monkeypatch.setattr(similarity, "BLOCK_PAIRS", 1000)
+    df = spark.createDataFrame(preferences(7, 40, 60, 4), "user_id LONG, item_id LONG")
+    plan = similarity.item_similarity(df, "tanimoto", 10)._jdf.queryExecution().executedPlan().toString()
+    assert "other_id" in plan and plan.count("Exchange") == 2
+    assert plan.rindex("Generate inline") < plan.index("Exchange")
+
+
+def test_recommendations_in_blocks(spark, small_blocks):
+    """Small blocks, few sums at once and users of too many items for one task change nothing."""
+    prefs = preferences(3, 30, 40, 3)
+    df = spark.createDataFrame([*prefs, (None, 4), (None, 8)], "user_id LONG, item_id LONG")
+    similar = spark.createDataFrame(
+        [(a, b, 1.0 / (1 + (a * 7 + b) % 9)) for a in range(0, 40, 2) for b in range(40, 3, -3) if a != b],
+        "item_id LONG, other_id LONG, score DOUBLE")
+    exact = links.top_n_per_group(similarity._summed(df, similar, 12), ["user_id"],
+                                  [F.desc("score"), "item_id"], 4, "rank")
+    found = similarity.recommend_items(df, similar, 4)
+    assert found.columns == ["user_id", "item_id", "score", "rank"]
+    assert sorted(found.collect(), key=str) == sorted(exact.collect(), key=str)
+    assert found.where("user_id IS NULL").count() == 4
+
+
 @pytest.fixture
 def narrow_slices(monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_WIDTH", 4)
