@@ -159,3 +159,16 @@ def test_converged_fit_meets_its_conditions(learnable):
         return max(abs(r.moment - w) for r, w in zip(rows, wanted, strict=True))
 
     assert worst(tight) < 1e-6 < worst(loose)
+
+
+def test_one_setting_is_fitted_once(spark, monkeypatch):
+    """A grid of one setting gives the model that a search over it ends with, without its folds."""
+    rows = [(i % 2, float((i * 7) % 5 > 1 or i % 3 == 0), float(i * 7 % 5), float(i * i % 11)) for i in range(120)]
+    df = spark.createDataFrame(rows, "fold INT, label DOUBLE, a DOUBLE, b DOUBLE").coalesce(1)
+    model, grid = models.forest_grid((4,))
+    searched = models.grid_search(df, ["a", "b"], model, grid).bestModel
+    monkeypatch.setattr(models, "grid_search", None)
+    best = models.best_model(df, ["a", "b"], model, grid)
+    assert best.stages[-1].toDebugString == searched.stages[-1].toDebugString.replace(
+        searched.stages[-1].uid, best.stages[-1].uid)
+    assert best.stages[-1].getNumTrees == 4
