@@ -334,3 +334,23 @@ def test_mass_and_closed_tail_sum_to_one(spark, n, rate):
         tail = ex.inverse_binomial_tail(counts, rate, upper).first().tail
         assert mass + tail == pytest.approx(1, abs=1e-10)
     assert ex.inverse_binomial_tail(counts, rate, F.col("n") - 1).first().tail == (0.0 if rate == 1 else 1.0)
+
+
+def test_full_run_draws_up_to_the_checkpoint_that_decides(spark, monkeypatch, tmp_path):
+    """Behind the first checkpoint beyond the longest run no amounts are drawn for."""
+    from tidemark.plans import draw_queries
+
+    spark.range(6000).selectExpr(
+        "id AS event_id", "timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00') AS ts",
+        "id * 0 AS user_id", "IF(id % 5 < 2, 'purchase', 'view') AS event_type", "1.0D AS value",
+        """concat('{"k": ', id % 7, '}') AS props""").write.parquet(str(tmp_path / "events.parquet"))
+    seen, real = [], draws.compare_amounts
+
+    def seeing(histogram, *args, **kwargs):
+        seen.append(histogram)
+        return real(histogram, *args, **kwargs)
+
+    monkeypatch.setattr(draws, "compare_amounts", seeing)
+    found = draw_queries.decisions_are_first(spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in found] == [("e0", True, True)]
+    assert max(h.selectExpr("max(checkpoint)").first()[0] for h in seen) <= 1000 // draw_queries.INTERVAL + 1

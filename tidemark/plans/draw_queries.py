@@ -141,10 +141,11 @@ def amounts_against_exact(spark, folder):
 SELECT DISTINCT experiment, TRUE AS credible_is_first, TRUE AS streak_is_first FROM impressions""")
 def decisions_are_first(spark, folder):
     """A decision found in rounds stands at the first checkpoint of the full run whose drawn
-    comparison crosses the limit."""
+    comparison crosses the limit. The full run ends where the records are beyond the longest
+    run: that checkpoint crosses the limit whatever is drawn, so none behind it can be the first."""
     rows = impressions(spark, folder)
-    amounts = draws.stop_credibility(draws.compare_amounts(
-        sequential.checkpoint_histograms(rows, INTERVAL), ["experiment", "checkpoint"]), 0.95, 1000)
+    amounts = sequential.amount_results(
+        rows, INTERVAL, lambda df: draws.stop_credibility(df, 0.95, 1000), max_run=1000)
     crossed = (F.col("p_a_better") > 0.95) | (F.col("p_a_better") < 0.05) | (
         F.greatest("a_n", "b_n") > 1000)
     first = amounts.groupBy("experiment").agg(F.min(F.when(crossed, F.col("checkpoint"))).alias("_wanted"))
