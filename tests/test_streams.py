@@ -107,3 +107,22 @@ def test_open_slots_complete_the_stream(spark, tmp_path):
     both = [sorted(tuple(r) for r in spark.read.parquet(p).select(
         "project", "page_title", "country", "day", "n").collect()) for p in (path, everything)]
     assert 0 < first < len(both[0]) and both[0] == both[1]
+
+
+def test_a_closed_slot_is_not_cut_into_a_file_of_each_state_partition(spark, tmp_path):
+    log, table, state = (str(tmp_path / n) for n in ("log", "table", "state"))
+    start = datetime(2024, 1, 1)
+    rows = [(start + timedelta(hours=h, minutes=i), "en.wikipedia.org", f"/wiki/P{i}", "Mozilla", "US", True)
+            for h in range(8) for i in range(40)]
+    spark.createDataFrame(rows, REQUEST).write.parquet(log)
+    settings = []
+    stream = spark.readStream.schema(spark.read.parquet(log).schema).parquet(log)
+    pageviews.publish_stream(
+        pageviews.stream_pageviews(stream, "1 hour", "1 hour"), table, state,
+        after=lambda batch, number: settings.append(batch.sparkSession.conf.get("spark.sql.adaptive.enabled")),
+    ).awaitTermination()
+    published = spark.read.parquet(table)
+    files = published.select("hour", F.input_file_name().alias("file")).distinct().groupBy("hour").count()
+    assert {r.hour: r["count"] for r in files.collect()} == {h: 1 for h in range(6)}
+    assert published.count() == 6 * 40
+    assert len(settings) > 1 and set(settings) == {"false"}  # the stream itself stays as it was

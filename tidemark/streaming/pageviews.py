@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.functions import requests as rq
 from tidemark.operators.pageviews import DAILY_KEYS, HOURLY_KEYS, readers_only
+from tidemark.session import adaptive
 from tidemark.sources.tables import drop_expired_slots, newest_day, publish_partitions
 
 PARTS = {"1 day": ("year", "month", "day"), "1 hour": ("year", "month", "day", "hour")}
@@ -81,7 +82,10 @@ def publish_stream(counts: DataFrame, path: str, checkpoint: str, grain: str = "
     columns: Sequence[str] = PARTS[grain]
 
     def publish(batch: DataFrame, number: int) -> None:
-        publish_partitions(batch, path, columns)
+        # Its rows are already planned, so the state keeps its partitions; the rebalancing in
+        # front of the write needs to be adaptive, or every task has a file in every slot.
+        with adaptive(batch.sparkSession):
+            publish_partitions(batch, path, columns)
         newest = newest_day(batch.sparkSession, path) if keep_days is not None else None
         if newest is not None:
             drop_expired_slots(batch.sparkSession, path, newest, keep_days)
