@@ -172,3 +172,23 @@ def test_one_setting_is_fitted_once(spark, monkeypatch):
     assert best.stages[-1].toDebugString == searched.stages[-1].toDebugString.replace(
         searched.stages[-1].uid, best.stages[-1].uid)
     assert best.stages[-1].getNumTrees == 4
+
+
+def test_a_linear_grid_has_no_tasks_of_a_few_rows(spark, learnable):
+    context = spark.sparkContext
+    spread = learnable.repartition(9).cache()
+    rows = spread.count()
+    context.setJobGroup("linear grid", "")
+    try:
+        model, grid = models.svm_grid(rows // 2, (0.1, 1))
+        search = models.grid_search(spread, ["a", "b"], model.setMaxIter(5), grid)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spread.unpersist()
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("linear grid")]
+    stages = [tracker.getStageInfo(s) for j in jobs if j for s in j.stageIds]
+    tasks = [s.numTasks for s in stages if s and "RDDLossFunction" in s.name]
+    assert tasks and max(tasks) == 1
+    assert len(search.avgMetrics) == 2 and min(search.avgMetrics) > 0.9
+    assert models.in_few_parts(spread, -(-rows // 3)).rdd.getNumPartitions() == 3  # no more than asked for

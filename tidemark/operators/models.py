@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from tidemark.operators.cohort import confusion_report, roc_auc
 from tidemark.session import written
 
+# A linear fit reads its rows some hundred times, each time in a job of its own: a task has to
+# hold this many rows to take longer than its start and the merging of its sums.
+LINEAR_ROWS = 1 << 17
+
 
 def feature_stages(columns: Sequence[str], scaled: bool = False) -> list:
     """Stages that turn number columns into ``features``, centered and scaled on demand."""
@@ -80,9 +84,20 @@ def boosting_grid(trees: Sequence[int] = (150, 250), depths: Sequence[int] = (4,
     return model, grid
 
 
+def in_few_parts(df: DataFrame, rows: int = LINEAR_ROWS) -> DataFrame:
+    """The same rows in partitions of some ``rows`` each, merged where they are."""
+    return df.coalesce(max(-(-df.count() // rows), 1))
+
+
 def grid_search(df: DataFrame, columns: Sequence[str], model: Estimator, grid: Sequence[Mapping],
                 folds: int = 2, scaled: bool = False, parallelism: int = 4) -> CrossValidatorModel:
-    """Fits the best of a grid by area under the ROC curve over the given folds."""
+    """Fits the best of a grid by area under the ROC curve over the given folds.
+
+    Linear models, whose fits are many short jobs, are fitted to few partitions and all
+    settings of a fold at once.
+    """
+    if isinstance(model, (LinearSVC, LogisticRegression)):
+        df, parallelism = in_few_parts(df), max(parallelism, len(grid))
     search = CrossValidator(
         estimator=Pipeline(stages=[*feature_stages(columns, scaled), model]),
         estimatorParamMaps=list(grid), numFolds=folds, foldCol="fold", parallelism=parallelism,
