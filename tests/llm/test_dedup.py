@@ -146,6 +146,14 @@ def test_links_and_components_of_close_fingerprints(spark):
     assert len(groups) == len(set(wanted.values()))
 
 
+def test_points_are_not_broadcast(spark):
+    """They are some fifty times as many as the fingerprints that Spark sizes them by."""
+    links = simhash.links_of(spark.range(200).select(F.xxhash64("id").alias("_print")))
+    links.collect()
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(n, n + 1) for n in range(200)] + [(500, 501), (7, 7)],
                                   "node long, other long")

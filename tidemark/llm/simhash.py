@@ -123,7 +123,8 @@ def links_of(distinct: DataFrame) -> DataFrame:
 
     Fingerprints are few bytes and their points many rows, so they are spread by number
     first. The join's condition holds no part on one side alone: both sides are then the
-    same exchange, which is made once.
+    same exchange, which is made once. The join is a merge by hint: Spark sizes the points
+    by the fingerprints they come from, and would broadcast fifty times what it expects.
     """
     spread = distinct.repartition(
         int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_print")
@@ -133,7 +134,7 @@ def links_of(distinct: DataFrame) -> DataFrame:
     a, b, point = F.col("one._print"), F.col("two._print"), F.col("one._point")
     own = bit_counts(a) == point
     between = (bit_counts(b) != point) & (bit_counts(a) != bit_counts(b))
-    return one.join(two, (point == F.col("two._point")) & (a < b) & (own | between) & (
+    return one.join(two.hint("merge"), (point == F.col("two._point")) & (a < b) & (own | between) & (
         F.bit_count(a.bitwiseXOR(b)) <= DISTANCE)).select(
         a.alias("node"), b.alias("other")).distinct()
 
