@@ -4,6 +4,8 @@ import itertools
 import math
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.operators import links, similarity
@@ -252,6 +254,73 @@ def test_recommendations_in_blocks(spark, small_blocks):
     assert found.where("user_id IS NULL").count() == 4
 
 
+def test_packed_lists_come_back():
+    rng = np.random.default_rng(1)
+    lists = [np.sort(rng.integers(-50, 1 << bits, n)) for bits, n in ((5, 1), (20, 60), (62, 9), (9, 700), (40, 3))]
+    ids = np.concatenate(lists)
+    degrees = rng.integers(1, 1 << 40, len(ids))
+    opens = np.cumsum([0] + [len(x) for x in lists[:-1]])
+    packed = similarity._items_packed(ids, degrees, opens)
+    column = pa.chunked_array([packed.slice(0, 2), packed.slice(2)])
+    found, found_degrees, sizes = similarity._items_unpacked(column)
+    assert (found == ids).all() and (found_degrees == degrees).all()
+    assert sizes.tolist() == [len(x) for x in lists]
+
+
+def test_similar_rows_come_back_with_few_bytes():
+    rng = np.random.default_rng(2)
+    rows = [(i, int(o), 1 / (2 + int(o) % 7)) for i in range(20) for o in rng.choice(20000, 100, replace=False)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["item_id", "other_id", "score"])
+    packed = pa.Table.from_batches(list(similarity._pack_similar([batch.slice(0, 950), batch.slice(950)])))
+    others, scores, sizes = similarity._similar_unpacked(packed)
+    listed = np.repeat(packed["item_id"].to_numpy(), sizes)
+    assert sorted(zip(listed.tolist(), others.tolist(), scores.tolist())) == sorted(rows)
+    assert packed.num_rows == 21 and packed.nbytes < 5 * len(rows)
+
+
+def test_lists_of_items_are_packed_for_their_blocks(spark):
+    """Sixty items of twenty thousand cost some three bytes each and block."""
+    rng = random.Random(4)
+    rows = [(u, i, 30, i // 500) for u in range(40) for i in rng.sample(range(20000), 60)]
+    placed = spark.createDataFrame(rows, "user_id LONG, item_id LONG, degree LONG, block INT")
+    lists = similarity.listed_items(placed, None, 512)
+    assert dict(lists.dtypes)["others"] == "binary"
+    assert lists.agg(F.max(F.length("others"))).first()[0] < 4 * 60
+    assert lists.count() == len({(u, b) for u, _, _, b in rows})
+
+
+@pytest.mark.parametrize("measure", ["tanimoto", "loglikelihood"])
+def test_an_item_of_many_pairs_is_added_up_in_parts(spark, monkeypatch, measure):
+    prefs = preferences(5, 40, 60, 4)
+    df = spark.createDataFrame(prefs, "user_id LONG, item_id LONG")
+    monkeypatch.setattr(similarity, "BLOCK_PAIRS", 1000)
+    found = []
+    for at_once in (1 << 21, 50, 1):
+        monkeypatch.setattr(similarity, "PAIRS_AT_ONCE", at_once)
+        found.append(sorted(similarity.item_similarity(df, measure, 7).collect()))
+    assert found[0] == found[1] == found[2] and len(found[0]) > 300
+
+
+def test_recommendations_are_ranked_where_they_are_summed(spark):
+    df = spark.createDataFrame(preferences(3, 30, 40, 1), "user_id LONG, item_id LONG")
+    similar = spark.createDataFrame([(a, b, 0.5) for a in range(40) for b in range(a)],
+                                    "item_id LONG, other_id LONG, score DOUBLE")
+    plan = similarity.recommend_items(df, similar, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("FlatMapCoGroupsInArrow")]
+
+
+def test_similar_rows_of_an_item_need_not_come_together(spark):
+    df = spark.createDataFrame(preferences(3, 30, 40, 1), "user_id INT, item_id INT")
+    similar = spark.createDataFrame([(a, b, 1.0 / (1 + (a + b) % 5)) for a in range(40) for b in range(40) if a != b],
+                                    "item_id INT, other_id INT, score DOUBLE")
+    apart = similar.orderBy("other_id").repartition(7, "other_id")
+    found = similarity.recommend_items(df, apart, 4)
+    assert found.dtypes == [("user_id", "int"), ("item_id", "int"), ("score", "double"), ("rank", "int")]
+    exact = links.top_n_per_group(similarity._summed(df, similar, 12), ["user_id"],
+                                  [F.desc("score"), "item_id"], 4, "rank")
+    assert sorted(found.collect()) == sorted(exact.collect())
+
+
 @pytest.fixture
 def narrow_slices(monkeypatch):
     monkeypatch.setattr(ordered, "SLICE_WIDTH", 4)
